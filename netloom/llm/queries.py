@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import packing
+from netloom.llm import mixing, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +19,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mixed(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op4_mixing": op4_mixing,
+        "op8_quality_rules": op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_mixing": mixing.oracle(),
+        "op8_quality_rules": quality.oracle(),
+    }
