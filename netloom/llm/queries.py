@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import mixing, packing, quality
+from netloom.llm import langid, mixing, packing, quality, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_documents(docs))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mixed(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,13 +44,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op2_exact_topk": op2_exact_topk,
         "op4_mixing": op4_mixing,
+        "op6_warc": op6_warc,
+        "op7_language_id": op7_language_id,
         "op8_quality_rules": op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_exact_topk": topk.oracle(),
         "op4_mixing": mixing.oracle(),
+        "op6_warc": warc.oracle(),
         "op8_quality_rules": quality.oracle(),
     }

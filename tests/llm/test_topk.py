@@ -1,0 +1,44 @@
+import random
+from math import floor
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from netloom.llm import topk
+
+
+def brute(rows, k, every):
+    ok = {(i, tuple(floor(1024 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and abs(x) < float("inf") for x in v)}
+    out = []
+    for q, v in ok:
+        if q % every == 0:
+            s = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q and len(w) == len(v))
+            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
+    return sorted(out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(1, 5), st.integers(1, 6))
+def test_lists_match_brute_force(seed, n, dim, k):
+    r = np.random.default_rng(seed)
+    x, q = r.integers(-3, 4, (n, dim)).astype(float), r.integers(-3, 4, dim).astype(float)
+    ids = r.permutation(n)
+    got = topk.Lists(ids, x).best(q, -1, k, step=1)
+    want = sorted(zip((-(x @ q)).tolist(), ids.tolist()))[:k]
+    assert list(zip((-got[1]).tolist(), got[0].tolist())) == want
+
+
+def test_search(spark):
+    random.seed(5)
+    rows = [(i, [random.choice([-0.5, 0.25, 0.1, 0.0, 1.5]) for _ in range(6)]) for i in range(300)]
+    rows += [(300, None), (301, []), (302, [None] * 6), (303, [float("nan")] * 6), (304, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (400, [0.0] * 6), (500, [1.0, 2.0]), (501, [0.3, 0.2])]
+    rows += [rows[3], rows[0]]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
+    import struct
+
+    f32 = lambda x: None if x is None else struct.unpack("f", struct.pack("f", x))[0]
+    exact = [(i, None if v is None else [f32(x) for x in v]) for i, v in rows]
+    got = sorted(map(tuple, topk.search(df, every=50, block=64, query_block=2).collect()))
+    assert got == brute(exact, 10, 50)
+    assert topk.search(df.where("false")).count() == 0
