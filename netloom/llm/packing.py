@@ -45,6 +45,18 @@ PARTS = re.compile(
 )
 
 
+#: A part that the pre-tokenizer keeps whole, so that the model can take it as it is.
+WHOLE = re.compile(f" ?(?:[{LETTER}]+|[{MARK}]+)\\Z")
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte -> the code point by which a byte-level vocabulary writes it:
+    printable Latin-1 stands for itself, the rest follows from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class IdBytes(dict):
     """Part of a text -> its ids as little-endian unsigned 32-bit integers.
 
@@ -57,18 +69,22 @@ class IdBytes(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode, self.most = Tokenizer.from_file(path).encode_batch_fast, most
+        whole = Tokenizer.from_file(path)
+        self.encode, self.model, self.letters, self.most = whole.encode, whole.model, byte_letters(), most
 
-    def of(self, text: str) -> bytes:
-        parts = PARTS.findall(text)
-        new = list({p for p in parts if p not in self})
-        if len(self) + len(new) > self.most:
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.most:
             self.clear()
-            new = list(set(parts))
-        if new:
-            for part, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-                self[part] = array("I", e.ids).tobytes()
-        return b"".join(map(self.__getitem__, parts))
+        if WHOLE.match(part):
+            written = part.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(written)]
+        else:
+            ids = self.encode(part, add_special_tokens=False).ids
+        out = self[part] = array("I", ids).tobytes()
+        return out
+
+    def of(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, PARTS.findall(text)))
 
 
 def tokenised(path: str | None = None):
