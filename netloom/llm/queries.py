@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import langid, mixing, packing, quality, topk, warc
+from netloom.llm import langid, mixing, ngram_join, packing, quality, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op6_warc": op6_warc,
         "op7_language_id": op7_language_id,
         "op8_quality_rules": op8_quality_rules,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
