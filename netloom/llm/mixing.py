@@ -40,7 +40,7 @@ class Mix:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     most: int = 3
     seed: str = "mix-1"
-    bucket_docs: int = 20_000
+    bucket_docs: int = 4_000
 
 
 def quality_weight(text: Column) -> Column:

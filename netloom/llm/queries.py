@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import langid, mixing, ngram_join, packing, quality, topk, warc
+from netloom.llm import html_extract, langid, lm_scoring, mixing, ngram_join, packing, quality, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_documents(docs))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mixed(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", "taken")
@@ -49,10 +62,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op2_exact_topk": op2_exact_topk,
+        "op3_html_extraction": op3_html_extraction,
         "op4_mixing": op4_mixing,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_warc": op6_warc,
         "op7_language_id": op7_language_id,
         "op8_quality_rules": op8_quality_rules,
+        "op9_token_counts": op9_token_counts,
         "op10_ngram_join": op10_ngram_join,
     }
 
