@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from netloom.llm import html_extract, langid, lm_scoring, mixing, ngram_join, packing, quality, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_ngram_join": op10_ngram_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
