@@ -4,14 +4,425 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netloom.functions import catalog
+from netloom.operators import audit, components, drills, export, masks, nets, vector
+from netloom.plans import sql
+from netloom.plans.extract import Extraction
+from netloom.sources import boards, files
+from netloom.sources.boards import COPPER, PLANE, SIDE, STACK
 
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, tuple[Query, str | None]] = {}
+
+
+def registered(select: str | None, **options):
+    """Registers a query under its name with the SELECT that it equals."""
+
+    def add(f: Query) -> Query:
+        _ALL[f.__name__] = f, None if select is None else sql.query(select, **options)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for name, (_, s) in _ALL.items() if s is not None}
+
+
+def extraction(spark: SparkSession, sf_dir: str, mode: str = "infer") -> Extraction:
+    b = boards.derive(spark, sf_dir)
+    return Extraction(b.copper, b.drill, b.canvas, COPPER, mode)
+
+
+def digits(*names: str, n: int = 6) -> list[Column]:
+    """Doubles rounded, so that engines agree on the last place."""
+    return [F.round(c, n).alias(c) for c in names]
+
+
+def sql_digits(*names: str, n: int = 6) -> str:
+    return ", ".join(f"round({c}, {n}) AS {c}" for c in names)
+
+
+# masks
+
+
+@registered("SELECT board_id, layer, y, x0, x1 FROM run")
+def mask_runs(spark, sf_dir):
+    return boards.derive(spark, sf_dir).runs
+
+
+@registered(f"SELECT board_id, layer, coalesce(px, 0)::BIGINT AS area_px, coalesce(px, 0)::DOUBLE / {SIDE * SIDE} AS fill FROM canvas CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in STACK)}) v(layer) LEFT JOIN (SELECT board_id, layer, sum(x1 - x0) AS px FROM run GROUP BY ALL) USING (board_id, layer)")
+def mask_fill(spark, sf_dir):
+    b = boards.derive(spark, sf_dir)
+    return masks.fill(b.runs, masks.layer_canvas(b.canvas, STACK))
+
+
+@registered(boards.complement_sql("(SELECT * FROM run WHERE layer = 'F_Cu')", "(SELECT *, 'F_Cu' AS layer FROM canvas)"))
+def mask_invert_runs(spark, sf_dir):
+    b = boards.derive(spark, sf_dir)
+    return masks.complement(b.runs.where("layer = 'F_Cu'"), masks.layer_canvas(b.canvas, ("F_Cu",)))
+
+
+@registered("SELECT board_id, layer, y, x0, x1 FROM shifted")
+def mask_shift(spark, sf_dir):
+    return boards.derive(spark, sf_dir).shifted
+
+
+@registered("SELECT board_id, layer, y, x0, x1 FROM outer_run")
+def mask_union_outer(spark, sf_dir):
+    return audit.outer_copper(boards.derive(spark, sf_dir).runs)
+
+
+@registered("SELECT c.board_id, c.layer, c.y, greatest(c.x0, d.x0) AS x0, least(c.x1, d.x1) AS x1 FROM copper c JOIN drill d ON c.board_id = d.board_id AND c.y = d.y AND c.x0 < d.x1 AND d.x0 < c.x1")
+def mask_and_drill(spark, sf_dir):
+    b = boards.derive(spark, sf_dir)
+    return masks.intersect(b.copper, b.drill)
+
+
+_FREE = boards.complement_sql("drill", "(SELECT *, 'drill' AS layer FROM canvas)")
+
+
+@registered(f"SELECT c.board_id, c.layer, c.y, greatest(c.x0, d.x0) AS x0, least(c.x1, d.x1) AS x1 FROM copper c JOIN ({_FREE}) d ON c.board_id = d.board_id AND c.y = d.y AND c.x0 < d.x1 AND d.x0 < c.x1")
+def mask_punch(spark, sf_dir):
+    b = boards.derive(spark, sf_dir)
+    return masks.punch(b.copper, b.drill, b.canvas)
+
+
+@registered("SELECT board_id, layer, y, x, CASE WHEN bool_or(layer_kind = 1) THEN 255 ELSE 128 END AS red, CASE WHEN bool_or(layer_kind = 1) THEN 0 ELSE 128 END AS green_blue FROM (SELECT board_id, 'audit' AS layer, y, unnest(range(x0, x1))::INT AS x, 0 AS layer_kind FROM run WHERE y % 8 = 0 UNION ALL SELECT board_id, 'audit', y, unnest(range(x0, x1))::INT, 1 FROM drill WHERE y % 8 = 0) GROUP BY ALL")
+def audit_overlay_rows(spark, sf_dir):
+    """Every eighth row of the overlay: copper grey, drilled areas pure red."""
+    b = boards.derive(spark, sf_dir)
+    both = b.runs.withColumn("k", F.lit(0)).unionByName(b.drill.withColumn("k", F.lit(1))).where("y % 8 = 0")
+    px = both.select("board_id", F.lit("audit").alias("layer"), "y", "k", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
+    top = px.groupBy("board_id", "layer", "y", "x").agg(F.max("k").alias("k"))
+    return top.select("board_id", "layer", "y", "x", F.when(F.col("k") == 1, 255).otherwise(128).alias("red"), F.when(F.col("k") == 1, 0).otherwise(128).alias("green_blue"))
+
+
+# audits
+
+_FILL = f"(SELECT board_id, layer, coalesce(px, 0)::DOUBLE / {SIDE * SIDE} AS fill FROM canvas CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in STACK)}) v(layer) LEFT JOIN (SELECT board_id, layer, sum(x1 - x0) AS px FROM run GROUP BY ALL) USING (board_id, layer))"
+_VERDICT = f"(SELECT *, CASE WHEN layer IN ('F_Cu', 'B_Cu') AND fill > 0.6 THEN 'warn' WHEN layer IN ('F_Cu', 'B_Cu') THEN 'none' WHEN fill > 0.6 THEN 'invert' WHEN fill < 0.4 THEN 'none' ELSE 'ambiguous' END AS verdict FROM {_FILL})"
+
+
+@registered(f"SELECT board_id, layer, fill, verdict, verdict = 'invert' AS invert, 'auto' AS source FROM {_VERDICT}")
+def polarity_verdicts(spark, sf_dir):
+    b = boards.derive(spark, sf_dir)
+    v = audit.polarity(masks.fill(b.runs, masks.layer_canvas(b.canvas, STACK)))
+    return audit.resolve_invert(v).select("board_id", "layer", "fill", "verdict", "invert", "source")
+
+
+@registered(f"SELECT board_id, layer, sum(x1 - x0)::BIGINT AS area_px, count(*) AS n_runs FROM (SELECT r.* FROM run r JOIN {_VERDICT} v ON r.board_id = v.board_id AND r.layer = v.layer AND verdict <> 'invert' UNION ALL {boards.complement_sql(f'(SELECT * FROM run WHERE layer = {PLANE!r} AND board_id IN (SELECT board_id FROM {_VERDICT} WHERE verdict = {'invert'!r}))', f'(SELECT *, {PLANE!r} AS layer FROM canvas WHERE board_id IN (SELECT board_id FROM {_VERDICT} WHERE verdict = {'invert'!r}))')}) GROUP BY ALL")
+def prepare_masks(spark, sf_dir):
+    b = boards.derive(spark, sf_dir)
+    layers = masks.layer_canvas(b.canvas, STACK)
+    ready = audit.prepare(b.runs, layers, audit.resolve_invert(audit.polarity(masks.fill(b.runs, layers))))
+    return ready.groupBy("board_id", "layer").agg(F.sum(F.col("x1") - F.col("x0")).alias("area_px"), F.count("*").alias("n_runs"))
+
+
+@registered(f"SELECT board_id, n_drills, touches, {sql_digits('score')} FROM score")
+def alignment_score(spark, sf_dir):
+    b = boards.derive(spark, sf_dir)
+    return audit.alignment_score(b.drill, audit.outer_copper(b.runs), b.canvas).select("board_id", "n_drills", "touches", *digits("score"))
+
+
+@registered("SELECT board_id, dy, dx FROM offs")
+def detect_offset(spark, sf_dir):
+    b = boards.derive(spark, sf_dir)
+    copper = audit.outer_copper(b.runs)
+    poor = audit.alignment_score(b.shifted, copper, b.canvas).where("score < 0.9 AND n_drills > 0").select("board_id")
+    mine = lambda df: df.join(poor, "board_id", "left_semi")
+    return audit.detect_offset(mine(b.shifted), mine(copper), mine(b.canvas))
+
+
+_ALIGN = """(SELECT s.board_id, s.n_drills, s.touches, s.score, coalesce(dy, 0) AS dy, coalesce(dx, 0) AS dx, coalesce(m.score, 0) AS score2 FROM score_shifted s LEFT JOIN offs USING (board_id) LEFT JOIN (SELECT * FROM score_moved WHERE board_id IN (FROM poor)) m ON m.board_id = s.board_id)"""
+_AV = f"(SELECT *, CASE WHEN n_drills = 0 OR score >= 0.9 THEN 'none' WHEN (dy <> 0 OR dx <> 0) AND score2 >= 0.9 AND score2 > score + 0.1 THEN 'shift' WHEN score >= 0.6 THEN 'none' ELSE 'fail' END AS verdict FROM {_ALIGN})"
+
+
+@registered(f"SELECT board_id, n_drills, touches, {sql_digits('score')}, verdict, CASE WHEN verdict = 'shift' THEN dy ELSE 0 END AS dy, CASE WHEN verdict = 'shift' THEN dx ELSE 0 END AS dx FROM {_AV}")
+def alignment_verdict(spark, sf_dir):
+    b = boards.derive(spark, sf_dir)
+    v = audit.audit_alignment(b.shifted, b.runs, b.canvas)
+    return v.select("board_id", "n_drills", "touches", *digits("score"), "verdict", "dy", "dx")
+
+
+# connectivity
+
+
+@registered("SELECT board_id, layer, component, y, x0, x1 FROM lab")
+def labelled_runs(spark, sf_dir):
+    return extraction(spark, sf_dir).labelled.select("board_id", "layer", "component", "y", "x0", "x1")
+
+
+@registered("SELECT board_id, layer, count(*) AS n_components, max(area_px) AS largest_px FROM comp GROUP BY ALL")
+def components_by_layer(spark, sf_dir):
+    return extraction(spark, sf_dir).components.groupBy("board_id", "layer").agg(F.count("*").alias("n_components"), F.max("area_px").alias("largest_px"))
+
+
+@registered(f"SELECT board_id, layer, component, area_px, x0, y0, x1, y1, {sql_digits('cx', 'cy')} FROM comp")
+def component_stats(spark, sf_dir):
+    return extraction(spark, sf_dir).components.select("board_id", "layer", "component", "area_px", "x0", "y0", "x1", "y1", *digits("cx", "cy"))
+
+
+@registered(f"SELECT board_id, drill, area_px, x0, y0, x1, y1, {sql_digits('radius_px', 'cx', 'cy')} FROM blob")
+def drill_stats(spark, sf_dir):
+    return extraction(spark, sf_dir).blobs.select("board_id", "drill", "area_px", "x0", "y0", "x1", "y1", *digits("radius_px", "cx", "cy"))
+
+
+@registered(f"SELECT board_id, {sql_digits('small_px', 'large_px')} FROM limits")
+def drill_radius_thresholds(spark, sf_dir):
+    return extraction(spark, sf_dir).limits.select("board_id", *digits("small_px", "large_px"))
+
+
+@registered(f"SELECT board_id, drill, layer, array_to_string(component_ids, ',') AS component_ids, {sql_digits('copper_fraction', 'pad_ring_fraction')}, pad_ring_contact, contact FROM contact")
+def drill_contacts(spark, sf_dir):
+    c = extraction(spark, sf_dir).contacts
+    ids = F.array_join(F.col("component_ids").cast("array<string>"), ",").alias("component_ids")
+    return c.select("board_id", "drill", "layer", ids, *digits("copper_fraction", "pad_ring_fraction"), "pad_ring_contact", "contact")
+
+
+@registered(f"SELECT board_id, drill, layer, {sql_digits('pad_ring_angular_coverage')} FROM contact")
+def drill_angular_coverage(spark, sf_dir):
+    return extraction(spark, sf_dir).contacts.select("board_id", "drill", "layer", *digits("pad_ring_angular_coverage"))
+
+
+def _decisions(mode: str):
+    def run(spark, sf_dir):
+        return extraction(spark, sf_dir, mode).decisions.select("board_id", "drill", *digits("radius_px"), "plated", "classification", "rule")
+
+    run.__name__ = f"drill_classify_{mode}"
+    return registered(f"SELECT board_id, drill, {sql_digits('radius_px')}, plated, classification, rule FROM decision_{mode}")(run)
+
+
+for _mode in ("infer", "explicit", "never"):
+    _decisions(_mode)
+
+
+@registered("SELECT l.board_id, CASE WHEN plated THEN 'PTH' ELSE 'NPTH' END AS layer, y, x0, x1 FROM dlab l JOIN decision_infer d ON l.board_id = d.board_id AND component = drill")
+def drill_split_masks(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    return drills.split_masks(e.drill_labelled, e.decisions)
+
+
+@registered("SELECT board_id, drill, classification, CASE WHEN drill % 3 = 0 THEN drill % 2 = 0 ELSE plated END AS plated, drill % 3 = 0 AS override FROM decision_infer")
+def drill_choices_override(spark, sf_dir):
+    """Each third hole's decision is overridden by a JSON of choices."""
+    d = extraction(spark, sf_dir).decisions
+    one = F.struct("drill", (F.col("drill") % 2 == 0).alias("plated"))
+    texts = d.where("drill % 3 = 0").groupBy("board_id").agg(F.to_json(F.struct(F.collect_list(one).alias("decisions"))).alias("json"))
+    return drills.override(d, files.read_choices(texts)).select("board_id", "drill", "classification", "plated", "override")
+
+
+@registered("SELECT board_id, layer, component, net FROM net")
+def nets_merge(spark, sf_dir):
+    return extraction(spark, sf_dir).nets
+
+
+@registered("SELECT board_id, net, string_agg(layer || ':' || component, ' ' ORDER BY layer, component) AS members FROM net GROUP BY board_id, net HAVING count(*) > 1")
+def net_groups(spark, sf_dir):
+    g = nets.groups(extraction(spark, sf_dir).nets)
+    return g.select("board_id", "net", F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["layer"], m["component"])), " ").alias("members"))
+
+
+@registered("""SELECT c.board_id, coalesce(n, 0)::INT AS n_nets, round(coalesce(most / nullif(total, 0), 0)::DOUBLE, 6) AS largest_net_share,
+ CASE WHEN coalesce(n, 0) = 0 THEN 'no nets' WHEN n = 1 THEN 'a single net' WHEN most / total > 0.7 THEN 'one net dominates' ELSE '' END AS warnings FROM canvas c LEFT JOIN
+ (SELECT board_id, max(net) AS n, sum(px)::DOUBLE AS total, max(px)::DOUBLE AS most FROM (SELECT board_id, layer, net, sum(area_px) AS px FROM net JOIN comp USING (board_id, layer, component) GROUP BY ALL) GROUP BY board_id) USING (board_id)""")
+def net_check(spark, sf_dir):
+    c = extraction(spark, sf_dir).check
+    return c.select("board_id", "n_nets", *digits("largest_net_share"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+_EDGES = "(SELECT board_id, drill, classification, coalesce(n, 0)::BIGINT AS n_members, coalesce(net, 0)::INT AS net FROM decision_infer LEFT JOIN (SELECT board_id, drill, count(*) AS n, min(net) AS net FROM member LEFT JOIN net USING (board_id, layer, component) GROUP BY ALL) USING (board_id, drill))"
+
+
+@registered(f"SELECT * FROM {_EDGES}")
+def drill_net_edges(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    return nets.drill_edges(e.members, e.nets, e.decisions)
+
+
+@registered(f"SELECT board_id, drill, n_members, net FROM {_EDGES} ORDER BY n_members DESC, board_id, drill LIMIT 10")
+def drill_top10_members(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    return nets.drill_edges(e.members, e.nets, e.decisions).select("board_id", "drill", "n_members", "net").orderBy(F.desc("n_members"), "board_id", "drill").limit(10)
+
+
+_WANT = "(SELECT board_id, net, min(id) AS s, max(id) AS t FROM net JOIN node_n USING (board_id, layer, component) GROUP BY ALL HAVING count(*) > 1)"
+
+
+@registered(f"""SELECT w.board_id, a.layer || ':' || a.component AS start, b.layer || ':' || b.component AS "end", d::BIGINT AS n_steps FROM
+ (WITH RECURSIVE pair AS (SELECT DISTINCT x.id AS u, y.id AS v FROM (SELECT * FROM member JOIN node_n USING (board_id, layer, component)) x JOIN (SELECT * FROM member JOIN node_n USING (board_id, layer, component)) y ON x.board_id = y.board_id AND x.drill = y.drill AND x.id <> y.id),
+  want AS (SELECT * FROM {_WANT}),
+  walk(s, id, d) USING KEY (s, id) AS (SELECT s, s, 0 FROM want UNION SELECT w.s, p.v, min(w.d) + 1 FROM walk w JOIN pair p ON w.id = p.u LEFT JOIN recurring.walk r ON r.s = w.s AND r.id = p.v WHERE r.id IS NULL GROUP BY w.s, p.v)
+  SELECT want.board_id, want.s, want.t, d FROM want JOIN walk ON walk.s = want.s AND walk.id = want.t) w JOIN node_n a ON a.id = w.s JOIN node_n b ON b.id = w.t""")
+def explain_paths(spark, sf_dir):
+    """Length of the path from the first to the last component of every net."""
+    e = extraction(spark, sf_dir)
+    node = F.struct("layer", "component")
+    name = lambda c: F.concat_ws(":", F.col(f"{c}.layer"), F.col(f"{c}.component"))
+    ends = e.nets.groupBy("board_id", "net").agg(F.min(node).alias("a"), F.max(node).alias("b"), F.count("*").alias("n")).where("n > 1")
+    steps = nets.explain(e.members, ends.select("board_id", name("a").alias("start"), name("b").alias("end")))
+    return steps.groupBy("board_id", "start", "end").agg(F.count("*").alias("n_steps"))
+
+
+# export
+
+
+@registered("SELECT board_id, net, (net >> 16) & 255 AS r, (net >> 8) & 255 AS g, net & 255 AS b, net AS decoded FROM (SELECT DISTINCT board_id, net FROM net)")
+def idmap_codec(spark, sf_dir):
+    n = extraction(spark, sf_dir).nets.select("board_id", "net").distinct()
+    rgb = n.select("board_id", "net", export.encode_rgb(F.col("net")).alias("c")).select("board_id", "net", "c.*")
+    return rgb.withColumn("decoded", export.decode_rgb(F.col("r"), F.col("g"), F.col("b")))
+
+
+@registered("SELECT board_id, layer, y // 4 AS by, x // 4 AS bx, max(net) AS net FROM (SELECT board_id, layer, y, unnest(range(x0, x1))::INT AS x, net FROM nrun) GROUP BY ALL")
+def downsample_block_max(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    return export.downsample(e.net_runs, e.canvas, 0.25)
+
+
+_RECTS = "(SELECT board_id, layer, net, x0, min(y)::INT AS y0, x1, (max(y) + 1)::INT AS y1 FROM (SELECT *, y - row_number() OVER (PARTITION BY board_id, layer, net, x0, x1 ORDER BY y) AS i FROM nrun) GROUP BY board_id, layer, net, x0, x1, i)"
+
+
+@registered(f"SELECT * FROM {_RECTS}")
+def netmap_rects(spark, sf_dir):
+    return export.rectangles(extraction(spark, sf_dir).net_runs)
+
+
+@registered(f"""SELECT board_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {SIDE} {SIDE}">' || chr(10) || coalesce(body, '') || chr(10) || '</svg>' AS svg FROM canvas LEFT JOIN
+ (SELECT board_id, string_agg('<g data-layer="' || layer || '">' || chr(10) || p || chr(10) || '</g>', chr(10) ORDER BY layer) AS body FROM (SELECT board_id, layer, string_agg('<path class="net" data-net-id="' || net || '" d="' || d || '"/>', chr(10) ORDER BY net) AS p FROM
+ (SELECT board_id, layer, net, string_agg('M' || x0 || ' ' || y0 || 'H' || x1 || 'V' || y1 || 'H' || x0 || 'Z', '' ORDER BY y0, x0, 'M' || x0 || ' ' || y0 || 'H' || x1) AS d FROM {_RECTS} GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) USING (board_id)""")
+def netmap_svg(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    return export.netmap(export.rectangles(e.net_runs), e.canvas)
+
+
+@registered(f"SELECT board_id, layer, net, x0 >> 1 AS x0, y0 >> 1 AS y0, least({SIDE // 2}, greatest((x0 >> 1) + 1, x1 >> 1)) AS x1, least({SIDE // 2}, greatest((y0 >> 1) + 1, y1 >> 1)) AS y1 FROM {_RECTS}")
+def netmap_parse(spark, sf_dir):
+    """The exported text, read again at half size."""
+    e = extraction(spark, sf_dir)
+    return vector.parse_netmap(export.netmap(export.rectangles(e.net_runs), e.canvas), shift=1).drop("ord")
+
+
+_SMALL = 96
+
+
+@registered(f"SELECT board_id, layer, oy AS y, ox AS x, net FROM nrun JOIN (SELECT unnest(range(0, {_SMALL}))::INT AS oy) ON floor((oy + 0.5) * {SIDE} / {_SMALL}) = y JOIN (SELECT unnest(range(0, {_SMALL}))::INT AS ox) ON floor((ox + 0.5) * {SIDE} / {_SMALL}) >= x0 AND floor((ox + 0.5) * {SIDE} / {_SMALL}) < x1")
+def resize_nearest(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    return export.resize_nearest(e.net_runs, e.canvas, _SMALL, _SMALL)
+
+
+@registered(None)
+def resize_rescue(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    small = export.resize_nearest(e.net_runs, e.canvas, 40, 40)
+    return export.rescue(small, e.net_runs, e.canvas, 40, 40)
+
+
+# vectors
+
+_CELL = "SELECT point, gx, gy, net, x - gx AS dx, y - gy AS dy FROM p JOIN (SELECT board_id, layer, y, unnest(range(x0, x1))::INT AS x, net FROM nrun) c ON p.board_id = c.board_id AND p.layer = c.layer AND abs(x - gx) <= 3 AND abs(y - gy) <= 3"
+
+
+@registered(f"""SELECT p.board_id, p.layer, p.point, coalesce(n.net, 0)::INT AS net FROM (SELECT c_nationkey::INT AS board_id, 'F_Cu' AS layer, c_custkey::INT AS point, (c_custkey * 29 % {SIDE})::INT AS gx, (c_custkey * 31 % {SIDE})::INT AS gy FROM customer) p LEFT JOIN
+ (SELECT point, arg_min(net, [dx * dx + dy * dy, least(CASE WHEN dy = -r THEN (dx + r) * 4 END, CASE WHEN dy = r THEN (dx + r) * 4 + 1 END, CASE WHEN dx = -r THEN (dy + r) * 4 + 2 END, CASE WHEN dx = r THEN (dy + r) * 4 + 3 END)]) AS net FROM (SELECT *, greatest(abs(dx), abs(dy)) AS r FROM
+ (WITH p AS (SELECT c_nationkey::INT AS board_id, 'F_Cu' AS layer, c_custkey::INT AS point, (c_custkey * 29 % {SIDE})::INT AS gx, (c_custkey * 31 % {SIDE})::INT AS gy FROM customer) {_CELL})) GROUP BY point) n USING (point)""")
+def nearest_label(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    k = F.col("c_custkey").cast("int")
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("int").alias("board_id"), F.lit("F_Cu").alias("layer"), k.alias("point"), (k * 29 % SIDE).alias("gx"), (k * 31 % SIDE).alias("gy"))
+    return vector.nearest_label(points, e.net_runs, e.canvas)
+
+
+@registered("SELECT n.board_id, n.layer, count(*) AS n_segments, count(*) FILTER (net > 0) AS n_attributed FROM (SELECT c_nationkey::INT AS board_id, c_custkey::INT AS k, [" + ", ".join(f"'{x}'" for x in COPPER) + "][c_custkey % 3 + 1] AS layer FROM customer) r JOIN LATERAL (SELECT r.board_id, r.layer, (SELECT max(net) FROM nrun c WHERE c.board_id = r.board_id AND c.layer = r.layer AND c.y = r.k * 53 % 240 + (4 + r.k % 7) // 2 AND c.x0 <= r.k * 37 % 240 + (4 + r.k % 13) // 2 AND c.x1 > r.k * 37 % 240 + (4 + r.k % 13) // 2) AS net) n ON true GROUP BY ALL")
+def attribute_segments(spark, sf_dir):
+    """Each rectangle's middle line, attributed to the net it lies on."""
+    e = extraction(spark, sf_dir)
+    k = F.col("c_custkey").cast("int")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("int").alias("board_id"), k.alias("seg"), F.get(F.array(*map(F.lit, COPPER)), k % 3).alias("layer"))
+    s = F.col("seg")
+    y = s * 53 % 240 + F.floor((4 + s % 7) / 2)
+    seg = c.select("board_id", "layer", "seg", F.lit(1).alias("polarity"), (s * 37 % 240).alias("x1"), y.alias("y1"), (s * 37 % 240 + 4 + s % 13).alias("x2"), y.alias("y2"))
+    return vector.attribute_segments(seg, e.net_runs, e.canvas).groupBy("board_id", "layer").agg(F.count("*").alias("n_segments"), F.count_if(F.col("net") > 0).alias("n_attributed"))
+
+
+@registered("SELECT c_nationkey::INT AS board_id, c_custkey::INT AS path_id, 0 AS part, true AS closed, (2 * (4 + c_custkey % 13) + 2 * (4 + c_custkey % 7))::DOUBLE AS length FROM customer")
+def svg_path_flatten(spark, sf_dir):
+    """Each rectangle as path data in relative commands, flattened again."""
+    k = F.col("c_custkey").cast("int")
+    w, h = 4 + k % 13, 4 + k % 7
+    d = F.format_string("m%d,%dh%dv%dl-%d 0z", k * 37 % 240, k * 53 % 240, w, h, w)
+    paths = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("int").alias("board_id"), k.alias("path_id"), d.alias("d"))
+    return vector.flatten(paths).select("board_id", "path_id", "part", "closed", *digits("length"))
+
+
+# names and files
+
+#: File names of four families of tools, by board.
+FAMILIES = (
+    ("proj-F_Cu.gbr", "proj-In1_Cu.gbr", "proj-In2.Cu.gbr", "proj-B_Cu.gbr", "proj-F_SilkS.gbr", "proj-B.Mask.gbr", "proj-Edge_Cuts.gm1", "proj-PTH.drl", "proj-NPTH.drl", "readme.md"),
+    ("b.gtl", "b.g1", "b.gp2", "b.gbl", "b.gto", "b.gbs", "b.gko", "b.drl", "b.txt"),
+    ("a.cmp", "a.ly2", "a.ly3", "a.sol", "a.plc", "a.sts", "a.drd", "a_via.ncd", "a.dri", "a.gpi"),
+    ("x-F_Cu.gbl", "x.gtl", "x.gbl", "x-VIAS.xln", "X-PTH.nc"),
+)
+_FILES = {"files": "['" + "'], ['".join("', '".join(f) for f in FAMILIES) + "']", "families": len(FAMILIES)}
+_CASES = " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in catalog.BY_EXTENSION.items())
+_STEMS = " ".join(f"WHEN regexp_matches(part, '(?i)^{rx}') THEN '{n}'" for n, rx in catalog.BY_STEM.items())
+_DETECT = f"""(SELECT board_id, canonical, min(filename) AS filename FROM (SELECT *, CASE
+ WHEN ext IN {catalog.DRILL_EXTENSIONS} THEN CASE WHEN regexp_matches(stem, '(?i)(^|[-_])VIAS?$') THEN 'via' WHEN regexp_matches(stem, '(?i)(^|[-_])PTH$') THEN 'PTH' WHEN regexp_matches(stem, '(?i)(^|[-_])NPTH$') THEN 'NPTH' ELSE 'drill' END
+ WHEN NOT (ext IN {(*catalog.BY_EXTENSION, *catalog.OTHER_EXTENSIONS)} OR regexp_matches(ext, '^(gp?|ly)[0-9]+$')) THEN NULL
+ WHEN regexp_matches(part, '(?i)^In[0-9]+[._]Cu$') THEN 'In' || regexp_extract(part, '[0-9]+')::INT || '_Cu' {_STEMS}
+ WHEN regexp_matches(ext, '^gp?[0-9]+$') THEN 'In' || regexp_extract(ext, '[0-9]+')::INT || '_Cu' WHEN regexp_matches(ext, '^ly[0-9]+$') THEN 'In' || (regexp_extract(ext, '[0-9]+')::INT - 1) || '_Cu' {_CASES} END AS canonical
+ FROM (SELECT *, regexp_extract(stem, '([^-]*)$', 1) AS part FROM (SELECT *, lower(regexp_extract(filename, '^.+\\.([^.]*)$', 1)) AS ext, regexp_extract(filename, '^(.+)\\.[^.]*$', 1) AS stem FROM files))) WHERE canonical IS NOT NULL GROUP BY board_id, canonical)"""
+
+
+def board_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("board_id"))
+    names = F.array(*(F.array(*map(F.lit, f)) for f in FAMILIES))
+    return n.select("board_id", F.explode(F.get(names, F.col("board_id") % len(FAMILIES))).alias("filename"))
+
+
+@registered(f"SELECT * FROM {_DETECT}", **_FILES)
+def layer_detect(spark, sf_dir):
+    return catalog.detect_layers(board_files(spark, sf_dir))
+
+
+@registered(f"""SELECT board_id, canonical AS layer, (row_number() OVER (PARTITION BY board_id ORDER BY CASE canonical WHEN 'F_Cu' THEN 0 WHEN 'B_Cu' THEN 1000 ELSE regexp_extract(canonical, '[0-9]+')::INT END) - 1)::INT AS layer_ord
+ FROM {_DETECT} WHERE regexp_matches(canonical, '^(F_Cu|B_Cu|In[0-9]+_Cu)$') AND board_id IN (SELECT board_id FROM {_DETECT} WHERE canonical IN ('F_Cu', 'B_Cu') GROUP BY board_id HAVING count(*) = 2)""", **_FILES)
+def layer_resolution(spark, sf_dir):
+    got = catalog.detect_layers(board_files(spark, sf_dir)).select("board_id", F.col("canonical").alias("name"))
+    return catalog.resolve_layers(got)
+
+
+@registered(f"""SELECT board_id, coalesce(max(name) FILTER (k = 1), max(name) FILTER (k = 2), max(name) FILTER (k = 3), 'via') AS name, CASE WHEN bool_or(k = 1) AND bool_or(k = 3) AND NOT bool_or(k = 2) THEN 'infer' WHEN bool_or(k IN (1, 2)) THEN 'explicit' ELSE 'infer' END AS mode
+ FROM (SELECT board_id, canonical AS name, list_position(['via', 'PTH', 'drill'], canonical) AS k FROM {_DETECT}) GROUP BY board_id""", **_FILES)
+def connector_resolution(spark, sf_dir):
+    """Which mask connects layers and how it is read; all masks equal here."""
+    got = catalog.detect_layers(board_files(spark, sf_dir)).select("board_id", F.col("canonical").alias("name"))
+    return catalog.connector_mode(got.withColumn("sha", F.sha2(F.lit("same"), 256)), catalog.via_name(got))
+
+
+@registered(None)
+def excellon_assignment(spark, sf_dir):
+    """Drilled areas against the holes they came from, y upwards, shuffled."""
+    b = boards.derive(spark, sf_dir)
+    d = drills.blobs(b.drill)
+    objects = d.select("board_id", (F.lit(10_000) - F.col("drill")).alias("object_index"), (F.col("cx") * 0.1).alias("x"), ((SIDE - F.col("cy")) * 0.1).alias("y"))
+    return files.match_objects(d, objects)
+
+
+@registered("SELECT c.board_id, 'board ' || c.board_id AS title, coalesce(n, 0)::INT AS n_nets, coalesce(k, 0)::BIGINT AS n_components FROM canvas c LEFT JOIN (SELECT board_id, max(net) AS n, count(*) AS k FROM net GROUP BY board_id) USING (board_id)")
+def gallery_index(spark, sf_dir):
+    """Build metadata as JSON, read again as a gallery."""
+    e = extraction(spark, sf_dir)
+    n = e.nets.groupBy("board_id").agg(F.max("net").alias("n"), F.count("*").alias("k"))
+    meta = e.canvas.join(n, "board_id", "left").select("board_id", F.to_json(F.struct(F.format_string("board %d", "board_id").alias("title"), F.struct(F.coalesce("n", F.lit(0)).alias("nets"), F.coalesce("k", F.lit(0)).alias("components")).alias("counts"))).alias("json"))
+    m = F.from_json("json", "title string, counts struct<nets:int,components:bigint>")
+    return meta.select("board_id", m["title"].alias("title"), m["counts.nets"].alias("n_nets"), m["counts.components"].alias("n_components"))
