@@ -81,7 +81,8 @@ def rescue(small: DataFrame, runs: DataFrame, canvas: DataFrame, width: int, hei
     ascending, the first free pixel in growing squares up to 3 around the net's
     first pixel, else that pixel itself.  One task has one layer of one board."""
     first = runs.groupBy("board_id", "layer", "net").agg(F.min(F.struct("y", "x0")).alias("p"))
-    gone = first.join(small.select("board_id", "layer", "net").distinct(), ["board_id", "layer", "net"], "left_anti").join(canvas, "board_id")
+    kept = small.groupBy("board_id", "layer", "net").agg(F.count("*").alias("n"))
+    gone = first.join(kept, ["board_id", "layer", "net"], "left").where("n IS NULL").join(canvas, "board_id")
     at = gone.select("board_id", "layer", "net", F.least(F.lit(height - 1), F.floor((F.col("p.y") + 0.5) * height / F.col("h"))).cast("int").alias("oy"), F.least(F.lit(width - 1), F.floor((F.col("p.x0") + 0.5) * width / F.col("w"))).cast("int").alias("ox"))
 
     def run(have: pd.DataFrame, lost: pd.DataFrame) -> pd.DataFrame:
@@ -101,4 +102,5 @@ def rescue(small: DataFrame, runs: DataFrame, canvas: DataFrame, width: int, hei
         return pd.DataFrame({"board_id": key["board_id"], "layer": key["layer"], "y": y.astype("int32"), "x": x.astype("int32"), "net": grid[y, x]})
 
     keys = ["board_id", "layer"]
+    at = at.toDF(*at.columns)  # its columns must not be taken for those of small
     return small.groupBy(keys).cogroup(at.groupBy(keys)).applyInPandas(run, "board_id int, layer string, y int, x int, net int")

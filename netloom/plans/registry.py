@@ -425,4 +425,4 @@ def gallery_index(spark, sf_dir):
     n = e.nets.groupBy("board_id").agg(F.max("net").alias("n"), F.count("*").alias("k"))
     meta = e.canvas.join(n, "board_id", "left").select("board_id", F.to_json(F.struct(F.format_string("board %d", "board_id").alias("title"), F.struct(F.coalesce("n", F.lit(0)).alias("nets"), F.coalesce("k", F.lit(0)).alias("components")).alias("counts"))).alias("json"))
     m = F.from_json("json", "title string, counts struct<nets:int,components:bigint>")
-    return meta.select("board_id", m["title"].alias("title"), m["counts.nets"].alias("n_nets"), m["counts.components"].alias("n_components"))
+    return meta.select("board_id", m["title"].alias("title"), m["counts"]["nets"].alias("n_nets"), m["counts"]["components"].alias("n_components"))
