@@ -81,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.oracle(),
         "op6_warc": warc.oracle(),
         "op8_quality_rules": quality.oracle(),
+        "op10_ngram_join": ngram_join.oracle(),
     }
