@@ -50,6 +50,9 @@ FURNITURE_NAMES = frozenset(
     login share sharing social related recommended recommendations comment comments respond replies reply disqus widget pagination pager toolbar skip""".split()
 )
 
+#: Compound names: what they begin or end with.
+FURNITURE_COMPOUND = re.compile(r"(comment(s|list|area|box|form|thread|section)|cookie|advert|adslot|adbox|sidebar|footer|navbar|newsletter|sponsor|breadcrumb|social|banner|siteheader|pageheader).*|.*(nav|menu|sidebar|footer|banner|comments)")
+
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)"
     r"|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -75,7 +78,7 @@ class Node:
                 self.furniture = True
             elif self.names and tag not in ("html", "body", "main", "article"):
                 parts = re.split(r"[^A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", self.names))
-                self.furniture |= any(p.lower() in FURNITURE_NAMES for p in parts)
+                self.furniture |= any(p.lower() in FURNITURE_NAMES or FURNITURE_COMPOUND.fullmatch(p.lower()) is not None for p in parts)
 
     @property
     def sign(self) -> str:
@@ -157,17 +160,25 @@ def blocks(node: Node) -> Iterator[tuple[Node, str]]:
 
 
 def weigh(node: Node, skip: frozenset = frozenset()) -> int:
-    """Characters of content below each node, blocks in ``skip`` left out."""
-    total = 0
-    for c in node.children:
-        if c.text is not None:
-            total += len(c.text.strip())
-        elif visible(c, node.tag == "article"):
-            total += weigh(c, skip)
-    if skip and total and node.tag not in STRUCTURE and node.tag in BLOCKS and mark(node) in skip:
-        total = 0
-    node.chars = total
-    return total
+    """Characters of content below each node.  Blocks in ``skip`` weigh nothing,
+    nor do lists of links, which point at content rather than hold it."""
+
+    def walk(n: Node, in_link: bool) -> tuple[int, int, int]:
+        total = linked = links = 0
+        for c in n.children:
+            if c.text is not None:
+                k = len(c.text.strip())
+                total, linked = total + k, linked + k * in_link
+            elif visible(c, n.tag == "article"):
+                t, k, m = walk(c, in_link or c.tag == "a")
+                total, linked, links = total + t, linked + k, links + m + (c.tag == "a")
+        block = n.tag in BLOCKS
+        if block and links > 2 and 5 * linked >= 4 * total or skip and block and total and n.tag not in STRUCTURE and mark(n) in skip:
+            total = linked = links = 0
+        n.chars = total
+        return total, linked, links
+
+    return walk(node, False)[0]
 
 
 def whole_text(node: Node) -> str:

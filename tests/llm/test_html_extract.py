@@ -14,6 +14,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
     ("<div><div class='story'><p>" + "long text " * 30 + "</p><p>tail</p></div></div>", ("long text " * 30).strip() + "\ntail"),
     ("<article>a < b and c<d/> &lt;p&gt; &#x41;&#66;</article>", "a < b and c <p> AB"),
     ("<article></article>", ""),
+    ("<div>" + "<a href=x>a rather long link text</a> " * 40 + "</div><div class=c7><p>Short story</p><p>Its <a>end</a></p></div>", "Short story\nIts end"),
+    ("<article><p>Text</p><div class=adSlot>buy</div><ol class=commentlist><li>me too</ol><p class=commentary>Kept</p></article>", "Text\nKept"),
     ("<article><p>unclosed", "unclosed"),
 ])
 def test_extract(body, want):
