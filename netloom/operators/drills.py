@@ -16,9 +16,9 @@ PAD_COPPER, PAD_ANGLES, BINS = 0.80, 0.75, 32
 LEAST_SMALL, LEAST_LARGE = 8.0, 20.0
 
 
-def blobs(drill_runs: DataFrame) -> DataFrame:
+def blobs(drill_labelled: DataFrame) -> DataFrame:
     """Drilled areas as (board_id, drill, area_px, radius_px, bbox, cx, cy)."""
-    s = components.stats(components.label(drill_runs)).withColumnRenamed("component", "drill").drop("layer")
+    s = components.stats(drill_labelled).withColumnRenamed("component", "drill").drop("layer")
     return s.withColumn("radius_px", F.sqrt(F.col("area_px") / math.pi))
 
 

@@ -8,11 +8,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from netloom.operators import components, drills, nets
+from netloom.storage import stored
 
 
 @dataclass(frozen=True)
 class Extraction:
-    """Each step is a DataFrame, planned on first use."""
+    """Each step is a DataFrame, planned on first use.  Labels and contacts feed
+    several later steps, so they are stored once instead of computed for each."""
 
     copper: DataFrame
     drill: DataFrame
@@ -22,7 +24,7 @@ class Extraction:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return components.label(self.copper)
+        return stored(components.label(self.copper), "labels")
 
     @cached_property
     def components(self) -> DataFrame:
@@ -30,11 +32,11 @@ class Extraction:
 
     @cached_property
     def drill_labelled(self) -> DataFrame:
-        return components.label(self.drill)
+        return stored(components.label(self.drill), "drill_labels")
 
     @cached_property
     def blobs(self) -> DataFrame:
-        return drills.blobs(self.drill)
+        return drills.blobs(self.drill_labelled)
 
     @cached_property
     def limits(self) -> DataFrame:
@@ -42,7 +44,7 @@ class Extraction:
 
     @cached_property
     def contacts(self) -> DataFrame:
-        return drills.contacts(self.blobs, self.labelled, self.canvas, self.layers)
+        return stored(drills.contacts(self.blobs, self.labelled, self.canvas, self.layers), "contacts")
 
     @cached_property
     def decisions(self) -> DataFrame:

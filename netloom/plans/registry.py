@@ -413,7 +413,7 @@ def connector_resolution(spark, sf_dir):
 def excellon_assignment(spark, sf_dir):
     """Drilled areas against the holes they came from, y upwards, shuffled."""
     b = boards.derive(spark, sf_dir)
-    d = drills.blobs(b.drill)
+    d = drills.blobs(components.label(b.drill))
     objects = d.select("board_id", (F.lit(10_000) - F.col("drill")).alias("object_index"), (F.col("cx") * 0.1).alias("x"), ((SIDE - F.col("cy")) * 0.1).alias("y"))
     return files.match_objects(d, objects)
 

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}/{name}"
+    top = f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}"
+    _made.append(top)
+    return f"{top}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,3 +47,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete every table that this process stored; call it when no DataFrame
+    made before is needed any more."""
+    while _made:
+        drop_path(spark, _made.pop())
