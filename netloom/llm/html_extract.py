@@ -303,10 +303,11 @@ def with_host(pages: DataFrame) -> DataFrame:
 def wrappers(pages: DataFrame, per_host: int = 8) -> DataFrame:
     """(host, wrapper) from about ``per_host`` pages of each host."""
     keyed = with_host(pages)
-    n = keyed.groupBy("host").agg(F.count("*").alias("n"))
+    n = stored(keyed.groupBy("host").agg(F.count("*").alias("n")), "hosts")
     u = F.pmod(F.xxhash64("page_id", F.lit("wrapper")), F.lit(10**6)) / 1e6
     drawn = keyed.select("page_id", "host", u.alias("u")).join(n, "host").where(F.col("u") < 2.0 * per_host / F.col("n")).select("page_id", "host", "u")
-    sample = keyed.drop("url").join(drawn.distinct(), ["page_id", "host"]).where("html IS NOT NULL")
+    # stored, so that its size is known and decides whether pages must move
+    sample = keyed.drop("url").join(stored(drawn.distinct(), "drawn"), ["page_id", "host"]).where("html IS NOT NULL")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["u", "page_id"]).head(per_host)
@@ -335,8 +336,8 @@ def main_text(pages: DataFrame, per_host: int = 8, salts: int = 16) -> DataFrame
                         read[wrapper] = json.loads(wrapper)
                     w = read[wrapper]
                 texts.append(extract(source, w))
-            out = pdf[["page_id", "url"]].assign(text=texts)
+            out = pdf[["page_id", "url"]].assign(text=pd.Series(texts, dtype=object, index=pdf.index), n_chars=[len(t) for t in texts])
             out["page_id"] = out["page_id"].astype("Int64")
-            yield out.assign(n_chars=out["text"].str.len().astype("int64"))
+            yield out
 
     return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
