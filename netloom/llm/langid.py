@@ -62,7 +62,7 @@ class Table:
 class Model:
     """Log frequencies by language of words and of n-grams."""
 
-    def __init__(self, counts: dict[tuple[str, str], int], most_grams: int = 200_000, most_cached: int = 200_000):
+    def __init__(self, counts: dict[tuple[str, str], int], most_grams: int = 120_000, most_cached: int = 50_000):
         self.langs = sorted({lang for lang, _ in counts})
         at = {x: i for i, x in enumerate(self.langs)}
         none = lambda: np.zeros(len(self.langs))
@@ -113,7 +113,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(labelled: DataFrame, per_lang: int = 3000, most_words: int = 200_000) -> Model:
+def fit(labelled: DataFrame, per_lang: int = 3000, most_words: int = 100_000) -> Model:
     """Model of rows (key, text, lang); ``key`` only orders the sample."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     n = rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -121,7 +121,8 @@ def fit(labelled: DataFrame, per_lang: int = 3000, most_words: int = 200_000) ->
     drawn = rows.join(F.broadcast(n.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(u < per_lang / F.col("n"))
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
     top = words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(most_words)
-    return Model({(r.lang, r.word): r.n for r in top.collect()})
+    got = top.toArrow()
+    return Model(dict(zip(zip(*(got[c].to_pylist() for c in ("lang", "word"))), got["n"].to_pylist(), strict=True)))
 
 
 def predictor(model: Model):
