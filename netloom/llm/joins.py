@@ -1,0 +1,16 @@
+"""Joins that choose by size whether texts must move."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that may be broadcast: about 50 MB as a hash table.
+#: Beyond, the join shuffles both sides.
+SMALL = 2_000_000
+
+
+def sized(keys: DataFrame, most: int = SMALL) -> DataFrame:
+    """``keys``, a stored table of a few numbers a row, with leave to broadcast
+    it if it has at most ``most`` rows."""
+    return F.broadcast(keys) if keys.count() <= most else keys

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.joins import sized
 from netloom.llm.text import SYMBOLS, UPPER, WORD_CHAR, let, n_of, words
 from netloom.storage import stored
 
@@ -157,7 +158,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """The rows of ``docs`` that judge() keeps, with the same columns."""
-    named = labels.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    named = sized(stored(labels.where("doc_id IS NOT NULL").select("doc_id").distinct(), "labelled"))
     feats = stored(features(docs.select("doc_id", "text", "lang").join(named, "doc_id", "left_semi"), risk.strata), "quality")
     cutoffs = certified(feats, labels, risk).collect()
     rows = features(docs.select(F.struct(*docs.columns).alias("doc_id"), "text", "lang"), risk.strata)
