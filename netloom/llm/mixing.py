@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.llm.joins import sized
 from netloom.llm.text import SYMBOLS, n_of, words
 from netloom.storage import stored
 
@@ -108,21 +109,25 @@ def sample(cands: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return whole.unionByName(rows.where(at_edge).withColumn("part", edge_part).select(*cols, "part"))
 
 
+def taken(cands: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    return sample(cands, mix).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
+
+
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """What the mix takes of every document."""
-    got = sample(stored(candidates(docs, mix), "mixing"), mix)
-    return got.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
+    return taken(stored(candidates(docs, mix), "mixing"), mix)
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix as rows of ``docs``: a document once for every complete epoch,
     and once more for its part; a part shorter than the document keeps its
-    first words.  Rows with equal doc_id need equal text (as repeats have)."""
-    got = mixed(docs, mix).where("taken > 0").groupBy("doc_id").agg(
-        F.collect_list(F.struct("epochs", "part", "size")).alias("m")
-    )  # one row per repeat of the same row
+    first words.  Rows of one doc_id need equal text, as repeats have."""
+    cands = stored(candidates(docs, mix), "mixing")
+    if cands.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id"])  # a repeated row's takes are in one list
+    got = taken(cands, mix).where("taken > 0").groupBy("doc_id").agg(F.collect_list(F.struct("epochs", "part", "size")).alias("m"))
     times = F.flatten(F.transform("m", lambda r: F.concat(F.array_repeat(r["size"], r["epochs"].cast("int")), F.when(r["part"] > 0, F.array(r["part"])).otherwise(F.array().cast("array<bigint>")))))
-    got = got.select("doc_id", F.explode(times).alias("take"))
+    got = sized(stored(got.select("doc_id", F.explode(times).alias("take")), "takes"))
     n = F.size(words(F.col("text")))
     kept = F.when(F.col("take") >= n, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("take").cast("int")), " "))
     rows = docs.join(got, docs["doc_id"].eqNullSafe(got["doc_id"])).drop(got["doc_id"])
