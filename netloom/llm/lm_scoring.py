@@ -6,10 +6,16 @@ distribution by Witten-Bell weights, add-one at the bottom.  A document's
 score is the mean over its tokens of the target's loss less the background's:
 the lower, the more it reads like the target.
 
-Counts cover all documents and are summed by key on the executors.  What is
-kept as a model is bounded: the ``vocabulary`` most frequent words (others
-are one unknown word) and the ``bigrams`` most frequent pairs; rarer pairs
-fall back to unigrams.  The model may therefore go to every task.
+scores() keeps every word and every pair.  Counts are summed by key on the
+executors and stored; totals and kinds of a context and counts of a word come
+from all pairs; each document's own pairs are then joined to their losses, so
+nothing of the model is held in one place.  Words are told apart by 64-bit
+hashes, pairs by a mix of two: with 10^8 words a chance of 3 in 10,000 that
+any two meet, with 10^9 pairs of 3 in 100 that one pair of all is miscounted.
+
+fit() and Scorer are the same models in memory, cut to ``Size``: the most
+frequent words (others are one unknown word) and pairs.  On a corpus below
+that size they give what scores() gives; no query uses them.
 
 Defined cases: null texts and texts without words score null; labels without
 document or quality are ignored; without a good label the target is uniform
@@ -25,9 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.joins import sized
 from netloom.storage import stored
 
 
@@ -179,3 +187,127 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     scored = F.pandas_udf(run, "score double, background_loss double, n_tokens long")(F.col("text"))
     return docs.select("doc_id", scored.alias("s")).select("doc_id", "s.n_tokens", "s.background_loss", "s.score")
+
+
+class Hashes(dict):
+    """Words -> signed 64-bit hashes, none of them 0; a bounded cache."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word) - 2**63 or 1
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = h
+        return h
+
+    def of(self, text) -> np.ndarray:
+        ws = tokens(text)
+        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
+
+
+#: How far the second word's hash is turned in a pair's key.
+TURN = 29
+
+
+def before(words: np.ndarray) -> np.ndarray:
+    """The word before each; 0 before a document's first."""
+    return np.concatenate([np.zeros(1, np.int64), words[:-1]]) if len(words) else words
+
+
+def keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    u = second.view(np.uint64)
+    return first ^ ((u << np.uint64(TURN)) | (u >> np.uint64(64 - TURN))).view(np.int64)
+
+
+def key(first: Column, second: Column) -> Column:
+    """keys() in Spark."""
+    return first.bitwiseXOR(F.shiftleft(second, TURN).bitwiseOR(F.shiftrightunsigned(second, 64 - TURN)))
+
+
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """first, second, background, target: counts of every adjacent pair of all
+    documents; first is 0 where second begins a document."""
+
+    def run(batches):
+        made, held = Hashes(), 0
+        firsts, seconds, good = [], [], []
+        for pdf in batches:
+            for text, target in zip(pdf["text"], pdf["target"], strict=True):
+                ws = made.of(text)
+                firsts.append(before(ws))
+                seconds.append(ws)
+                good.append(np.full(len(ws), target, np.int8))
+                held += len(ws)
+                if held > 2_000_000:
+                    yield counted(firsts, seconds, good)
+                    firsts, seconds, good, held = [], [], [], 0
+        if held:
+            yield counted(firsts, seconds, good)
+
+    def counted(firsts, seconds, good):
+        first, second = np.concatenate(firsts), np.concatenate(seconds)
+        _, at, inverse, n = np.unique(keys(first, second), return_index=True, return_inverse=True, return_counts=True)
+        hits = np.bincount(inverse, weights=np.concatenate(good), minlength=len(at)).astype(np.int64)
+        return pd.DataFrame({"first": first[at], "second": second[at], "background": n.astype(np.int64), "target": hits})
+
+    out = rows.mapInPandas(run, "first long, second long, background long, target long")
+    return out.groupBy("first", "second").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def pair_losses(pairs: DataFrame) -> DataFrame:
+    """pair, opens, b, t: background and target loss of every pair's second word."""
+    n = lambda c: F.count_if(F.col(c) > 0)
+    contexts = stored(pairs.where("first <> 0").groupBy("first").agg(F.sum("background").alias("total_b"), n("background").alias("kinds_b"), F.sum("target").alias("total_t"), n("target").alias("kinds_t")), "contexts")
+    words = stored(pairs.groupBy("second").agg(F.sum("background").alias("word_b"), F.sum("target").alias("word_t")), "words")
+    sums = words.agg(F.count("*").alias("n"), F.sum("word_b").alias("b"), F.sum("word_t").alias("t")).first()
+
+    def loss(count: str, side: str) -> Column:
+        unigram = (F.col(f"word_{side}") + 1.0) / F.lit(float((sums[side] or 0) + sums["n"] + 1))
+        whole = F.col(f"total_{side}") + F.col(f"kinds_{side}")
+        mixed = F.when(whole > 0, (F.col(count) + F.col(f"kinds_{side}") * unigram) / whole).otherwise(unigram)  # Witten-Bell
+        return -F.log(F.when(F.col("first") == 0, unigram).otherwise(mixed))
+
+    rows = pairs.join(sized(words), "second").join(sized(contexts), "first", "left")
+    return rows.select(key(F.col("first"), F.col("second")).alias("pair"), (F.col("first") == 0).alias("opens"), loss("background", "b").alias("b"), loss("target", "t").alias("t"))
+
+
+def own_pairs(rows: DataFrame) -> DataFrame:
+    """doc, pair, n: every document's own pairs, counted."""
+
+    def run(batches):
+        made, held = Hashes(), 0
+        docs, pairs, counts = [], [], []
+        for pdf in batches:
+            for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
+                ws = made.of(text)
+                if not len(ws):
+                    continue
+                pair, n = np.unique(keys(before(ws), ws), return_counts=True)
+                docs.append(np.full(len(pair), doc, np.int64))
+                pairs.append(pair)
+                counts.append(n.astype(np.int32))
+                held += len(pair)
+                if held > 500_000:
+                    yield frame(docs, pairs, counts)
+                    docs, pairs, counts, held = [], [], [], 0
+        if held:
+            yield frame(docs, pairs, counts)
+
+    def frame(docs, pairs, counts):
+        return pd.DataFrame({"doc": np.concatenate(docs), "pair": np.concatenate(pairs), "n": np.concatenate(counts)})
+
+    return rows.mapInPandas(run, "doc long, pair long, n int")
+
+
+def scores(docs: DataFrame, labels: DataFrame, size: Size = Size()) -> DataFrame:
+    """doc_id, n_tokens, background_loss, score of every document, by models of
+    every word and pair.  Equal texts share their sums, which the number of
+    first words then divides."""
+    doc = F.xxhash64("text").alias("doc")
+    losses = pair_losses(stored(all_pairs(marked(docs, labels, size)), "pairs"))
+    n = F.col("n")
+    sums = own_pairs(docs.where("text IS NOT NULL").select(doc, "text")).join(losses, "pair").groupBy("doc").agg(
+        F.sum(n).alias("words"), F.sum(F.when(F.col("opens"), n)).alias("copies"), F.sum(n * F.col("b")).alias("b"), F.sum(n * (F.col("t") - F.col("b"))).alias("d")
+    )
+    of_text = sums.select("doc", F.expr("words div copies").alias("n_tokens"), (F.col("b") / F.col("words")).alias("background_loss"), (F.col("d") / F.col("words")).alias("score"))
+    rows = docs.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("doc")).join(of_text, "doc", "left")
+    return rows.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "background_loss", "score")

@@ -38,8 +38,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, lm_scoring.fit(docs, table(spark, sf_dir, "labels")))
+    return lm_scoring.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

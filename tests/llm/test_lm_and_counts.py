@@ -1,5 +1,6 @@
 import json
 import math
+from collections import Counter
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -65,3 +66,52 @@ def test_lm_scores(spark):
         assert math.isclose(total, 1.0)
     assert lm_scoring.score(df.where("false"), scorer).count() == 0
     assert lm_scoring.fit(df.where("false"), labels).score("x y")[2] == 2
+
+
+def lm_brute(docs, good):
+    """(tokens, background loss, score) by document, from counts of all words and pairs."""
+    def model(texts):
+        words, pairs = Counter(), Counter()
+        for ws in texts:
+            words.update(ws)
+            pairs.update(zip(ws, ws[1:], strict=False))
+        total, kinds = Counter(), Counter()
+        for (a, _), n in pairs.items():
+            total[a] += n
+            kinds[a] += 1
+        return words, pairs, total, kinds
+
+    split = {i: (t or "").lower().split() for i, t in docs}
+    n_words = len({w for ws in split.values() for w in ws}) + 1
+    models = [model(split.values()), model([ws for i, ws in split.items() if i in good])]
+
+    def loss(m, ws):
+        words, pairs, total, kinds = m
+        out = 0.0
+        for i, w in enumerate(ws):
+            p = (words[w] + 1) / (sum(words.values()) + n_words)
+            a = ws[i - 1]
+            if i and kinds[a]:
+                p = (pairs[a, w] + kinds[a] * p) / (total[a] + kinds[a])
+            out -= math.log(p)
+        return out / len(ws)
+
+    return {i: (len(ws), loss(models[0], ws), loss(models[1], ws) - loss(models[0], ws)) if ws else (0, None, None) for i, ws in split.items()}
+
+
+def test_lm_query_keeps_every_word_and_pair(spark, tmp_path):
+    from netloom.llm import queries
+
+    # more words than the bounded model keeps; what tells the target apart is rare
+    docs = [(i, " ".join(f"w{(i * 353 + j * j) % 40_000}" for j in range(300)) + (" rare sign here" if i in (3, 5) else "")) for i in range(400)]
+    docs += [(1000, None), (1001, " \n"), (1002, "Alone"), (1003, docs[5][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 20)) for i in range(0, 100)] + [(None, 1), (3, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op5_lm_scoring(spark, str(tmp_path)).collect()}
+    want = lm_brute(docs, set(range(20)))
+    assert len({w for _, t in docs for w in (t or "").split()}) > 30_000 and got.keys() == want.keys()
+    for i, (n, background, score) in want.items():
+        assert got[i].n_tokens == n
+        assert (got[i].score is None) == (score is None)
+        if n:
+            assert math.isclose(got[i].background_loss, background, rel_tol=1e-9) and math.isclose(got[i].score, score, rel_tol=1e-6, abs_tol=1e-9)
