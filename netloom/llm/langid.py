@@ -6,9 +6,9 @@ n-grams are known, then shorter ones, down to single letters.  A document's
 score is the naive Bayes posterior of its best language.
 
 The model is fitted on a bounded sample of labelled rows: about ``per_lang``
-documents of each language, drawn by a hash, and at most ``most_words`` words
-in all (the most frequent), from which the n-grams are counted.  Both bounds
-are parameters; the model is therefore of bounded size and may be broadcast.
+documents of each of the 1,000 languages with most rows, drawn by a hash.  All
+words of the sample and all their n-grams are kept, so no language starves
+another; the sample bounds the model, which may therefore be broadcast.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 so is everything when no labelled row exists; equal scores go to the language
@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +43,9 @@ def grams(word: str, n: int) -> list[str]:
 class Table:
     """Items and one row of log frequencies for each."""
 
-    def __init__(self, rows: dict[str, np.ndarray]):
-        self.at = {x: i for i, x in enumerate(rows)}
-        self.logs = self._logs(np.array(list(rows.values()))) if rows else np.zeros((0, 0))
+    def __init__(self, at: dict[str, int], counts: np.ndarray):
+        self.at = at
+        self.logs = self._logs(counts) if at else np.zeros((0, 0))
 
     def get(self, item: str) -> np.ndarray | None:
         i = self.at.get(item)
@@ -62,21 +63,26 @@ class Table:
 class Model:
     """Log frequencies by language of words and of n-grams."""
 
-    def __init__(self, counts: dict[tuple[str, str], int], most_grams: int = 120_000, most_cached: int = 50_000):
+    def __init__(self, counts: dict[tuple[str, str], int], most_cached: int = 50_000):
         self.langs = sorted({lang for lang, _ in counts})
         at = {x: i for i, x in enumerate(self.langs)}
-        none = lambda: np.zeros(len(self.langs))
-        by_word: dict[str, np.ndarray] = defaultdict(none)
-        for (lang, word), n in counts.items():
-            by_word[word][at[lang]] += n
-        self.words, self.grams = Table(dict(by_word)), []
+        words: dict[str, int] = {}
+        rows = [words.setdefault(word, len(words)) for _, word in counts]
+        by_word = np.zeros((len(words), len(self.langs)))
+        np.add.at(by_word, (rows, [at[lang] for lang, _ in counts]), list(counts.values()))
+        self.words, self.grams = Table(words, by_word), []
         for n in range(1, LONGEST + 1):
-            by_gram: dict[str, np.ndarray] = defaultdict(none)
-            for word, c in by_word.items():
+            found: dict[str, int] = {}
+            gram, of = array("q"), array("q")
+            for word, i in words.items():
                 for g in grams(word, n):
-                    by_gram[g] += c
-            top = sorted(by_gram, key=lambda g: (-by_gram[g].sum(), g))[: most_grams // LONGEST]
-            self.grams.append(Table({g: by_gram[g] for g in top}))
+                    gram.append(found.setdefault(g, len(found)))
+                    of.append(i)
+            gram, of = np.frombuffer(gram, np.int64), np.frombuffer(of, np.int64)
+            by_gram = np.zeros((len(found), len(self.langs)))
+            for k in range(len(self.langs)):  # a language at a time, to need little memory
+                by_gram[:, k] = np.bincount(gram, weights=by_word[of, k], minlength=len(found))
+            self.grams.append(Table(found, by_gram))
         self.cache: dict[str, np.ndarray] = {}
         self.most_cached = most_cached
 
@@ -113,15 +119,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(labelled: DataFrame, per_lang: int = 3000, most_words: int = 100_000) -> Model:
+def fit(labelled: DataFrame, per_lang: int = 3000) -> Model:
     """Model of rows (key, text, lang); ``key`` only orders the sample."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     n = rows.groupBy("lang").agg(F.count("*").alias("n"))
     u = F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(10**6)) / 1e6
     drawn = rows.join(F.broadcast(n.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(u < per_lang / F.col("n"))
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
-    top = words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(most_words)
-    got = top.toArrow()
+    got = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()
     return Model(dict(zip(zip(*(got[c].to_pylist() for c in ("lang", "word"))), got["n"].to_pylist(), strict=True)))
 
 

@@ -51,3 +51,13 @@ def test_accuracy_on_held_out_documents(spark):
     got = langid.identify(docs, langid.fit_documents(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     right, n = got.where("lang = lang_pred").count(), got.count()
     assert n > 200 and right / n > 0.97
+
+
+def test_large_languages_do_not_starve_rare_ones(spark):
+    # 2,200 documents learnt, with 110,000 words that all occur twice
+    big = [(i, " ".join(2 * ["".join(chr(97 + int(c)) for c in f"{i:05}{j:02}") for j in range(50)]), "en") for i in range(3300)]
+    rare = [(10_000 + i, "zorp kvik blag wumz qrst"[5 * (i % 5) :][:4], "xx") for i in range(15)]
+    model = langid.fit_documents(spark.createDataFrame(big + rare, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "xx"] and model.predict("zorp kvik")[0] == "xx"
+    assert len(model.words.at) > 100_000
+    assert len(model.grams[3].at) == len({g for w in model.words.at for g in langid.grams(w, 4)})
