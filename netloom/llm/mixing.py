@@ -72,11 +72,26 @@ def targets(by_source: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return levels.select("source", "source_size", F.least(F.col("cap").cast("double"), water * F.col("w")).alias("target"))
 
 
+#: The column that tells rows apart, where a frame has it.
+ROW = "netloom_row"
+
+
+def row_of(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == ROW]
+
+
+def row_hash(columns: list[str]) -> Column:
+    """64 bits of all columns of a row, nulls told apart from values.  Joins ask
+    for equal doc_id as well, so only rows of one id (or of none) could meet."""
+    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+
+
 def candidates(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, source, size and sampling key of every document."""
+    """doc_id, source, size and sampling key of every document, and its ``row``
+    where docs has one."""
     u = uniform(F.col("doc_id"), mix.seed)
     return docs.select(
-        "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"),
+        "doc_id", "source", *row_of(docs), F.size(words(F.col("text"))).cast("long").alias("size"),
         (-F.log(u) / quality_weight(F.col("text"))).alias("key"),
     )
 
@@ -100,10 +115,10 @@ def sample(cands: DataFrame, mix: Mix = Mix()) -> DataFrame:
     rows = cut.alias("c").join(edge.alias("e"), F.col("c.source").eqNullSafe(F.col("e.source")) & (F.col("c.bucket") == F.col("e.bucket")))
     rows = rows.select("c.*", "e.before", "e.in_bucket", "e.source_size", "e.target", "e.epochs", "e.budget")
 
-    cols = ["doc_id", "source", "size", "source_size", "target", "epochs"]
+    cols = ["doc_id", "source", *row_of(cands), "size", "source_size", "target", "epochs"]
     at_edge = (F.col("before") < F.col("budget")) & (F.col("before") + F.col("in_bucket") > F.col("budget"))
     whole = rows.where(~at_edge).select(*cols, F.when(F.col("before") < F.col("budget"), F.col("size")).otherwise(F.lit(0)).alias("part"))
-    order = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *row_of(cands)).rowsBetween(W.unboundedPreceding, -1)
     so_far = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     edge_part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("budget") - so_far))
     return whole.unionByName(rows.where(at_edge).withColumn("part", edge_part).select(*cols, "part"))
@@ -121,17 +136,20 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix as rows of ``docs``: a document once for every complete epoch,
     and once more for its part; a part shorter than the document keeps its
-    first words.  Rows of one doc_id need equal text, as repeats have."""
-    cands = stored(candidates(docs, mix), "mixing")
-    if cands.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id"])  # a repeated row's takes are in one list
-    got = taken(cands, mix).where("taken > 0").groupBy("doc_id").agg(F.collect_list(F.struct("epochs", "part", "size")).alias("m"))
-    times = F.flatten(F.transform("m", lambda r: F.concat(F.array_repeat(r["size"], r["epochs"].cast("int")), F.when(r["part"] > 0, F.array(r["part"])).otherwise(F.array().cast("array<bigint>")))))
-    got = sized(stored(got.select("doc_id", F.explode(times).alias("take")), "takes"))
-    n = F.size(words(F.col("text")))
-    kept = F.when(F.col("take") >= n, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("take").cast("int")), " "))
-    rows = docs.join(got, docs["doc_id"].eqNullSafe(got["doc_id"])).drop(got["doc_id"])
-    return rows.select(*(kept.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    first words.  Takes belong to whole rows, not to ids: texts that share an id,
+    or have none, are taken each for itself."""
+    columns, pick = docs.columns, lambda c: F.col("d")[c]
+    rows = docs.select(F.struct(*columns).alias("d"), row_hash(columns).alias(ROW))
+    cands = stored(candidates(rows.select(*(pick(c).alias(c) for c in ("doc_id", "text", "source")), ROW), mix), "mixing")
+    if cands.groupBy("doc_id", ROW).count().where("count > 1").limit(1).count():
+        rows = rows.withColumn("id", pick("doc_id")).dropDuplicates(["id", ROW]).drop("id")  # every repeat has its own takes
+    got = taken(cands, mix).where("taken > 0")
+    times = F.concat(F.array_repeat("size", F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    got = sized(stored(got.select("doc_id", ROW, F.explode(times).alias("take")), "takes"))
+    text = pick("text")
+    kept = F.when(F.col("take") >= F.size(words(text)), text).otherwise(F.array_join(F.slice(words(text), F.lit(1), F.col("take").cast("int")), " "))
+    joined = rows.join(got, (rows[ROW] == got[ROW]) & pick("doc_id").eqNullSafe(got["doc_id"]))
+    return joined.select(*(kept.alias("text") if c == "text" else pick(c).alias(c) for c in columns))
 
 
 def sample_sql(source: str = "documents", mix: Mix = Mix()) -> str:

@@ -66,3 +66,17 @@ def test_edges(spark, rows):
     got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert len(got) == len(rows)
     assert all(r.taken == min(r.target, 3 * r.size) for r in got)
+
+
+def test_rows_without_an_id_of_their_own_keep_their_texts(spark):
+    docs = [(None, f"null{i} " * 9, "s", i) for i in range(6)] + [(1, "one a b", "s", 0), (1, "one c d", "s", 0), (2, "two", "s", 0), (2, "two", "s", 0), (2, "two", "s", 1), (3, "three x", "s", 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, take int").repartition(3)
+    got = mixing.mixed_documents(df, mixing.Mix(weights=(1.0,)))
+    assert got.columns == df.columns
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    assert {r[1].split()[0] for r in rows if r[0] is None} == {f"null{i}" for i in range(6)}
+    assert {r[1] for r in rows if r[0] == 1} == {"one a b", "one c d"}
+    assert [r[3] for r in rows if r[0] == 2] == [0, 0, 1]
+    taken = sum(r.taken for r in mixing.mixed(df, mixing.Mix(weights=(1.0,))).collect())
+    assert sum(len(r[1].split()) for r in rows) == taken
+    assert sorted(map(tuple, mixing.mixed_documents(df.repartition(2), mixing.Mix(weights=(1.0,))).collect()), key=repr) == rows
