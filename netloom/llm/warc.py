@@ -60,9 +60,14 @@ def sha1_32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def arc_url(url: str) -> str:
+    """A URL as its ARC header line holds it."""
+    return re.sub(r"[\r\n]+", " ", url) or "-"
+
+
 def arc_line(version: int, **values: str) -> bytes:
     names = FIELDS[version].split()
-    clean = [re.sub(r"[\r\n]+" if n == "URL" else r"\s+", " " if n == "URL" else "-", values.get(n.replace("-", "_"), "-")) or "-" for n in names]
+    clean = [arc_url(values.get(n, "-")) if n == "URL" else re.sub(r"\s+", "-", values.get(n.replace("-", "_"), "-")) or "-" for n in names]
     return (" ".join(clean) + "\n").encode()
 
 
@@ -128,6 +133,10 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode("utf-8", "surrogateescape") + b"\r\n" + block
 
 
+def record_id(url: str, date: str, block: bytes) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {sha1_32(block)}')}>"
+
+
 def convert(arc: ArcRecord, revisit_of: tuple[str, str] | None = None) -> bytes:
     """The WARC record of an ARC record.
 
@@ -135,8 +144,7 @@ def convert(arc: ArcRecord, revisit_of: tuple[str, str] | None = None) -> bytes:
     """
     head, payload = split_http(arc.block)
     digest = sha1_32(payload)
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{arc.url} {arc.fields['Archive-date']} {sha1_32(arc.block)}")
-    headers = [("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", warc_date(arc.fields["Archive-date"])), ("WARC-Target-URI", arc.url), ("WARC-IP-Address", arc.fields["IP-address"])]
+    headers = [("WARC-Record-ID", record_id(arc.url, arc.fields["Archive-date"], arc.block)), ("WARC-Date", warc_date(arc.fields["Archive-date"])), ("WARC-Target-URI", arc.url), ("WARC-IP-Address", arc.fields["IP-address"])]
     if arc.url.startswith("filedesc:"):
         info = f"format: WARC File Format 1.1\r\nconverted-from: ARC/{arc.version}\r\n".encode()
         return record([("WARC-Type", "warcinfo"), *headers[:2], ("WARC-Filename", arc.url.removeprefix("filedesc://")), ("Content-Type", "application/warc-fields")], info)
@@ -177,12 +185,20 @@ def page_block(page_id, html: str | None) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{known}Content-Length: {len(body)}\r\n\r\n".encode() + body
 
 
+def page_uri(page_id, url: str | None) -> str:
+    return url if isinstance(url, str) and url else f"urn:page:{page_id}"
+
+
 def first_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, sha, first) of every page that repeats an earlier payload."""
+    """(page_id, sha, first, first_url) of every page that repeats an earlier
+    payload; first_url is the least url of the first page's rows, all of which
+    are responses."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.select("page_id", F.sha1(html).alias("sha"), F.octet_length(html).alias("n")).where(F.col("n") >= least_bytes)
-    shared = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first")
-    return keyed.join(shared, "sha").where("page_id <> first").select("page_id", "sha", "first").distinct()
+    keyed = pages.select("page_id", "url", F.sha1(html).alias("sha"), F.octet_length(html).alias("n")).where(F.col("n") >= least_bytes)
+    known = keyed.where("page_id IS NOT NULL")
+    least = F.min(F.struct("page_id", "url"))
+    shared = known.groupBy("sha").agg(least.alias("least"), F.count("*").alias("copies")).where("copies > 1").select("sha", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url"))
+    return known.drop("url").join(shared, "sha").where("page_id <> first").select("page_id", "sha", "first", "first_url").distinct()
 
 
 def archives(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 16 << 20, date: str = "20200101000000") -> DataFrame:
@@ -194,19 +210,20 @@ def archives(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 16 <<
     repeats = stored(first_pages(pages, least_bytes), "revisits")
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha"))
-    rows = keyed.join(repeats, ["page_id", "sha"], "left").select("page_id", "url", "html", "first")
+    rows = keyed.join(repeats, ["page_id", "sha"], "left").select("page_id", "url", "html", "first", "first_url")
 
     def run(batches):
         out, size, n = [], 0, 0
         for pdf in batches:
-            for page, url, text, first in zip(*(pdf[c].tolist() for c in ("page_id", "url", "html", "first")), strict=True):
+            for page, url, text, first, first_url in zip(*(pdf[c].tolist() for c in ("page_id", "url", "html", "first", "first_url")), strict=True):
                 page, first = (None if x is None or x != x else int(x) for x in (page, first))
-                uri = url if isinstance(url, str) and url else f"urn:page:{page}"
+                uri = page_uri(page, url)
                 version = 1 + n % 2  # both versions of the legacy format
                 n += 1
                 legacy = arc_start(version, "pages.arc", date) + arc_record(version, uri, date, page_block(page, text))
                 parsed = list(parse_arc(legacy))
-                of = None if first is None else (f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(first))}>", str(first))
+                # the same payload, so the first page's block differs in its id only
+                of = None if first is None else (record_id(arc_url(page_uri(first, first_url)), date, page_block(first, text)), str(first))
                 if not out:
                     out.append(convert(parsed[0]))
                 out.append(convert(parsed[1], of))

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -48,3 +49,14 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_every_reference_resolves(spark, tmp_path):
+    pages = [(3, "http://b/\nx", "same"), (3, "http://a/", "same"), (5, "http://a/", "same"), (6, None, "same"), (8, "", ""), (9, "u", None), (2, None, "twin"), (4, "v", "twin"), (None, "n", "same")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    warc.write(warc.archives(df, archive_bytes=500), str(tmp_path / "out"))
+    records = [h for f in (tmp_path / "out").glob("*.gz") for h, _ in warc.parse_warc(gzip.decompress(f.read_bytes()))]
+    responses = {h["WARC-Record-ID"]: h["WARC-Payload-Digest"] for h in records if h["WARC-Type"] == "response"}
+    revisits = [h for h in records if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 4
+    assert all(responses.get(h["WARC-Refers-To"]) == h["WARC-Payload-Digest"] for h in revisits)
