@@ -36,6 +36,14 @@ def prepare(runs: DataFrame, layers: DataFrame, corrections: DataFrame) -> DataF
     return kept.unionByName(turned)
 
 
+def overlay(runs: DataFrame, drill: DataFrame, canvas: DataFrame) -> DataFrame:
+    """The audit overlay of the whole canvas as runs with their colour: copper of
+    any layer grey, drilled areas pure red on top.  Black is the absence of a run."""
+    copper = masks.union_layers(runs, "audit")
+    colours = lambda df, red, rest: df.select(*masks.ROW, "x0", "x1", F.lit(red).alias("red"), F.lit(rest).alias("green_blue"))
+    return colours(masks.punch(copper, drill, canvas), 128, 128).unionByName(colours(masks.union_layers(drill, "audit"), 255, 0))
+
+
 def outer_copper(runs: DataFrame) -> DataFrame:
     """OR of the copper that isn't an inner layer."""
     return masks.union_layers(runs, "outer", ~F.col("layer").startswith("In"))

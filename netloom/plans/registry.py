@@ -105,6 +105,13 @@ def audit_overlay_rows(spark, sf_dir):
     return top.select("board_id", "layer", "y", "x", F.when(F.col("k") == 1, 255).otherwise(128).alias("red"), F.when(F.col("k") == 1, 0).otherwise(128).alias("green_blue"))
 
 
+@registered(None)
+def audit_overlay(spark, sf_dir):
+    """Every row of the overlay, as runs; audit_overlay_rows has an eighth of its pixels."""
+    b = boards.derive(spark, sf_dir)
+    return audit.overlay(b.runs, b.drill, b.canvas)
+
+
 # audits
 
 _FILL = f"(SELECT board_id, layer, coalesce(px, 0)::DOUBLE / {SIDE * SIDE} AS fill FROM canvas CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in STACK)}) v(layer) LEFT JOIN (SELECT board_id, layer, sum(x1 - x0) AS px FROM run GROUP BY ALL) USING (board_id, layer))"

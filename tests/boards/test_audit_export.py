@@ -106,3 +106,27 @@ def test_rectangles_cover_and_netmap_round_trip(spark):
     assert (odd.paths, odd.odd_paths) == (2, 0)
     broken = svg.select("board_id", F.regexp_replace("svg", "V9", "L9").alias("svg"))
     assert vector.odd_paths(broken).first().odd_paths <= 2
+
+
+def test_overlay_paints_the_whole_canvas(spark, canvas, tmp_path):
+    copper = table(spark, rect("F_Cu", 10, 3, 60, 40) + rect("In1_Cu", 40, 20, 90, 61))
+    holes = table(spark, ellipse("drill", 50, 30, 70, 50) + ellipse("drill", 150, 70, 160, 80))
+    got = np.zeros((100, 200, 2), int)
+    for r in audit.overlay(copper, holes, canvas).collect():
+        assert not got[r.y, r.x0 : r.x1].any()  # no pixel twice
+        got[r.y, r.x0 : r.x1] = r.red, r.green_blue
+    want = np.zeros((100, 200, 2), int)
+    for colour, mask in (((128, 128), copper), ((255, 0), holes)):
+        for r in mask.collect():
+            want[r.y, r.x0 : r.x1] = colour
+    assert (got == want).all() and {y % 8 for y in np.nonzero(got.any(axis=(1, 2)))[0]} == set(range(8))
+
+
+def test_overlay_query_holds_the_eighth_that_the_other_has(spark):
+    from netloom.plans import registry
+
+    q = {n: registry.queries()[n](spark, "/root/testdata/sf0.001") for n in ("audit_overlay", "audit_overlay_rows")}
+    px = q["audit_overlay"].select("board_id", "layer", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "red", "green_blue")
+    assert px.where("y % 8 <> 0").limit(1).count() == 1
+    eighth = px.where("y % 8 = 0")
+    assert eighth.exceptAll(q["audit_overlay_rows"]).count() == 0 == q["audit_overlay_rows"].exceptAll(eighth).count()
