@@ -1,18 +1,21 @@
 """Main text of web pages by wrapper induction.
 
-For every host a bounded sample of its pages is parsed and aligned with a
-reference page by simple tree matching.  Nodes that match everywhere with the
-same text are template; nodes whose text varies are slots, and the structural
-node that gathers most slot text is where the host keeps its articles.  That
-wrapper (a path of node signatures and the template's block texts) is applied
-to every page of the host, whole and on its own.  Parts that HTML itself marks
-as furniture (nav, footer, class="advert" and the like) are never content.
-
-Hosts are salted when wrappers meet pages, so a host with a third of all pages
-is spread over tasks; what is grouped by host is the bounded sample only.
+Every page is parsed.  The path of its own descent (see below) is its layout,
+and the marks of its blocks (tag and text) are counted over all distinct pages
+of the layout and of the host.  Blocks on more than half of these are template,
+if there are at least three pages; blocks whose text varies are slots, and the
+structural node that gathers most slot text is where the layout keeps its
+articles, by a vote of all its distinct pages.  That wrapper (a path of node
+signatures and the template's marks) is applied to every page of the layout,
+whole and on its own.  Parts that HTML itself marks as furniture (nav, footer,
+class="advert" and the like) are never content.
+
+Counts are summed by key on the executors.  Hosts are salted when wrappers meet
+pages, so a host with a third of all pages is spread over tasks; what is
+gathered for a host is its template and those layouts that add to it.
 
 Defined cases: a null or empty html gives an empty text; a page without a
-usable wrapper (host unknown or seen once, or another layout) is cut by the
+usable wrapper (host unknown or seen once, or a layout of its own) is cut by the
 same descent on its own tree; unclosed and misnested tags are closed where
 HTML's rules close them; a null url belongs to the host ""; repeated rows are
 extracted alike; an empty table gives an empty result; extra columns are
@@ -219,7 +222,7 @@ def descend(root: Node, path: list[str] | None = None) -> tuple[Node, list[str]]
 
 def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: the largest top-down, order-keeping set of pairs of
-    elements with equal signatures."""
+    elements with equal signatures.  Wrappers are counted instead, see facts()."""
     memo: dict[tuple[int, int], tuple[int, list]] = {}
 
     def kids(n: Node) -> list[Node]:
@@ -251,29 +254,43 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return match(a, b)[1]
 
 
+def signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def layout_of(path: list[str]) -> int:
+    return signed(xxhash.xxh64_intdigest("\n".join(path)))
+
+
+def facts(source: str) -> tuple[int, list[int]]:
+    """Layout of a page and the marks of its blocks that may be template."""
+    root = parse(source)
+    weigh(root)
+    found, todo = set(), [root]
+    while todo:
+        for c in todo.pop().children:
+            if c.text is None and c.chars:
+                todo.append(c)
+                if c.tag in BLOCKS and c.tag not in STRUCTURE:
+                    found.add(signed(mark(c)))
+    return layout_of(descend(root)[1]), sorted(found)
+
+
+def slot_path(root: Node, template: frozenset) -> list[str]:
+    """Where a page's slots are."""
+    weigh(root, template)
+    return descend(root)[1]
+
+
 def induce(sources: list[str], least_pages: int = 3) -> dict:
-    """Wrapper of a host from some of its pages: path of the content node and
+    """Wrapper of pages of one layout in memory: path of the content node and
     the marks of template blocks."""
     distinct = list(dict.fromkeys(sources))
-    trees = [parse(s) for s in distinct]
-    for t in trees:
-        weigh(t)
-    if len(trees) < 2:
+    if len(distinct) < 2:
         return {"path": [], "template": []}
-    reference = sorted(trees, key=lambda t: t.chars)[len(trees) // 2]
-    same: Counter = Counter()
-    nodes = {}
-    for other in trees:
-        if other is not reference:
-            for x, y in tree_match(reference, other):
-                nodes[id(x)] = x
-                if x.tag not in STRUCTURE and x.tag != "#root" and x.chars and whole_text(x) == whole_text(y):
-                    same[id(x)] += 1
-    template = {mark(nodes[i]) for i, n in same.items() if n == len(trees) - 1} if len(trees) >= least_pages else set()
-    paths = Counter()
-    for t in trees:
-        weigh(t, frozenset(template))  # what is left is in slots
-        paths[tuple(descend(t)[1])] += 1
+    on = Counter(m for s in distinct for m in facts(s)[1])
+    template = {m % 2**64 for m, n in on.items() if 2 * n > len(distinct)} if len(distinct) >= least_pages else set()
+    paths = Counter(tuple(slot_path(parse(s), frozenset(template))) for s in distinct)
     best = max(paths.items(), key=lambda p: (p[1], -len(p[0]), p[0]))[0]
     return {"path": list(best), "template": sorted(template)}
 
@@ -284,10 +301,12 @@ def extract(source: str | None, wrapper: dict | None = None) -> str:
         return ""
     root = parse(source)
     weigh(root)
-    path = (wrapper or {}).get("path") or []
+    return cut(root, (wrapper or {}).get("path") or [], frozenset((wrapper or {}).get("template") or ()))
+
+
+def cut(root: Node, path: list[str], template: frozenset) -> str:
     node = descend(root, path)[0]
     found = list(blocks(node))
-    template = frozenset((wrapper or {}).get("template") or ())
     if template:
         slots = [(n, t) for n, t in found if mark(n) not in template]
         if 2 * sum(len(t) for _, t in slots) >= sum(len(t) for _, t in found):
@@ -295,47 +314,118 @@ def extract(source: str | None, wrapper: dict | None = None) -> str:
     return "\n".join(t for _, t in found)
 
 
+class HostWrapper:
+    """Template of a host; more template and the path of those layouts that have them."""
+
+    def __init__(self, template: str | None, paths: str | None = None):
+        got = json.loads(template) if isinstance(template, str) else {}
+        self.host = frozenset(m % 2**64 for m in got.get("host") or ())
+        self.layouts = {x["layout"]: self.host | {m % 2**64 for m in x["marks"]} for x in got.get("layouts") or ()}
+        self.paths = {x["layout"]: x["path"].split("\n") if x["path"] else [] for x in (json.loads(paths)["paths"] if isinstance(paths, str) else ())}
+
+    def template(self, layout: int) -> frozenset:
+        return self.layouts.get(layout, self.host)
+
+    def extract(self, source: str | None) -> str:
+        if not isinstance(source, str) or not source:
+            return ""
+        root = parse(source)
+        weigh(root)
+        layout = layout_of(descend(root)[1])
+        return cut(root, self.paths.get(layout, []), self.template(layout))
+
+
+class Wrappers(dict):
+    """HostWrapper of its two columns; a bounded cache."""
+
+    def __missing__(self, columns: tuple) -> HostWrapper:
+        if len(self) > 1000:
+            self.clear()
+        self[columns] = made = HostWrapper(*columns)
+        return made
+
+
 def with_host(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return pages.select("page_id", "url", "html", host.alias("host"))
 
 
-def wrappers(pages: DataFrame, per_host: int = 8) -> DataFrame:
-    """(host, wrapper) from about ``per_host`` pages of each host."""
-    keyed = with_host(pages)
-    n = stored(keyed.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    u = F.pmod(F.xxhash64("page_id", F.lit("wrapper")), F.lit(10**6)) / 1e6
-    drawn = keyed.select("page_id", "host", u.alias("u")).join(n, "host").where(F.col("u") < 2.0 * per_host / F.col("n")).select("page_id", "host", "u")
-    # stored, so that its size is known and decides whether pages must move
-    sample = keyed.drop("url").join(stored(drawn.distinct(), "drawn"), ["page_id", "host"]).where("html IS NOT NULL")
+def parsed(pages: DataFrame) -> DataFrame:
+    """host, page, layout, marks of every distinct page that has a html; page is
+    a hash of it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "page_id"]).head(per_host)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(induce(pdf["html"].tolist()))]})
+    def run(batches):
+        for pdf in batches:
+            got = [facts(x) for x in pdf["html"]]
+            yield pdf[["host", "page"]].assign(layout=pd.Series([x for x, _ in got], dtype="int64", index=pdf.index), marks=pd.Series([m for _, m in got], dtype=object, index=pdf.index))
+
+    rows = with_host(pages).where("html <> ''").select("host", F.xxhash64("html").alias("page"), "html")
+    return rows.mapInPandas(run, "host string, page long, layout long, marks array<long>").dropDuplicates(["host", "page"])
+
+
+def templates(facts_: DataFrame, least_pages: int = 3) -> DataFrame:
+    """host, template: marks on more than half of a host's pages, and those on
+    more than half of a layout's pages besides."""
+    sizes = stored(facts_.groupBy("host", "layout").agg(F.count("*").alias("pages")), "layouts")
+    on = facts_.select("host", "layout", F.explode("marks").alias("mark")).groupBy("host", "layout", "mark").agg(F.count("*").alias("n"))
+    on = stored(on, "marks")
+    most = (2 * F.col("n") > F.col("pages")) & (F.col("pages") >= least_pages)
+    hosts = sizes.groupBy("host").agg(F.sum("pages").alias("pages"))
+    everywhere = on.groupBy("host", "mark").agg(F.sum("n").alias("n")).where("n > 1").join(hosts, "host").where(most).select("host", "mark")
+    everywhere = stored(everywhere, "host_marks")
+    local = on.where("n > 1").join(sizes, ["host", "layout"]).where(most).join(everywhere, ["host", "mark"], "left_anti")
+    layouts = local.groupBy("host", "layout").agg(F.collect_list("mark").alias("marks")).groupBy("host").agg(F.collect_list(F.struct("layout", "marks")).alias("layouts"))
+    both = everywhere.groupBy("host").agg(F.collect_list("mark").alias("host_marks")).join(layouts, "host", "full")
+    return both.select("host", F.to_json(F.struct(F.col("host_marks").alias("host"), "layouts")).alias("template"))
+
+
+def salted(pages: DataFrame, of_host: DataFrame, salts: int) -> DataFrame:
+    """pages with the columns of ``of_host``, whose hosts are spread over tasks."""
+    spread = of_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keyed = with_host(pages).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    return keyed.join(spread, ["host", "salt"], "left").drop("salt")
 
-    return sample.groupBy("host").applyInPandas(run, "host string, wrapper string")
 
+def voted(pages: DataFrame, known: DataFrame, salts: int) -> DataFrame:
+    """host, paths: where the slots of most distinct pages of a layout are, of
+    those layouts where that isn't the layout's own path."""
 
-def main_text(pages: DataFrame, per_host: int = 8, salts: int = 16) -> DataFrame:
+    def run(batches):
+        read = Wrappers()
+        for pdf in batches:
+            rows = []
+            for source, template in zip(pdf["html"], pdf["template"], strict=True):
+                root = parse(source)
+                weigh(root)
+                own = descend(root)[1]
+                path = slot_path(root, read[template if isinstance(template, str) else None, None].template(layout_of(own)))
+                rows.append((layout_of(own), "\n".join(path), path == own))
+            yield pdf[["host", "page"]].assign(**{c: pd.Series([r[i] for r in rows], dtype=t, index=pdf.index) for i, (c, t) in enumerate((("layout", "int64"), ("path", object), ("own", bool)))})
+
+    rows = salted(pages, known, salts).where("html <> ''").select("host", F.xxhash64("html").alias("page"), "html", "template")
+    votes = rows.mapInPandas(run, "host string, page long, layout long, path string, own boolean").dropDuplicates(["host", "page"])
+    n = votes.groupBy("host", "layout", "path", "own").agg(F.count("*").alias("n"))
+    best = n.groupBy("host", "layout").agg(F.max(F.struct("n", (-F.length("path")).alias("shorter"), "path", "own")).alias("v"), F.sum("n").alias("pages"))
+    paths = best.where("pages > 1 AND NOT v.own").groupBy("host").agg(F.collect_list(F.struct("layout", "v.path")).alias("paths"))
+    return paths.select("host", F.to_json(F.struct("paths")).alias("paths"))
+
+
+def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
+    """(host, template, paths) from all pages of each host."""
+    known = stored(templates(stored(parsed(pages), "parsed")), "templates")
+    return known.join(stored(voted(pages, known, salts), "paths"), "host", "full")
+
+
+def main_text(pages: DataFrame, salts: int = 16) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    known = stored(wrappers(pages, per_host), "wrappers")
-    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = with_host(pages).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    rows = keyed.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper")
+    known = stored(wrappers(pages, salts), "wrappers")
+    rows = salted(pages, known, salts).select("page_id", "url", "html", "template", "paths")
 
     def run(batches):
-        read: dict[str, dict] = {}
+        read = Wrappers()
         for pdf in batches:
-            texts = []
-            for source, wrapper in zip(pdf["html"], pdf["wrapper"], strict=True):
-                w = None
-                if isinstance(wrapper, str):
-                    if wrapper not in read:
-                        if len(read) > 1000:
-                            read.clear()
-                        read[wrapper] = json.loads(wrapper)
-                    w = read[wrapper]
-                texts.append(extract(source, w))
+            columns = (tuple(x if isinstance(x, str) else None for x in c) for c in zip(pdf["template"], pdf["paths"], strict=True))
+            texts = [read[c].extract(source) for source, c in zip(pdf["html"], columns, strict=True)]
             out = pdf[["page_id", "url"]].assign(text=pd.Series(texts, dtype=object, index=pdf.index), n_chars=[len(t) for t in texts])
             out["page_id"] = out["page_id"].astype("Int64")
             yield out

@@ -60,3 +60,24 @@ def test_main_text(spark):
         assert by[i].text == ("Story %d " % i + "abc " * (40 + i)).strip() + "\n" + (f"More {i * 7} " + "xyz " * 30).strip()
         assert by[i].n_chars == len(by[i].text)
     assert H.main_text(df.where("false")).count() == 0
+
+
+def layouts(i):
+    """Two layouts of one host: every tenth page is of the second; a notice on
+    most pages of each, a heading on a few; lengths vary."""
+    notice = "<p>This site is read by a great many people every day</p>" if i % 7 else ""
+    head = "<h2>Notes from the harbour</h2>" if i % 5 == 0 else ""
+    story = f"{head}<p>Story {i} {'abc ' * (40 + i % 30)}</p><p>More {i} {'xyz ' * 30}</p>"
+    if i % 10 == 3:
+        return f"<body><div class=old><table><tr><td>{story}<p>Printed by the old press of our town{' since long ago' * 3}</p>{notice}</td></tr></table></div></body>"
+    return f"<body><div class=new><div class=story>{story}{notice}</div><div>Weather is mild</div></div></body>"
+
+
+def test_wrappers_count_all_pages_of_every_layout(spark):
+    n = 400
+    df = spark.createDataFrame([(i, f"http://site.example/{i}", layouts(i)) for i in range(n)] + [(n, "http://site.example/again", layouts(3))], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in H.main_text(df).collect()}
+    for i in range(n):
+        want = (["Notes from the harbour"] if i % 5 == 0 else []) + [f"Story {i} {'abc ' * (40 + i % 30)}".strip(), f"More {i} {'xyz ' * 30}".strip()]
+        assert got[i].split("\n") == want, i
+    assert got[n] == got[3]
