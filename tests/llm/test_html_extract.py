@@ -1,4 +1,9 @@
+import random
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from netloom.llm import html_extract as H
 
@@ -49,6 +54,93 @@ def test_tree_matching_is_maximal():
     assert len(H.tree_match(a, b)) == 1 + 1 + 2 + 1
 
 
+class T:
+    def __init__(self, sign, kids=()):
+        self.sign, self.kids = sign, list(kids)
+        self.key = hash((sign, *(c.key for c in self.kids)))
+
+
+def most_pairs(a, b):
+    """Brute force: every order-keeping choice of pairs of children."""
+    if a.sign != b.sign:
+        return 0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max([best(xs[1:], ys)] + [most_pairs(xs[0], ys[j]) + best(xs[1:], ys[j + 1 :]) for j in range(len(ys)) if xs[0].sign == ys[j].sign])
+
+    return 1 + best(a.kids, b.kids)
+
+
+trees = st.recursive(st.builds(T, st.sampled_from("ab")), lambda kids: st.builds(T, st.sampled_from("ab"), st.lists(kids, max_size=4)), max_leaves=10)
+
+
+@settings(max_examples=300, deadline=None)
+@given(trees, trees)
+def test_tree_matching_against_brute_force(a, b):
+    a.sign = b.sign = "root"
+    pairs = H.tree_match(a, b)
+    assert len(pairs) == most_pairs(a, b)
+    assert all(x.sign == y.sign for x, y in pairs)
+    assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+    up = {id(c): t for tree in (a, b) for t in H.preorder(tree) for c in t.kids}
+    order = {id(t): i for tree in (a, b) for i, t in enumerate(H.preorder(tree))}
+    to = {id(x): y for x, y in pairs}
+    for x, y in pairs:
+        if x is not a:
+            assert to[id(up[id(x)])] is up[id(y)]
+    for x, y in pairs:
+        for v, w in pairs:
+            assert (order[id(x)] < order[id(v)]) == (order[id(y)] < order[id(w)])
+
+
+def bare(i, copies=False):
+    """Furniture in plain elements, without a telling name: menu, notice and
+    legal line are the same everywhere, teaser and date differ everywhere."""
+    r = random.Random(3 if copies else i)
+    say = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    story = [say(r.randint(20, 60)) for _ in range(r.randint(1, 9))]
+    body = "".join(f"<p>{p}</p>" if k % 3 else f"<h3>{p}</h3><ul><li>{p} x<li>{p} y</ul>" for k, p in enumerate(story))
+    want = [x for k, p in enumerate(story) for x in ([p] if k % 3 else [p, f"{p} x", f"{p} y"])]
+    menu = "<div><ul><li>Home page of the paper<li>All about the harbour and its ships<li>Weather</ul></div>"
+    notice = "<div><p>We would like to tell you that this site keeps what you read</p></div>" if i % 3 else ""
+    return f"<html><body>{menu}{notice}<div><span>Read {i} next: {say(4)}</span></div><div><div>{body}<p>Support the paper with a small sum every month</p></div></div><div>Printed by the press of the town, all rights reserved</div></body></html>", "\n".join(want)
+
+
+def test_the_wrapper_decides_where_names_say_nothing(spark):
+    pages = [bare(i) for i in range(60)]
+    df = spark.createDataFrame([(i, f"http://bare.example/{i}", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in H.main_text(df).collect()}
+    assert all(got[i] == want for i, (_, want) in enumerate(pages))
+    changed = sum(H.extract(h) != want for h, want in pages)
+    print(f"the wrapper changes {changed} of {len(pages)} pages")
+    assert changed == len(pages)
+    in_memory = H.induce([h for h, _ in pages])
+    assert all(H.extract(h, in_memory) == want for h, want in pages)
+    assert {H.mark(n, t) for n, t in H.Page(pages[1][0]).texts if t.startswith(("Home", "We would", "Printed", "Support"))} <= {m for _, m in in_memory.template}
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    df = spark.createDataFrame([(i, f"http://copy.example/{i}", bare(i, copies=i % 5 > 0)[0]) for i in range(40)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.main_text(df).collect()}
+    assert all(got[i] == bare(i, copies=i % 5 > 0)[1] for i in range(40))
+
+
+@pytest.mark.parametrize("source,within", [("text<hr>" * 100_000, 5), ('<a "' * 250_000, 5), ("<div>" * 100_000 + "x", 15), ("<p>ab<div>c</div>" * 50_000, 10), ("<div>" * 50_000 + "</span>" * 100_000, 10), ("<nav>menu</nav>" * 60_000, 5)])
+def test_long_pages_take_linear_time(source, within):
+    began = time.time()
+    H.extract(source)
+    w = H.induce([source, source + "<p>x y", source + "<p>z" * 3, "<p>w"])
+    H.extract(source + "q", w)
+    assert time.time() - began < 3 * within
+
+
+def test_furniture_is_furniture_at_any_depth():
+    for depth in (10, 160, 5000):
+        assert H.extract("<article>" + "<div>" * depth + "<nav>menu menu</nav><p>core</p>") == "core"
+
+
 def test_main_text(spark):
     rows = [(i, f"http://site.example/{i}", site(i), "s") for i in range(30)] + [(100, None, "<article>a b</article>", "s"), (101, "http://x/", None, "s"), (102, "", "", "s"), (3, "http://site.example/3", site(3), "s")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
