@@ -29,8 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.joins import sized
-from netloom.llm.text import SYMBOLS, UPPER, WORD_CHAR, let, n_of, words
+from netloom.llm.text import SYMBOLS, UPPER, WORD_CHAR, columns_of, let, n_of, whole_row, words
 from netloom.storage import stored
 
 #: Rule -> its cutoffs, from the loosest to the strictest.
@@ -157,12 +156,14 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """The rows of ``docs`` that judge() keeps, with the same columns."""
-    named = sized(stored(labels.where("doc_id IS NOT NULL").select("doc_id").distinct(), "labelled"))
-    feats = stored(features(docs.select("doc_id", "text", "lang").join(named, "doc_id", "left_semi"), risk.strata), "quality")
-    cutoffs = certified(feats, labels, risk).collect()
-    rows = features(docs.select(F.struct(*docs.columns).alias("doc_id"), "text", "lang"), risk.strata)
-    return rows.where(verdict(cutoffs)).select("doc_id.*")
+    """The rows of ``docs`` that judge() keeps, with the same columns.
+
+    Rows are stored with their features, so texts are read once and move to no
+    join; only numbers meet the labels.
+    """
+    rows = stored(features(docs.select(whole_row(docs).alias("doc_id"), "text", "lang"), risk.strata).withColumnRenamed("doc_id", "row"), "quality")
+    cutoffs = certified(rows.withColumn("doc_id", F.col("row.doc_id")).drop("row"), labels, risk).collect()
+    return rows.where(verdict(cutoffs)).select(*columns_of("row", docs.columns))
 
 
 def feature_sql(source: str = "documents") -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words, and the characters counted as symbols.
@@ -15,6 +15,21 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, out of the way of other names."""
+    return F.struct(*(col(c).alias(c) for c in df.columns))
+
+
+def columns_of(row: str, names: list[str]) -> list[Column]:
+    """The columns that whole_row() put into the struct ``row``."""
+    return [F.col(row)[c].alias(c) for c in names]
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then(value)`` with value computed once, also inside nested lambdas."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
