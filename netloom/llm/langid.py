@@ -6,9 +6,10 @@ n-grams are known, then shorter ones, down to single letters.  A document's
 score is the naive Bayes posterior of its best language.
 
 The model is fitted on a bounded sample of labelled rows: about ``per_lang``
-documents of each of the 1,000 languages with most rows, drawn by a hash.  All
-words of the sample and all their n-grams are kept, so no language starves
-another; the sample bounds the model, which may therefore be broadcast.
+documents of each language, or fewer of each where that would be more than
+``most_rows`` in all; which ones a hash of the row decides.  Every language is
+learnt.  All words of the sample and all their n-grams are kept, so no language
+starves another; the sample bounds the model, which may therefore be broadcast.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 so is everything when no labelled row exists; equal scores go to the language
@@ -30,11 +31,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.text import columns_of, whole_row
+from netloom.storage import stored
+
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, and of the number signs that Python counts as word characters too.
+RUNS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 
 
+def letters(text: str) -> list[str]:
+    """The words of a text: runs of letters (Unicode's L), in lower case."""
+    found = RUNS.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        found = [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
+    return found
+
+
 def grams(word: str, n: int) -> list[str]:
     w = f"^{word}$" if n > 1 else word
     return [w[i : i + n] for i in range(len(w) - n + 1)] or [w]
@@ -106,7 +119,7 @@ class Model:
         return np.full(len(self.langs), -math.log(max(1, len(self.langs))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(LETTERS.findall(text.lower())) if isinstance(text, str) else None
+        found = Counter(letters(text)) if isinstance(text, str) else None
         if not found or not self.langs:
             return UNKNOWN, 0.0
         total = np.array([self.word(w) for w in found]).T @ np.fromiter(found.values(), float, len(found))
@@ -119,14 +132,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(labelled: DataFrame, per_lang: int = 3000) -> Model:
-    """Model of rows (key, text, lang); ``key`` only orders the sample."""
+def fit(labelled: DataFrame, per_lang: int = 3000, most_rows: int = 100_000) -> Model:
+    """Model of rows (key, text, lang); ``key`` and text only order the sample."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    n = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    u = F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(10**6)) / 1e6
-    drawn = rows.join(F.broadcast(n.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(u < per_lang / F.col("n"))
-    words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
-    got = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()
+    n = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    each = min(per_lang, most_rows / max(1, n.count()))
+    u = F.pmod(F.xxhash64("key", "text", F.lit("langid")), F.lit(10**9)) / 1e9
+    drawn = rows.join(n, "lang").where(u < each / F.col("n")).select("lang", "text")
+
+    def run(batches):
+        for pdf in batches:
+            counts = Counter()
+            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+                counts.update((lang, w) for w in letters(text))
+            yield pd.DataFrame([(*k, c) for k, c in counts.items()], columns=["lang", "word", "n"]).astype({"n": "int64"})
+
+    got = drawn.mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     return Model(dict(zip(zip(*(got[c].to_pylist() for c in ("lang", "word"))), got["n"].to_pylist(), strict=True)))
 
 
@@ -155,5 +176,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least this score."""
     p = predictor(model)(F.col("text"))
-    cols = [F.col(f"row.{c}") for c in docs.columns]
-    return docs.select(F.struct(*docs.columns).alias("row"), p.alias("p")).where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).select(*cols)
+    judged = docs.select(whole_row(docs).alias("row"), p.alias("p"))
+    return judged.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).select(*columns_of("row", docs.columns))

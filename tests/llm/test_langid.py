@@ -61,3 +61,21 @@ def test_large_languages_do_not_starve_rare_ones(spark):
     assert model.langs == ["en", "xx"] and model.predict("zorp kvik")[0] == "xx"
     assert len(model.words.at) > 100_000
     assert len(model.grams[3].at) == len({g for w in model.words.at for g in langid.grams(w, 4)})
+
+
+def test_letters_are_unicode_letters():
+    assert langid.letters("Ab² ½ ³x9y_z Ⅷ ßé ʰǅ कि") == ["ab", "x", "y", "z", "ßé", "ʰǆ", "क"]
+    m = langid.Model({("de", "haus"): 5, ("en", "house"): 5})
+    assert m.predict("² ½ Ⅷ") == ("und", 0.0)
+
+
+def test_every_language_is_learnt(spark):
+    docs = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}word", f"l{i:04}") for i in range(1500)]
+    df = spark.createDataFrame(docs, "key long, text string, lang string")
+    assert len(langid.fit(df).langs) == 1500
+
+
+def test_columns_with_odd_names(spark):
+    df = rows(spark).withColumnRenamed("score", "a.b").withColumnRenamed("source", "p")
+    kept = langid.keep(df, langid.fit_documents(df))
+    assert kept.columns == df.columns and kept.count() == df.count() - 3
