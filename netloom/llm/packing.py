@@ -71,6 +71,8 @@ class IdBytes(dict):
         super().__init__()
         whole = Tokenizer.from_file(path)
         self.encode, self.model, self.letters, self.most = whole.encode, whole.model, byte_letters(), most
+        special = sorted((t.content for t in whole.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= self.most:
@@ -84,7 +86,13 @@ class IdBytes(dict):
         return out
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, PARTS.findall(text)))
+        if self.special is None or self.special.search(text) is None:
+            return b"".join(map(self.__getitem__, PARTS.findall(text)))
+        # a special token ends the text before it, as it does for the tokenizer
+        out = []
+        for i, segment in enumerate(self.special.split(text)):
+            out += [self[segment]] if i % 2 else map(self.__getitem__, PARTS.findall(segment))
+        return b"".join(out)
 
 
 def tokenised(path: str | None = None):

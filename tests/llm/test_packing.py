@@ -84,3 +84,14 @@ def test_empty_table(spark):
     assert packing.pack_documents(df).count() == 0
     with pytest.raises(Exception):
         packing.pack_documents(df.drop("text")).count()
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "  ", "\xa0", "\x85", "\u2003", "\n", "a", " word", "'s", "12", "<|", "|>", "é", "!"]), max_size=12))
+def test_special_tokens_give_the_tokenizers_ids(pieces):
+    text = "".join(pieces)
+    assert list(array("I", special_bytes.of(text))) == special_tokenizer.encode(text, add_special_tokens=False).ids
+
+
+special_path = public_tokenizers.path("byte_bpe_50k.json")
+special_bytes, special_tokenizer = packing.IdBytes(special_path), Tokenizer.from_file(special_path)
