@@ -8,8 +8,14 @@ inner product of the query with the values reached.  A query stops in a block
 once the bound cannot beat its k-th result.  The best k of each block are
 merged with a window over (query, block) results.
 
-Queries are blocked as well: a task holds one block of queries and one block
-of candidates, however many there are of either.
+A block of candidates is dealt once and its lists are built once; the queries
+stream by it in batches, so a task holds one block, however many queries there
+are.
+
+Components are integers that a double holds exactly.  Inner products are made
+in doubles where no sum can pass 2**53, and in Python's integers elsewhere, so
+every score and every order is exact; a score beyond 64 bits is returned as
+the nearest 64-bit integer, after ranking.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite
 components take no part, nor do rows without vec_id; vectors are compared
@@ -26,12 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_id long, vec_id long, score long, place string"
 
 
 def quantised(vector: Column) -> Column:
-    """floor(1024 * x) of each component, x as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * 1024.0))
+    """floor(1024 * x) of each component, x as double; a double as well."""
+    return F.transform(vector, lambda x: floored(x.cast("double") * 1024.0))
+
+
+def floored(x: Column) -> Column:
+    """floor() without a limit: doubles from 2**53 on have no fraction."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
 
 
 def usable(vector: Column) -> Column:
@@ -47,10 +58,13 @@ class Lists:
         self.ids, self.x = ids[order], vectors[order]  # so that ties go to the smaller id
         self.order = np.argsort(self.x, axis=0, kind="stable")
         self.values = np.take_along_axis(self.x, self.order, axis=0)
+        self.largest = np.abs(self.x).max(initial=0)
 
     def best(self, q: np.ndarray, own: int, k: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, best first."""
         n = len(self.ids)
+        if len(q) * self.largest * np.abs(q).max(initial=0) >= 2.0**53:
+            return self.best_of_integers(q, own, k)
         rising, used = q > 0, np.flatnonzero(q)
         met, scores, at = np.zeros(n, bool), np.full(n, -np.inf), 0
         met[np.searchsorted(self.ids, own, "left") : np.searchsorted(self.ids, own, "right")] = True
@@ -80,30 +94,76 @@ class Lists:
         return self.ids[top], scores[top]
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 4096, query_block: int = 512) -> DataFrame:
+    def best_of_integers(self, q: np.ndarray, own: int, k: int, step: int = 64) -> tuple[list[int], list[int]]:
+        """best() for numbers whose products doubles can't hold."""
+        n, ints = len(self.ids), [int(x) for x in q]
+        product = lambda v: sum(a * int(b) for a, b in zip(ints, v, strict=True) if a)
+        scores, at = {}, 0
+        while at < n:
+            to = min(n, at + step)
+            for d, a in enumerate(ints):
+                for i in self.order[n - to : n - at, d] if a > 0 else self.order[at:to, d]:
+                    if i not in scores and self.ids[i] != own:
+                        scores[i] = product(self.x[i])
+            at = to
+            if len(scores) >= k:
+                reached = product([self.values[n - to if a > 0 else to - 1, d] for d, a in enumerate(ints)])
+                if sorted(scores.values(), reverse=True)[k - 1] > reached:
+                    break
+        top = sorted(scores, key=lambda i: (-scores[i], self.ids[i]))[:k]
+        return [int(self.ids[i]) for i in top], [scores[i] for i in top]
+
+
+def long(x: int) -> int:
+    return max(-(2**63), min(2**63 - 1, x))
+
+
+def place(x: int) -> str:
+    """Strings in the order of integers of any size."""
+    digits = str(abs(x))
+    digits = f"{len(digits):04}{digits}"
+    return "1" + digits if x >= 0 else "0" + digits.translate(NINES)
+
+
+NINES = str.maketrans("0123456789", "9876543210")
+
+
+def search(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 4096) -> DataFrame:
     """The k best of ``vectors(vec_id, embedding)`` for each query row."""
     ok = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     v = ok.select("vec_id", quantised(F.col("embedding")).alias("v"), F.size("embedding").alias("dim")).dropDuplicates(["vec_id", "v"])
     is_query = F.pmod(F.col("vec_id"), F.lit(every)) == 0
-    sizes = v.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    blocks, query_blocks = max(1, -(-sizes.n // block)), max(1, -(-sizes.q // query_block))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")
-    cands = v.withColumn("b", deal(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
-    queries = v.where(is_query).withColumn("qb", deal(query_blocks)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        lists = Lists(left["vec_id"].to_numpy(), np.array(left["v"].tolist(), dtype=float))
-        out = []
-        for own, q in zip(right["vec_id"], right["v"], strict=True):
-            ids, scores = lists.best(np.asarray(q, dtype=float), own, k)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores.astype("int64")}))
-        return pd.concat(out, ignore_index=True)
-
-    keys = ["dim", "b", "qb"]
-    found = cands.groupBy(keys).cogroup(queries.groupBy(keys)).applyInPandas(run, RESULT)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    blocks = max(1, -(-v.count() // block))
+    cands = v.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")).withColumn("query", F.lit(False))
+    queries = v.where(is_query).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).withColumn("query", F.lit(True))
+    keys = ["dim", "b"]
+    # a block's candidates come first, then all queries, batch by batch
+    ordered = cands.unionByName(queries).repartition(*keys).sortWithinPartitions(*keys, "query")
+
+    def run(batches):
+        at, held, lists = None, [], None
+        for pdf in batches:
+            for (key, query), part in zip(*runs(pdf)):
+                if key != at:
+                    at, held, lists = key, [], None
+                if not query:
+                    held.append(part)
+                    continue
+                if lists is None:
+                    every_one = pd.concat(held) if held else part.iloc[:0]
+                    lists = Lists(every_one["vec_id"].to_numpy(), np.array(every_one["v"].tolist(), dtype=float).reshape(len(every_one), key[0]))
+                    held = []
+                out = [(own, int(i), long(int(x)), place(int(x))) for own, q in zip(part["vec_id"], part["v"], strict=True) for i, x in zip(*lists.best(np.asarray(q, dtype=float), own, k), strict=True)]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "place"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+
+    def runs(pdf):
+        """((dim, b), query) of each run of equal rows, and the runs."""
+        new = (pdf[[*keys, "query"]] != pdf[[*keys, "query"]].shift()).any(axis=1).to_numpy().nonzero()[0]
+        parts = [pdf.iloc[a:b] for a, b in zip(new, [*new[1:], len(pdf)], strict=True)]
+        return [((int(p["dim"].iloc[0]), int(p["b"].iloc[0])), bool(p["query"].iloc[0])) for p in parts], parts
+
+    found = ordered.mapInPandas(run, RESULT)
+    order = W.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -39,6 +39,15 @@ def test_search(spark):
 
     f32 = lambda x: None if x is None else struct.unpack("f", struct.pack("f", x))[0]
     exact = [(i, None if v is None else [f32(x) for x in v]) for i, v in rows]
-    got = sorted(map(tuple, topk.search(df, every=50, block=64, query_block=2).collect()))
+    got = sorted(map(tuple, topk.search(df, every=50, block=64).collect()))
     assert got == brute(exact, 10, 50)
     assert topk.search(df.where("false")).count() == 0
+
+
+def test_scores_beyond_what_doubles_hold(spark):
+    r = random.Random(7)
+    number = lambda: r.choice([1e30, -1e30, 2.0**44 + 1.5, -(2.0**43), 0.5, 3.0, 0.0])
+    rows = [(i, [number() for _ in range(4)]) for i in range(90)]
+    got = sorted(map(tuple, topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7, every=10, block=16).collect()))
+    want = [(q, n, i, max(-(2**63), min(2**63 - 1, x))) for q, n, i, x in brute(rows, 7, 10)]
+    assert got == want
