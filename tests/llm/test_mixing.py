@@ -80,3 +80,22 @@ def test_rows_without_an_id_of_their_own_keep_their_texts(spark):
     taken = sum(r.taken for r in mixing.mixed(df, mixing.Mix(weights=(1.0,))).collect())
     assert sum(len(r[1].split()) for r in rows) == taken
     assert sorted(map(tuple, mixing.mixed_documents(df.repartition(2), mixing.Mix(weights=(1.0,))).collect()), key=repr) == rows
+
+
+def test_edge_is_cut_to_the_word_whatever_the_weights(spark):
+    docs = [(i, ("#w " if i % 2 else "word ") * (1 + i % 7), f"s{i % 3}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mixed(df, mixing.Mix(bucket_docs=20)).collect()}
+    cands = {r.doc_id: r.key for r in mixing.candidates(df).collect()}
+    for s in ("s0", "s1", "s2"):  # by hand: sort, then fill
+        mine = sorted((r for r in got.values() if r.source == s), key=lambda r: cands[r.doc_id])
+        left = math.floor(mine[0].target - mine[0].epochs * mine[0].source_size) if mine[0].epochs < 3 else 0
+        for r in mine:
+            assert r.part == min(r.size, left)
+            left -= r.part
+
+
+def test_rows_that_tie_share_evenly(spark):
+    df = spark.createDataFrame([(None, "a b c", "x")] * 7 + [(1, "w " * 40, "y")], "doc_id long, text string, source string")
+    got = mixing.mixed(df, mixing.Mix(weights=(1.0, 3.0))).where("source = 'x'").collect()
+    assert len({r.taken for r in got}) == 1 and got[0].target - 7 < sum(r.taken for r in got) <= got[0].target
