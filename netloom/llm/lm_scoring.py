@@ -1,49 +1,67 @@
 """Cross-entropy difference of matched n-gram models.
 
 Target (documents labelled good) and background (all documents) have bigram
-models of the same form over one vocabulary: interpolated with the unigram
-distribution by Witten-Bell weights, add-one at the bottom.  A document's
-score is the mean over its tokens of the target's loss less the background's:
-the lower, the more it reads like the target.
-
-scores() keeps every word and every pair.  Counts are summed by key on the
-executors and stored; totals and kinds of a context and counts of a word come
-from all pairs; each document's own pairs are then joined to their losses, so
-nothing of the model is held in one place.  Words are told apart by 64-bit
-hashes, pairs by a mix of two: with 10^8 words a chance of 3 in 10,000 that
-any two meet, with 10^9 pairs of 3 in 100 that one pair of all is miscounted.
-
-fit() and Scorer are the same models in memory, cut to ``Size``: the most
-frequent words (others are one unknown word) and pairs.  On a corpus below
-that size they give what scores() gives; no query uses them.
-
-Defined cases: null texts and texts without words score null; labels without
-document or quality are ignored; without a good label the target is uniform
-over the vocabulary; repeated rows count and score like any other; an empty
-table gives an empty result; whole texts are read; extra columns are ignored.
+models of the same form over one vocabulary: a word follows another with
+probability (c(a, b) + s) / (c(a) + s V), V words and a small s for what was
+never seen.  The background's counts are scaled to the target's number of
+words, so that both models smooth alike.  A document's score is the mean over
+its tokens (words and the end) of the target's loss less the background's: the
+lower, the more it reads like the target.  A document's own counts are taken
+out of both models before it is scored.
+
+The models hold every word and every pair of all documents and are nowhere in
+one place.  Losses are sums over pairs and over contexts, here called items,
+so an item's losses can be made wherever all of its counts meet:
+
+1. Items that a sample shows to be frequent are counted exactly over all
+   documents by partial sums; their counts (at most ``most_hot``) return to
+   every task.  Which items these are decides speed, never results.
+2. All other items of each document travel once, packed, to the bucket of
+   their hash.  A bucket holds every occurrence of its items, counts them and
+   gives each document's losses back; buckets hold about ``bucket_words``
+   words' items each, however many there are.
+3. The parts of each chunk of documents are added.
+
+Words are told apart by 64-bit hashes and items within a bucket by 40 bits:
+with 10^8 items in 100 buckets one in a million shares its counts with another.
+V, the size of the open vocabulary, is estimated from all words to within two
+per cent and is the same in both models.
+
+Defined cases: null texts and texts without words score null and count 0
+tokens; labels without document or quality are ignored; without a good label
+the target is uniform over the vocabulary; repeated rows count and score each
+for itself; an empty table gives an empty result; whole texts are read; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.joins import sized
 from netloom.storage import stored
 
 
 @dataclass(frozen=True)
-class Size:
-    vocabulary: int = 30_000
-    bigrams: int = 500_000
-    #: Good labels up to this number may be broadcast; above, the join shuffles.
+class Models:
+    """smooth: what every pair counts beyond its occurrences. most_hot: items
+    counted apart from buckets. sample_docs: documents, about, that show which.
+    bucket_words: words behind a bucket. chunk: items of a chunk of documents.
+    small: good labels up to this number are broadcast; beyond, texts move."""
+
+    smooth: float = 0.01
+    most_hot: int = 100_000
+    sample_docs: int = 10_000
+    bucket_words: int = 2_000_000
+    chunk: int = 1_500_000
     small: int = 2_000_000
 
 
@@ -51,149 +69,22 @@ def tokens(text) -> list[str]:
     return text.lower().split() if isinstance(text, str) else []
 
 
-def marked(docs: DataFrame, labels: DataFrame, size: Size) -> DataFrame:
-    """text, target (1 for documents labelled good)."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("target", F.lit(1))
-    if good.count() <= size.small:
-        good = F.broadcast(good)
-    return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word, background, target over all documents."""
-
-    def run(batches):
-        counts = (Counter(), Counter())
-        for pdf in batches:
-            for text, target in zip(pdf["text"], pdf["target"], strict=True):
-                ws = tokens(text)
-                counts[0].update(ws)
-                if target:
-                    counts[1].update(ws)
-            if len(counts[0]) > 400_000:
-                yield frame(counts)
-                counts = (Counter(), Counter())
-        yield frame(counts)
-
-    def frame(counts):
-        words = list(counts[0])
-        return pd.DataFrame({"word": pd.Series(words, dtype=object), "background": list(counts[0].values()), "target": [counts[1][w] for w in words]})
-
-    out = rows.mapInPandas(run, "word string, background long, target long")
-    return out.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Vocabulary:
-    """Words -> ids from 1; 0 is every other word."""
-
-    def __init__(self, words: list[str]):
-        self.ids = {w: i + 1 for i, w in enumerate(words)}
-        self.n = len(words) + 1
-
-    def of(self, text) -> np.ndarray:
-        ws = tokens(text)
-        return np.fromiter((self.ids.get(w, 0) for w in ws), np.int64, len(ws))
-
-    def pairs(self, ids: np.ndarray) -> np.ndarray:
-        return ids[:-1] * self.n + ids[1:]
-
-
-def pair_counts(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """pair, background, target over all documents."""
-
-    def run(batches):
-        every, good, held = [], [], 0
-        for pdf in batches:
-            for text, target in zip(pdf["text"], pdf["target"], strict=True):
-                p = vocabulary.pairs(vocabulary.of(text))
-                every.append(p)
-                good.append(np.full(len(p), target, np.int8))
-                held += len(p)
-                if held > 1_000_000:
-                    yield counted(every, good)
-                    every, good, held = [], [], 0
-        if held:
-            yield counted(every, good)
-
-    def counted(every, good):
-        pair, inverse, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-        hits = np.bincount(inverse, weights=np.concatenate(good), minlength=len(pair)).astype(np.int64)
-        return pd.DataFrame({"pair": pair, "background": n.astype(np.int64), "target": hits})
-
-    out = rows.mapInPandas(run, "pair long, background long, target long")
-    return out.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Bigrams:
-    """Interpolated bigram model over a shared vocabulary and shared pairs."""
-
-    def __init__(self, unigrams: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
-        n = len(unigrams)
-        self.unigram = (unigrams + 1.0) / (unigrams.sum() + n)
-        seen = counts > 0
-        first = (pairs // n)[seen]
-        total = np.bincount(first, weights=counts[seen], minlength=n)
-        kinds = np.bincount(first, minlength=n)
-        self.rest = np.where(kinds > 0, kinds / np.maximum(total + kinds, 1), 1.0)  # Witten-Bell
-        whole = np.maximum(total + kinds, 1)
-        self.pair = np.where(seen, counts / whole[pairs // n], 0.0) if len(pairs) else np.zeros(0)
-
-    def losses(self, ids: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
-        p = self.unigram[ids].copy()
-        if len(ids) > 1:
-            direct = np.where(known, self.pair[at], 0.0) if len(self.pair) else 0.0
-            p[1:] = direct + self.rest[ids[:-1]] * p[1:]
-        return -np.log(p)
-
-
-class Scorer:
-    def __init__(self, vocabulary: Vocabulary, words: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
-        """words: (n, 2) and counts: (pairs, 2), background then target; pairs ascend."""
-        self.vocabulary, self.pairs = vocabulary, pairs
-        self.background, self.target = (Bigrams(words[:, k], pairs, counts[:, k]) for k in (0, 1))
-
-    def score(self, text) -> tuple[float | None, float | None, int]:
-        """(target loss less background loss, background loss, tokens), means a token."""
-        ids = self.vocabulary.of(text)
-        if not len(ids):
-            return None, None, 0
-        p = self.vocabulary.pairs(ids)
-        at = np.minimum(np.searchsorted(self.pairs, p), max(0, len(self.pairs) - 1))
-        known = self.pairs[at] == p if len(self.pairs) else np.zeros(len(p), bool)
-        b = self.background.losses(ids, at, known)
-        t = self.target.losses(ids, at, known)
-        return float(np.mean(t - b)), float(np.mean(b)), len(ids)
-
-
-def fit(docs: DataFrame, labels: DataFrame, size: Size = Size()) -> Scorer:
-    rows = marked(docs, labels, size)
-    words = stored(word_counts(rows), "words")
-    sums = words.agg(F.sum("background").alias("b"), F.sum("target").alias("t"), F.count("*")).first()
-    top = words.orderBy(F.desc("background"), "word").limit(size.vocabulary).toArrow().to_pandas()
-    vocabulary = Vocabulary(top["word"].tolist())
-    counts = top[["background", "target"]].to_numpy(np.int64).reshape(-1, 2)
-    rest = np.array([[(sums["b"] or 0), (sums["t"] or 0)]]) - counts.sum(axis=0, keepdims=True)
-    pairs = pair_counts(rows, vocabulary).orderBy(F.desc("background"), "pair").limit(size.bigrams).toArrow().to_pandas().sort_values("pair")
-    return Scorer(vocabulary, np.concatenate([rest, counts]), pairs["pair"].to_numpy(np.int64), pairs[["background", "target"]].to_numpy(np.int64).reshape(-1, 2))
-
-
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id, n_tokens, background_loss, score of every document."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            out = pd.DataFrame([scorer.score(t) for t in texts], columns=["score", "background_loss", "n_tokens"])
-            yield out.astype({"score": "float64", "background_loss": "float64", "n_tokens": "int64"})
-
-    scored = F.pandas_udf(run, "score double, background_loss double, n_tokens long")(F.col("text"))
-    return docs.select("doc_id", scored.alias("s")).select("doc_id", "s.n_tokens", "s.background_loss", "s.score")
+def marked(docs: DataFrame, labels: DataFrame, cfg: Models) -> DataFrame:
+    """doc_id, text, target (whether the document is labelled good)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    good = stored(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("good_id")).distinct(), "good")
+    if good.count() <= cfg.small:
+        return rows.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
+    # rows without an id have no label and need not meet in one task
+    named = rows.where("doc_id IS NOT NULL").join(good, F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
+    return stored(named.unionByName(rows.where("doc_id IS NULL").withColumn("target", F.lit(False))), "marked")
 
 
 class Hashes(dict):
-    """Words -> signed 64-bit hashes, none of them 0; a bounded cache."""
+    """Words -> 64-bit hashes; a bounded cache."""
 
     def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word) - 2**63 or 1
+        h = xxhash.xxh64_intdigest(word)
         if len(self) >= 500_000:
             self.clear()
         self[word] = h
@@ -201,113 +92,250 @@ class Hashes(dict):
 
     def of(self, text) -> np.ndarray:
         ws = tokens(text)
-        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
+        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
+
+
+#: Stand for what precedes the first word and follows the last.
+START, END = np.uint64(0x5BD1E995), np.uint64(0xC2B2AE35)
+ONE, MIX = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+
+
+def items(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(items, counts) of a document: odd ones are contexts, even ones pairs."""
+    before = np.concatenate([[START], words])
+    after = np.concatenate([words, [END]])
+    pair = (before ^ (after << np.uint64(29) | after >> np.uint64(35))) * MIX
+    pair ^= pair >> np.uint64(32)
+    return np.unique(np.concatenate([pair & ~ONE, before | ONE]), return_counts=True)
+
 
+def losses(keys: np.ndarray, n: np.ndarray, own: np.ndarray, background: np.ndarray, target: np.ndarray, scale: float, smooth: float, words: float):
+    """(background's loss, target's less it) that n occurrences of items add.
 
-#: How far the second word's hash is turned in a pair's key.
-TURN = 29
+    background, target: counts in all documents; own: n where the document
+    itself is in the target.
+    """
+    context = (keys & ONE).astype(bool)
+    base = np.where(context, smooth * words, smooth)
+    sign = np.where(context, n, -n)
+    b = sign * np.log(scale * (background - n) + base)
+    return b, sign * np.log(target - own + base) - b
 
 
-def before(words: np.ndarray) -> np.ndarray:
-    """The word before each; 0 before a document's first."""
-    return np.concatenate([np.zeros(1, np.int64), words[:-1]]) if len(words) else words
+REGISTERS = 12
 
 
-def keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    u = second.view(np.uint64)
-    return first ^ ((u << np.uint64(TURN)) | (u >> np.uint64(64 - TURN))).view(np.int64)
+def ranks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(register, rank) by which distinct words are estimated."""
+    h = np.unique(words) * MIX
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    rest = (h << np.uint64(REGISTERS)) >> np.uint64(REGISTERS)
+    leading = 64 - REGISTERS - np.floor(np.log2(np.maximum(rest, 1).astype(np.float64))).astype(np.int64)
+    return (h >> np.uint64(64 - REGISTERS)).astype(np.int64), leading
 
 
-def key(first: Column, second: Column) -> Column:
-    """keys() in Spark."""
-    return first.bitwiseXOR(F.shiftleft(second, TURN).bitwiseOR(F.shiftrightunsigned(second, 64 - TURN)))
+def distinct(registers: np.ndarray) -> float:
+    """Number of distinct words behind the largest ranks of all registers."""
+    m = len(registers)
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.sum(2.0 ** -registers.astype(float))
+    empty = int((registers == 0).sum())
+    return m * math.log(m / empty) if raw <= 2.5 * m and empty else float(raw)
 
 
-def all_pairs(rows: DataFrame) -> DataFrame:
-    """first, second, background, target: counts of every adjacent pair of all
-    documents; first is 0 where second begins a document."""
+def frequent(rows: DataFrame, cfg: Models) -> np.ndarray:
+    """Items that a sample of the documents holds most often, ascending."""
+    n = rows.count()
 
     def run(batches):
-        made, held = Hashes(), 0
-        firsts, seconds, good = [], [], []
+        made = Hashes()
         for pdf in batches:
-            for text, target in zip(pdf["text"], pdf["target"], strict=True):
-                ws = made.of(text)
-                firsts.append(before(ws))
-                seconds.append(ws)
-                good.append(np.full(len(ws), target, np.int8))
-                held += len(ws)
-                if held > 2_000_000:
-                    yield counted(firsts, seconds, good)
-                    firsts, seconds, good, held = [], [], [], 0
-        if held:
-            yield counted(firsts, seconds, good)
+            found = [items(ws) for ws in map(made.of, pdf["text"]) if len(ws)]
+            if found:
+                key, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+                count = np.bincount(at, weights=np.concatenate([c for _, c in found])).astype(np.int64)
+                often = count > 1
+                yield pd.DataFrame({"item": key[often].view(np.int64), "n": count[often]})
 
-    def counted(firsts, seconds, good):
-        first, second = np.concatenate(firsts), np.concatenate(seconds)
-        _, at, inverse, n = np.unique(keys(first, second), return_index=True, return_inverse=True, return_counts=True)
-        hits = np.bincount(inverse, weights=np.concatenate(good), minlength=len(at)).astype(np.int64)
-        return pd.DataFrame({"first": first[at], "second": second[at], "background": n.astype(np.int64), "target": hits})
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n))) < cfg.sample_docs).select("text")
+    top = drawn.mapInPandas(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(cfg.most_hot)
+    return np.sort(top.select("item").toArrow()["item"].to_numpy().astype(np.int64).view(np.uint64))
 
-    out = rows.mapInPandas(run, "first long, second long, background long, target long")
-    return out.groupBy("first", "second").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
+@dataclass(frozen=True)
+class Counts:
+    """What every task knows: counts of frequent items and sums of all words."""
+
+    hot: np.ndarray
+    background: np.ndarray
+    target: np.ndarray
+    words: float
+    n_background: int
+    n_target: int
 
-def pair_losses(pairs: DataFrame) -> DataFrame:
-    """pair, opens, b, t: background and target loss of every pair's second word."""
-    n = lambda c: F.count_if(F.col(c) > 0)
-    contexts = stored(pairs.where("first <> 0").groupBy("first").agg(F.sum("background").alias("total_b"), n("background").alias("kinds_b"), F.sum("target").alias("total_t"), n("target").alias("kinds_t")), "contexts")
-    words = stored(pairs.groupBy("second").agg(F.sum("background").alias("word_b"), F.sum("target").alias("word_t")), "words")
-    sums = words.agg(F.count("*").alias("n"), F.sum("word_b").alias("b"), F.sum("word_t").alias("t")).first()
+    @property
+    def scale(self) -> float:
+        return self.n_target / self.n_background if self.n_target else 1.0
 
-    def loss(count: str, side: str) -> Column:
-        unigram = (F.col(f"word_{side}") + 1.0) / F.lit(float((sums[side] or 0) + sums["n"] + 1))
-        whole = F.col(f"total_{side}") + F.col(f"kinds_{side}")
-        mixed = F.when(whole > 0, (F.col(count) + F.col(f"kinds_{side}") * unigram) / whole).otherwise(unigram)  # Witten-Bell
-        return -F.log(F.when(F.col("first") == 0, unigram).otherwise(mixed))
 
-    rows = pairs.join(sized(words), "second").join(sized(contexts), "first", "left")
-    return rows.select(key(F.col("first"), F.col("second")).alias("pair"), (F.col("first") == 0).alias("opens"), loss("background", "b").alias("b"), loss("target", "t").alias("t"))
+def find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in sorted_, whether it is there) of each key."""
+    if not len(sorted_):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    return at, sorted_[at] == keys
 
 
-def own_pairs(rows: DataFrame) -> DataFrame:
-    """doc, pair, n: every document's own pairs, counted."""
+def counted(rows: DataFrame, hot: np.ndarray) -> Counts:
+    """Exact counts of ``hot`` and sums over all documents."""
 
     def run(batches):
-        made, held = Hashes(), 0
-        docs, pairs, counts = [], [], []
+        made, size = Hashes(), len(hot)
+        sums = np.zeros((2, size), np.int64)
+        most, n = np.zeros(1 << REGISTERS, np.int64), [0, 0]
         for pdf in batches:
-            for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
+            for text, target in zip(pdf["text"], pdf["target"], strict=True):
                 ws = made.of(text)
                 if not len(ws):
                     continue
-                pair, n = np.unique(keys(before(ws), ws), return_counts=True)
-                docs.append(np.full(len(pair), doc, np.int64))
-                pairs.append(pair)
-                counts.append(n.astype(np.int32))
-                held += len(pair)
-                if held > 500_000:
-                    yield frame(docs, pairs, counts)
-                    docs, pairs, counts, held = [], [], [], 0
-        if held:
-            yield frame(docs, pairs, counts)
-
-    def frame(docs, pairs, counts):
-        return pd.DataFrame({"doc": np.concatenate(docs), "pair": np.concatenate(pairs), "n": np.concatenate(counts)})
-
-    return rows.mapInPandas(run, "doc long, pair long, n int")
-
+                key, c = items(ws)
+                at, there = find(hot, key)
+                sums[0][at[there]] += c[there]
+                np.maximum.at(most, *ranks(ws))
+                n[0] += len(ws) + 1
+                if target:
+                    sums[1][at[there]] += c[there]
+                    n[1] += len(ws) + 1
+        seen = np.flatnonzero(sums[0])
+        yield pd.DataFrame({"kind": 0, "at": seen, "background": sums[0][seen], "target": sums[1][seen]})
+        some = np.flatnonzero(most)
+        yield pd.DataFrame({"kind": 1, "at": some, "background": most[some], "target": 0})
+        yield pd.DataFrame({"kind": 2, "at": [0], "background": [n[0]], "target": [n[1]]})
+
+    found = rows.select("text", "target").mapInPandas(run, "kind int, at long, background long, target long")
+    both = found.groupBy("kind", "at").agg(F.when(F.col("kind") == 1, F.max("background")).otherwise(F.sum("background")).alias("background"), F.sum("target").alias("target"))
+    got = both.toArrow().to_pandas()  # at most ``most_hot`` rows, the registers and one
+    out = np.zeros((2, len(hot)), np.int64)
+    part = got[got["kind"] == 0]
+    out[:, part["at"].to_numpy()] = part[["background", "target"]].to_numpy().T
+    registers = np.zeros(1 << REGISTERS, np.int64)
+    part = got[got["kind"] == 1]
+    registers[part["at"].to_numpy()] = part["background"].to_numpy()
+    n = got[got["kind"] == 2][["background", "target"]].sum()
+    return Counts(hot, out[0], out[1], distinct(registers) + 1, int(n["background"]), int(n["target"]))
+
+
+PACKED = "bucket int, chunk long, low binary, high binary, doc binary, n binary, targets int, ids binary, b binary, d binary, words binary"
+SUMS = "chunk long, doc binary, ids binary, b binary, d binary, words binary"
+
+
+def packed(rows: DataFrame, counts: Counts, buckets: int, cfg: Models) -> DataFrame:
+    """Documents in chunks: one row a chunk with their ids and what frequent
+    items add, under a bucket below 0, and one a chunk and bucket with all other
+    items of its documents.  Documents of the target come first in a chunk."""
 
-def scores(docs: DataFrame, labels: DataFrame, size: Size = Size()) -> DataFrame:
+    def run(batches):
+        made, part, number = Hashes(), TaskContext.get().partitionId(), 0
+        held, n_items = [], 0
+        for pdf in batches:
+            for doc, text, target in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["target"], strict=True):
+                ws = made.of(text)
+                key, n = items(ws) if len(ws) else (ws, ws.astype(np.int64))
+                held.append((doc, bool(target), len(ws) and len(ws) + 1, key, n))
+                n_items += len(key)
+                if n_items >= cfg.chunk or len(held) == 65_535:
+                    yield chunk(held, (part << 32) + number)
+                    held, n_items, number = [], 0, number + 1
+        if held:
+            yield chunk(held, (part << 32) + number)
+
+    def chunk(held, name):
+        held.sort(key=lambda x: not x[1])
+        targets = sum(x[1] for x in held)
+        sizes = [len(x[3]) for x in held]
+        doc = np.repeat(np.arange(len(held), dtype=np.int64), sizes)
+        key = np.concatenate([x[3] for x in held])
+        n = np.concatenate([x[4] for x in held])
+        at, there = find(counts.hot, key)
+        h, k = at[there], n[there]
+        b, d = losses(key[there], k, np.where(doc[there] < targets, k, 0), counts.background[h], counts.target[h], counts.scale, cfg.smooth, counts.words)
+        sums = [np.bincount(doc[there], weights=x, minlength=len(held)) for x in (b, d)]
+        ids = np.array([(0, 1) if x[0] is pd.NA else (x[0], 0) for x in held], np.int64)
+        words = np.array([x[2] for x in held], np.int64)
+        rows = [(-1 - name % buckets, name, b"", b"", b"", b"", targets, ids.tobytes(), sums[0].tobytes(), sums[1].tobytes(), words.tobytes())]
+        key, n, doc = key[~there], n[~there], doc[~there]
+        more = n > 255
+        while more.any():  # a count of more than a byte is sent in parts
+            key, doc = np.concatenate([key, key[more]]), np.concatenate([doc, doc[more]])
+            n = np.concatenate([np.where(more, n - 255, n), np.full(int(more.sum()), 255)])
+            more = n > 255
+        bucket = (key >> np.uint64(40)) % np.uint64(buckets)
+        order = np.lexsort((doc, bucket))
+        key, n, doc, bucket = key[order], n[order], doc[order], bucket[order]
+        edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(key)] if len(key) else []
+        low, high = (key & np.uint64(0xFFFFFFFF)).astype("<u4"), ((key >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
+        doc, n = doc.astype("<u2"), n.astype(np.uint8)
+        for s, e in pairwise(edges):
+            rows.append((int(bucket[s]), name, low[s:e].tobytes(), high[s:e].tobytes(), doc[s:e].tobytes(), n[s:e].tobytes(), targets, None, None, None, None))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
+
+    return rows.mapInPandas(run, PACKED)
+
+
+def scored_buckets(pieces: DataFrame, counts: Counts, cfg: Models) -> DataFrame:
+    """Each chunk's losses from every bucket; rows below bucket 0 pass."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] < 0:
+            return pdf[[c.split()[0] for c in SUMS.split(", ")]]
+        join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
+        key = join("low", "<u4").astype(np.uint64) | join("high", np.uint8).astype(np.uint64) << np.uint64(32)
+        doc, n = join("doc", "<u2").astype(np.int64), join("n", np.uint8).astype(np.int64)
+        row = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["n"]])
+        of = row << 16 | doc
+        # a document's parts of one item are one again
+        order = np.lexsort((of, key))
+        key, of, n = key[order], of[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
+        n, key, of = np.add.reduceat(n, first), key[first], of[first]
+        own = np.where((of & 0xFFFF) < pdf["targets"].to_numpy()[of >> 16], n, 0)
+        _, at = np.unique(key, return_inverse=True)
+        background, target = (np.bincount(at, weights=x)[at] for x in (n, own))
+        b, d = losses(key, n, own, background, target, counts.scale, cfg.smooth, counts.words)
+        groups, at = np.unique(of, return_inverse=True)
+        sums = [np.bincount(at, weights=x).astype("<f4") for x in (b, d)]
+        docs, rows = (groups & 0xFFFF).astype("<u2"), groups >> 16
+        cut = np.searchsorted(rows, np.arange(len(pdf) + 1))
+        pick = lambda x: [x[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        return pd.DataFrame({"chunk": pdf["chunk"], "doc": pick(docs), "ids": None, "b": pick(sums[0]), "d": pick(sums[1]), "words": None})
+
+    return pieces.groupBy("bucket").applyInPandas(run, SUMS)
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, background_loss, score: the sums of each chunk."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf[pdf["ids"].notna()].iloc[0]
+        ids = np.frombuffer(head["ids"], np.int64).reshape(-1, 2)
+        n = np.frombuffer(head["words"], np.int64)
+        sums = [np.frombuffer(head[c], np.float64).copy() for c in ("b", "d")]
+        rest = pdf[pdf["ids"].isna()]
+        doc = np.frombuffer(b"".join(rest["doc"]), "<u2").astype(np.int64)
+        for k, c in enumerate(("b", "d")):
+            sums[k] += np.bincount(doc, weights=np.frombuffer(b"".join(rest[c]), "<f4"), minlength=len(n))
+        mean = [np.where(n > 0, x / np.maximum(n, 1), np.nan) for x in sums]
+        return pd.DataFrame({"doc_id": pd.array(np.where(ids[:, 1], 0, ids[:, 0]), "Int64"), "none": ids[:, 1] > 0, "n_tokens": n, "background_loss": mean[0], "score": mean[1]})
+
+    got = parts.groupBy("chunk").applyInPandas(run, "doc_id long, none boolean, n_tokens long, background_loss double, score double")
+    known = lambda c: F.when(F.col("n_tokens") > 0, F.col(c)).alias(c)
+    return got.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n_tokens", known("background_loss"), known("score"))
+
+
+def scores(docs: DataFrame, labels: DataFrame, cfg: Models = Models()) -> DataFrame:
     """doc_id, n_tokens, background_loss, score of every document, by models of
-    every word and pair.  Equal texts share their sums, which the number of
-    first words then divides."""
-    doc = F.xxhash64("text").alias("doc")
-    losses = pair_losses(stored(all_pairs(marked(docs, labels, size)), "pairs"))
-    n = F.col("n")
-    sums = own_pairs(docs.where("text IS NOT NULL").select(doc, "text")).join(losses, "pair").groupBy("doc").agg(
-        F.sum(n).alias("words"), F.sum(F.when(F.col("opens"), n)).alias("copies"), F.sum(n * F.col("b")).alias("b"), F.sum(n * (F.col("t") - F.col("b"))).alias("d")
-    )
-    of_text = sums.select("doc", F.expr("words div copies").alias("n_tokens"), (F.col("b") / F.col("words")).alias("background_loss"), (F.col("d") / F.col("words")).alias("score"))
-    rows = docs.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("doc")).join(of_text, "doc", "left")
-    return rows.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "background_loss", "score")
+    every word and pair."""
+    rows = marked(docs, labels, cfg)
+    counts = counted(rows, frequent(rows, cfg))
+    buckets = max(1, -(-counts.n_background // cfg.bucket_words))
+    return added(scored_buckets(packed(rows, counts, buckets, cfg), counts, cfg))

@@ -3,6 +3,7 @@ import math
 from collections import Counter
 
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -42,76 +43,68 @@ def test_token_counts(spark):
     assert token_counts.token_counts(df.where("false")).count() == 0
 
 
-def test_lm_scores(spark):
-    docs = [(i, ("good words about gardens " if i % 2 else "bad noise in traffic ") * 5, 1.0) for i in range(40)]
-    docs += [(90, None, 1.0), (91, " ", 1.0), (92, "gardens good", 1.0), (93, "zzz qqq", 1.0)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, score double")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 20)] + [(None, 1), (5, None), (1, 1)], "doc_id long, quality int")
-    scorer = lm_scoring.fit(df, labels)
-    got = {r.doc_id: r for r in lm_scoring.score(df, scorer).collect()}
-    assert len(got) == len(docs) and got[90].score is None and got[91].n_tokens == 0
-    assert all(got[i].score < 0 for i in range(1, 40, 2)) and all(got[i].score > 0 for i in range(0, 40, 2))
-    # counts behind the model, against brute force
-    words = [w for _, t, _ in docs for w in (t or "").split()]
-    v = scorer.vocabulary
-    assert v.n == len(set(words)) + 1
-    assert math.isclose(scorer.background.unigram[v.ids["good"]], (words.count("good") + 1) / (len(words) + v.n))
-    n = sum(zip((t or "").split(), (t or "").split()[1:]).__class__ and list(zip((t or "").split(), (t or "").split()[1:])).count(("good", "words")) for _, t, _ in docs)
-    at = list(scorer.pairs).index(v.ids["good"] * v.n + v.ids["words"])
-    assert n == 100 and math.isclose(scorer.background.pair[at], n / (n + 1))
-    # probabilities over the vocabulary sum to one
-    for model in (scorer.background, scorer.target):
-        h = v.ids["good"]
-        total = sum(model.rest[h] * model.unigram[w] for w in range(v.n)) + sum(p for p, q in zip(model.pair, scorer.pairs) if q // v.n == h)
-        assert math.isclose(total, 1.0)
-    assert lm_scoring.score(df.where("false"), scorer).count() == 0
-    assert lm_scoring.fit(df.where("false"), labels).score("x y")[2] == 2
-
-
-def lm_brute(docs, good):
-    """(tokens, background loss, score) by document, from counts of all words and pairs."""
-    def model(texts):
-        words, pairs = Counter(), Counter()
-        for ws in texts:
-            words.update(ws)
-            pairs.update(zip(ws, ws[1:], strict=False))
-        total, kinds = Counter(), Counter()
-        for (a, _), n in pairs.items():
-            total[a] += n
-            kinds[a] += 1
-        return words, pairs, total, kinds
-
-    split = {i: (t or "").lower().split() for i, t in docs}
-    n_words = len({w for ws in split.values() for w in ws}) + 1
-    models = [model(split.values()), model([ws for i, ws in split.items() if i in good])]
-
-    def loss(m, ws):
-        words, pairs, total, kinds = m
-        out = 0.0
-        for i, w in enumerate(ws):
-            p = (words[w] + 1) / (sum(words.values()) + n_words)
-            a = ws[i - 1]
-            if i and kinds[a]:
-                p = (pairs[a, w] + kinds[a] * p) / (total[a] + kinds[a])
-            out -= math.log(p)
-        return out / len(ws)
-
-    return {i: (len(ws), loss(models[0], ws), loss(models[1], ws) - loss(models[0], ws)) if ws else (0, None, None) for i, ws in split.items()}
-
-
-def test_lm_query_keeps_every_word_and_pair(spark, tmp_path):
-    from netloom.llm import queries
-
-    # more words than the bounded model keeps; what tells the target apart is rare
-    docs = [(i, " ".join(f"w{(i * 353 + j * j) % 40_000}" for j in range(300)) + (" rare sign here" if i in (3, 5) else "")) for i in range(400)]
-    docs += [(1000, None), (1001, " \n"), (1002, "Alone"), (1003, docs[5][1])]
-    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, int(i < 20)) for i in range(0, 100)] + [(None, 1), (3, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = {r.doc_id: r for r in queries.op5_lm_scoring(spark, str(tmp_path)).collect()}
-    want = lm_brute(docs, set(range(20)))
-    assert len({w for _, t in docs for w in (t or "").split()}) > 30_000 and got.keys() == want.keys()
-    for i, (n, background, score) in want.items():
-        assert got[i].n_tokens == n
-        assert (got[i].score is None) == (score is None)
-        if n:
-            assert math.isclose(got[i].background_loss, background, rel_tol=1e-9) and math.isclose(got[i].score, score, rel_tol=1e-6, abs_tol=1e-9)
+def lm_brute(rows, good, smooth, v):
+    """(tokens, background loss, score) by row, from counts of all words and pairs."""
+    split = [(t or "").lower().split() for _, t in rows]
+    bigrams = [list(zip(["<s>", *ws], [*ws, "</s>"], strict=True)) if ws else [] for ws in split]
+    target = [d in good for d, _ in rows]
+
+    def model(which):
+        pairs, contexts = Counter(), Counter()
+        for i in which:
+            pairs.update(bigrams[i])
+            contexts.update(a for a, _ in bigrams[i])
+        return pairs, contexts
+
+    every, of_target = range(len(rows)), [i for i in range(len(rows)) if target[i]]
+    background, good_model = model(every), model(of_target)
+    n_b, n_t = sum(background[1].values()), sum(good_model[1].values())
+    out = []
+    for i in every:
+        own = model([i])
+
+        def loss(m, scale, without):
+            pairs, contexts = m
+            return -sum(math.log((scale * (pairs[p] - without * own[0][p]) + smooth) / (scale * (contexts[p[0]] - without * own[1][p[0]]) + smooth * v)) for p in bigrams[i]) / len(bigrams[i])
+
+        if not bigrams[i]:
+            out.append((rows[i][0], 0, None, None))
+            continue
+        b = loss(background, n_t / n_b if n_t else 1.0, 1)
+        out.append((rows[i][0], len(bigrams[i]), b, loss(good_model, 1.0, target[i]) - b))
+    return out
+
+
+def lm_corpus():
+    # many words that occur once or twice; what tells the target apart is rare
+    docs = [(i, " ".join(f"w{(i * 353 + j * j) % 40_000}" for j in range(300)) + (" rare sign here" if i in (3, 5) else "") + " the end" * (400 if i == 7 else 1)) for i in range(300)]
+    docs += [(1000, None), (1001, " \n"), (1002, "Alone"), (1003, docs[5][1]), (None, docs[5][1]), (3, docs[3][1]), (None, None)]
+    return docs, [(i, int(i < 20)) for i in range(100)] + [(None, 1), (3, 1), (4, None)]
+
+
+@pytest.mark.parametrize("cfg,with_labels", [(lm_scoring.Models(), True), (lm_scoring.Models(bucket_words=5000, chunk=20_000, most_hot=50, small=0), True), (lm_scoring.Models(most_hot=0), False)])
+def test_lm_scores_against_brute_force(spark, cfg, with_labels):
+    docs, labels = lm_corpus()
+    df = spark.createDataFrame([(d, t, 1.0) for d, t in docs], "doc_id long, text string, score double").repartition(3)
+    known = spark.createDataFrame(labels if with_labels else [], "doc_id long, quality int")
+    got = sorted(map(tuple, lm_scoring.scores(df, known, cfg).collect()), key=repr)
+    rows = lm_scoring.marked(df, known, cfg)
+    v = lm_scoring.counted(rows, lm_scoring.frequent(rows, cfg)).words
+    true = len({w for _, t in docs for w in (t or "").lower().split()}) + 1
+    assert abs(v / true - 1) < 0.05
+    want = sorted(lm_brute(docs, set(range(20)) if with_labels else set(), cfg.smooth, v), key=repr)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    by = lambda rows: sorted(rows, key=lambda x: (str(x[0]), x[1], x[2] or 0))
+    for g, w in zip(by(got), by(want), strict=True):
+        assert (g[3] is None) == (w[3] is None)
+        if w[2] is not None:
+            assert math.isclose(g[2], w[2], rel_tol=1e-5) and math.isclose(g[3], w[3], rel_tol=1e-4, abs_tol=2e-5)
+    assert lm_scoring.scores(df.where("false"), known, cfg).count() == 0
+
+
+def test_lm_prefers_what_reads_like_the_target(spark):
+    docs = [(i, ("good words about gardens " if i % 2 else "bad noise in traffic ") * 5) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in lm_scoring.scores(df, labels).collect()}
+    assert all(got[i] < 0 for i in range(1, 40, 2)) and all(got[i] > 0 for i in range(0, 40, 2))
