@@ -590,7 +590,7 @@ def wrappers(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     on = ["host", "layout"]
     sizes = stored(read.groupBy(on).agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "layouts")
     one = read.select(*on, F.explode("texts").alias("t")).select(*on, "t.*")
-    weight = lambda c: F.sum(F.when(~F.col("furniture"), F.col(c))).alias("chars")
+    weight = lambda c: F.sum(F.when(F.col("furniture"), F.lit(0)).otherwise(F.col(c))).alias("chars")
     every = one.groupBy(*on, "ref").agg(weight("chars"))
     n = one.groupBy(*on, "ref", "mark").agg(F.count("*").alias("n"), F.max("chars").alias("each"), F.max("furniture").alias("furniture"))
     template = stored(n.where("n > 1").join(sizes, on).where("2 * n > pages").withColumn("all_chars", F.col("n") * F.col("each")), "template")
