@@ -60,8 +60,8 @@ class Models:
     smooth: float = 0.01
     most_hot: int = 100_000
     sample_docs: int = 10_000
-    bucket_words: int = 2_000_000
-    chunk: int = 1_500_000
+    bucket_words: int = 1_500_000
+    chunk: int = 600_000
     small: int = 2_000_000
 
 
