@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.operators import components, masks
+from netloom.storage import stored
 
 #: Limits of the verdicts.
 INVERTED, NORMAL = 0.6, 0.4
@@ -60,32 +62,54 @@ def alignment_score(drill_runs: DataFrame, copper: DataFrame, canvas: DataFrame)
     return rows.select("board_id", n.cast("long").alias("n_drills"), t.cast("long").alias("touches"), F.when(n == 0, 1.0).otherwise(t / n).alias("score"))
 
 
+def best_offset(drill: pd.DataFrame, copper: pd.DataFrame, most: int) -> tuple[int, int]:
+    """(dy, dx) of one board that puts most drill pixels on copper.
+
+    A drill run of length a and a copper run of length b overlap over
+    displacements as a trapezoid: four second-order steps, summed twice.  Only
+    runs of rows that meet at a dy are paired, one dy at a time.
+    """
+    d0, d1 = drill["x0"].to_numpy(np.int64), drill["x1"].to_numpy(np.int64)
+    order = np.argsort(copper["y"].to_numpy(), kind="stable")
+    dy0, cy = drill["y"].to_numpy(np.int64), copper["y"].to_numpy(np.int64)[order]
+    c0, c1 = copper["x0"].to_numpy(np.int64)[order], copper["x1"].to_numpy(np.int64)[order]
+    least = int(c0.min() - d1.max()) + 1
+    width = int(c1.max() - d0.min()) + 2 - least
+    inside = np.abs(np.arange(width) + least) <= most
+    best = (0, 0, 0)
+    for dy in range(max(-most, int(cy[0] - dy0.max())), min(most, int(cy[-1] - dy0.min())) + 1):
+        first, last = np.searchsorted(cy, dy0 + dy), np.searchsorted(cy, dy0 + dy, "right")
+        n = last - first
+        if not n.any():
+            continue
+        i = np.repeat(np.arange(len(n)), n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        bends = np.zeros(width, np.int64)
+        for at, k in ((c0[j] - d1[i], 1), (c0[j] - d0[i], -1), (c1[j] - d1[i], -1), (c1[j] - d0[i], 1)):
+            bends += k * np.bincount(at + 1 - least, minlength=width)
+        overlap = np.where(inside, np.cumsum(np.cumsum(bends)), -1)
+        dx = int(np.argmax(overlap))
+        if overlap[dx] > best[0]:  # ties stay with the lower dy, and argmax takes the lower dx
+            best = (int(overlap[dx]), dy, dx + least)
+    return best[1:]
+
+
 def detect_offset(drill_runs: DataFrame, copper: DataFrame, canvas: DataFrame, most: int = 500) -> DataFrame:
     """(board_id, dy, dx): the displacement that puts most drill pixels on copper.
 
-    Run pairs, not pixel pairs: a drill run of length a and a copper run of
-    length b overlap over displacements as a trapezoid, which is written as four
-    second-order steps and summed twice.  Ties go to the lower (dy, dx); boards
-    without drill or copper get (0, 0).
+    A group is one board's runs, bounded by its canvas.  Ties go to the lower
+    (dy, dx); boards without drill or copper get (0, 0).
     """
-    d = drill_runs.select("board_id", F.col("y").alias("dy0"), F.col("x0").alias("d0"), F.col("x1").alias("d1"))
-    c = copper.select("board_id", F.col("y").alias("cy"), F.col("x0").alias("c0"), F.col("x1").alias("c1"))
-    pairs = d.join(c, "board_id").select("board_id", (F.col("cy") - F.col("dy0")).alias("dy"), "d0", "d1", "c0", "c1").where(F.abs("dy") <= most)
-    step = lambda at, k: F.struct(at.alias("dx"), F.lit(k).alias("k"))
-    kinks = F.array(step(F.col("c0") - F.col("d1") + 1, 1), step(F.col("c0") - F.col("d0") + 1, -1), step(F.col("c1") - F.col("d1") + 1, -1), step(F.col("c1") - F.col("d0") + 1, 1))
-    bends = pairs.select("board_id", "dy", F.explode(kinks).alias("s")).groupBy("board_id", "dy", "s.dx").agg(F.sum("s.k").alias("k"))
-    order = W.partitionBy("board_id", "dy").orderBy("dx")
-    lines = bends.withColumn("slope", F.sum("k").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.lead("dx").over(order))
-    # value at dx - 1 is the sum of slopes before; linear between bends, so maxima lie at bends or at the limits
-    rise = F.sum(F.coalesce((F.col("next") - F.col("dx")) * F.col("slope"), F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, -1))
-    at = lines.withColumn("base", F.coalesce(rise, F.lit(0)))
-    # between bends the value at dx + j is base + slope * (j + 1); a peak is where the slope turns from up
-    low, high = F.greatest(F.col("dx"), F.lit(-most)), F.least(F.coalesce(F.col("next") - 1, F.col("dx")), F.lit(most))
-    value = lambda x: F.col("base") + F.col("slope") * (x - F.col("dx") + 1)
-    ends = F.array(F.struct(value(low).alias("n"), (-F.col("dy")).alias("a"), (-low).alias("b")), F.struct(value(high).alias("n"), (-F.col("dy")).alias("a"), (-high).alias("b")))
-    best = at.where(low <= high).select("board_id", F.explode(ends).alias("e")).groupBy("board_id").agg(F.max("e").alias("e"))
-    rows = canvas.select("board_id").join(best, "board_id", "left")
-    return rows.select("board_id", F.coalesce(-F.col("e.a"), F.lit(0)).cast("int").alias("dy"), F.coalesce(-F.col("e.b"), F.lit(0)).cast("int").alias("dx"))
+
+    def run(d: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(d) or not len(c):
+            return pd.DataFrame({"board_id": [], "dy": [], "dx": []}).astype("int32")
+        dy, dx = best_offset(d, c, most)
+        return pd.DataFrame({"board_id": [d["board_id"].iloc[0]], "dy": [dy], "dx": [dx]})
+
+    runs = lambda df: df.select("board_id", "y", "x0", "x1").groupBy("board_id")
+    best = runs(drill_runs).cogroup(runs(copper)).applyInPandas(run, "board_id int, dy int, dx int")
+    return canvas.select("board_id").join(best, "board_id", "left").select("board_id", F.coalesce("dy", F.lit(0)).alias("dy"), F.coalesce("dx", F.lit(0)).alias("dx"))
 
 
 def alignment_verdict(n: Column, score: Column, dy: Column, dx: Column, score2: Column, auto: bool = True) -> Column:
@@ -100,10 +124,10 @@ def audit_alignment(drill_runs: DataFrame, runs: DataFrame, canvas: DataFrame, a
     """Score of each board's drill mask, the best displacement, and the verdict.
     Displacements are searched only for boards that need one."""
     copper = outer_copper(runs)
-    score = alignment_score(drill_runs, copper, canvas)
+    score = stored(alignment_score(drill_runs, copper, canvas), "alignment")
     poor = score.where((F.col("score") < HEALTHY) & (F.col("n_drills") > 0)).select("board_id")
     mine = lambda df: df.join(poor, "board_id", "left_semi")
-    off = detect_offset(mine(drill_runs), mine(copper), mine(canvas), most)
+    off = stored(detect_offset(mine(drill_runs), mine(copper), mine(canvas), most), "offsets")
     moved = alignment_score(masks.shift(mine(drill_runs), off, canvas), mine(copper), mine(canvas)).select("board_id", F.col("score").alias("score2"))
     rows = score.join(off, "board_id", "left").join(moved, "board_id", "left")
     dy, dx = F.coalesce("dy", F.lit(0)), F.coalesce("dx", F.lit(0))

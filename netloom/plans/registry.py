@@ -95,11 +95,11 @@ def mask_punch(spark, sf_dir):
     return masks.punch(b.copper, b.drill, b.canvas)
 
 
-@registered("SELECT board_id, layer, y, x, CASE WHEN bool_or(layer_kind = 1) THEN 255 ELSE 128 END AS red, CASE WHEN bool_or(layer_kind = 1) THEN 0 ELSE 128 END AS green_blue FROM (SELECT board_id, 'audit' AS layer, y, unnest(range(x0, x1))::INT AS x, 0 AS layer_kind FROM run WHERE y % 8 = 0 UNION ALL SELECT board_id, 'audit', y, unnest(range(x0, x1))::INT, 1 FROM drill WHERE y % 8 = 0) GROUP BY ALL")
+@registered("SELECT board_id, layer, y, x, CASE WHEN bool_or(layer_kind = 1) THEN 255 ELSE 128 END AS red, CASE WHEN bool_or(layer_kind = 1) THEN 0 ELSE 128 END AS green_blue FROM (SELECT board_id, 'audit' AS layer, y, unnest(range(x0, x1))::INT AS x, 0 AS layer_kind FROM run UNION ALL SELECT board_id, 'audit', y, unnest(range(x0, x1))::INT, 1 FROM drill) GROUP BY ALL")
 def audit_overlay_rows(spark, sf_dir):
-    """Every eighth row of the overlay: copper grey, drilled areas pure red."""
+    """The pixels of every row of the overlay: copper grey, drilled areas pure red."""
     b = boards.derive(spark, sf_dir)
-    both = b.runs.withColumn("k", F.lit(0)).unionByName(b.drill.withColumn("k", F.lit(1))).where("y % 8 = 0")
+    both = b.runs.withColumn("k", F.lit(0)).unionByName(b.drill.withColumn("k", F.lit(1)))
     px = both.select("board_id", F.lit("audit").alias("layer"), "y", "k", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
     top = px.groupBy("board_id", "layer", "y", "x").agg(F.max("k").alias("k"))
     return top.select("board_id", "layer", "y", "x", F.when(F.col("k") == 1, 255).otherwise(128).alias("red"), F.when(F.col("k") == 1, 0).otherwise(128).alias("green_blue"))
@@ -107,7 +107,7 @@ def audit_overlay_rows(spark, sf_dir):
 
 @registered(None)
 def audit_overlay(spark, sf_dir):
-    """Every row of the overlay, as runs; audit_overlay_rows has an eighth of its pixels."""
+    """The overlay as runs; audit_overlay_rows has its pixels."""
     b = boards.derive(spark, sf_dir)
     return audit.overlay(b.runs, b.drill, b.canvas)
 
@@ -416,7 +416,54 @@ def connector_resolution(spark, sf_dir):
     return catalog.connector_mode(got.withColumn("sha", F.sha2(F.lit("same"), 256)), catalog.via_name(got))
 
 
-@registered(None)
+@registered(f"SELECT board_id, canonical AS layer FROM {_DETECT} WHERE canonical IN ('F_Cu', 'B_Cu') AND board_id IN (SELECT board_id FROM {_DETECT} WHERE canonical IN ('F_Cu', 'B_Cu') GROUP BY board_id HAVING count(*) = 2)", **_FILES)
+def outer_layers(spark, sf_dir):
+    """Outer layers that a build takes when none are named."""
+    got = catalog.detect_layers(board_files(spark, sf_dir)).select("board_id", F.col("canonical").alias("name"))
+    return catalog.default_outer(catalog.resolve_layers(got))
+
+
+@registered(f"SELECT board_id, coalesce(max(name) FILTER (k = 1), max(name) FILTER (k = 2), max(name) FILTER (k = 3), 'drill') AS name FROM (SELECT board_id, canonical AS name, list_position(['drill', 'PTH', 'via'], canonical) AS k FROM {_DETECT}) GROUP BY board_id", **_FILES)
+def drill_resolution(spark, sf_dir):
+    got = catalog.detect_layers(board_files(spark, sf_dir)).select("board_id", F.col("canonical").alias("name"))
+    return catalog.drill_name(got)
+
+
+@registered(f"""SELECT * FROM (WITH h AS (SELECT board_id, canonical AS name, canonical AS mask FROM {_DETECT} WHERE canonical IN ('via', 'PTH', 'drill', 'NPTH')),
+ extra AS (SELECT board_id, unnest(CASE WHEN bool_or(name = 'PTH') THEN ['via', 'drill'] WHEN bool_or(name = 'via') THEN ['drill'] ELSE [] END) AS name, CASE WHEN bool_or(name = 'PTH') THEN 'PTH' ELSE 'via' END AS mask FROM h GROUP BY board_id)
+ SELECT * FROM h UNION ALL SELECT * FROM extra ANTI JOIN h USING (board_id, name))""", **_FILES)
+def drill_aliases(spark, sf_dir):
+    """Hole masks by name, and the mask that stands in for a name."""
+    got = catalog.detect_layers(board_files(spark, sf_dir)).select("board_id", F.col("canonical").alias("name"), F.col("canonical").alias("mask"))
+    return catalog.with_aliases(got.where("name IN ('via', 'PTH', 'drill', 'NPTH')"))
+
+
+@registered("SELECT board_id, (drill - 1)::INT AS object_index, 1 AS tool, 0.8::DOUBLE AS diameter, x0::DOUBLE AS x, y0::DOUBLE AS y FROM blob")
+def excellon_read(spark, sf_dir):
+    """A drill file of every board's holes, written as text and read."""
+    d = drills.blobs(components.label(boards.derive(spark, sf_dir).drill))
+    line = F.struct("drill", F.format_string("X%dY%d", "x0", "y0").alias("hit"))
+    hits = d.groupBy("board_id").agg(F.sort_array(F.collect_list(line)).alias("hits"))
+    return files.read_excellon(hits.select("board_id", F.concat(F.lit("M48\nT01C0.800\n%\nT01\n"), F.array_join(F.transform("hits", lambda h: h["hit"]), "\n"), F.lit("\nM30\n")).alias("text")))
+
+
+@registered("SELECT board_id, (10000 - drill)::INT AS object_index, plated FROM decision_infer")
+def object_choices(spark, sf_dir):
+    """Decisions by the object of the drill file that each hole came from."""
+    e = extraction(spark, sf_dir)
+    return files.object_decisions(excellon_assignment(spark, sf_dir), e.decisions)
+
+
+@registered("""SELECT board_id, before, after, gain, gain >= 0.1 AS accepted FROM (SELECT board_id, coalesce(b, 0)::BIGINT AS before, coalesce(a, 0)::BIGINT AS after, (coalesce(a, 0) - coalesce(b, 0)) / greatest(coalesce(b, 0), 1)::DOUBLE AS gain FROM canvas
+ LEFT JOIN (SELECT s.board_id, sum(least(s.x1, d.x1) - greatest(s.x0, d.x0)) AS b FROM shifted s JOIN drill d ON s.board_id = d.board_id AND s.y = d.y AND s.x0 < d.x1 AND d.x0 < s.x1 GROUP BY s.board_id) USING (board_id)
+ LEFT JOIN (SELECT board_id, sum(x1 - x0) AS a FROM drill GROUP BY board_id) USING (board_id))""")
+def solder_mask_gain(spark, sf_dir):
+    """What a displaced mask gains over the pads when it is moved back."""
+    b = boards.derive(spark, sf_dir)
+    return audit.mask_gain(b.shifted, b.drill, b.drill, b.canvas)
+
+
+@registered("SELECT board_id, drill, (10000 - drill)::INT AS object_index FROM blob")
 def excellon_assignment(spark, sf_dir):
     """Drilled areas against the holes they came from, y upwards, shuffled."""
     b = boards.derive(spark, sf_dir)

@@ -105,7 +105,7 @@ def test_rectangles_cover_and_netmap_round_trip(spark):
     odd = vector.odd_paths(svg).first()
     assert (odd.paths, odd.odd_paths) == (2, 0)
     broken = svg.select("board_id", F.regexp_replace("svg", "V9", "L9").alias("svg"))
-    assert vector.odd_paths(broken).first().odd_paths <= 2
+    assert vector.odd_paths(broken).first().odd_paths > 0
 
 
 def test_overlay_paints_the_whole_canvas(spark, canvas, tmp_path):
@@ -122,11 +122,28 @@ def test_overlay_paints_the_whole_canvas(spark, canvas, tmp_path):
     assert (got == want).all() and {y % 8 for y in np.nonzero(got.any(axis=(1, 2)))[0]} == set(range(8))
 
 
-def test_overlay_query_holds_the_eighth_that_the_other_has(spark):
+def test_overlay_queries_hold_the_same_pixels(spark):
     from netloom.plans import registry
 
     q = {n: registry.queries()[n](spark, "/root/testdata/sf0.001") for n in ("audit_overlay", "audit_overlay_rows")}
     px = q["audit_overlay"].select("board_id", "layer", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "red", "green_blue")
-    assert px.where("y % 8 <> 0").limit(1).count() == 1
-    eighth = px.where("y % 8 = 0")
-    assert eighth.exceptAll(q["audit_overlay_rows"]).count() == 0 == q["audit_overlay_rows"].exceptAll(eighth).count()
+    assert px.exceptAll(q["audit_overlay_rows"]).count() == 0 == q["audit_overlay_rows"].exceptAll(px).count()
+
+
+def test_best_offset_against_brute_force():
+    import random
+
+    import pandas as pd
+
+    from netloom.operators import audit
+
+    r = random.Random(3)
+    for case in range(40):
+        runs = lambda n: pd.DataFrame([(0, r.randrange(12), x, x + r.randint(1, 4)) for x in (r.randrange(14) for _ in range(n))], columns=["board_id", "y", "x0", "x1"]).drop_duplicates(["y"])
+        d, c, most = runs(5), runs(8), r.choice([2, 5, 30])
+        pixels = lambda df: {(y, x) for y, a, b in zip(df.y, df.x0, df.x1, strict=True) for x in range(a, b)}
+        p, q = pixels(d), pixels(c)
+        hits = {(dy, dx): sum((y + dy, x + dx) in q for y, x in p) for dy in range(-most, most + 1) for dx in range(-most, most + 1)}
+        best = max(hits.values())
+        want = min(k for k, v in hits.items() if v == best) if best else (0, 0)
+        assert audit.best_offset(d, c, most) == want, case
