@@ -111,3 +111,10 @@ def with_aliases(holes: DataFrame) -> DataFrame:
     want = want.join(have, ["board_id", "name"], "left_anti").groupBy("board_id", "name").agg(F.min("source").alias("source"))
     extra = holes.withColumnRenamed("name", "source").join(want, ["board_id", "source"]).drop("source")
     return holes.unionByName(extra)
+
+
+def mask_pairs(have: DataFrame) -> DataFrame:
+    """(board_id, mask, copper): the solder mask that goes with each outer copper
+    layer of ``have(board_id, name)``."""
+    side = F.create_map(F.lit("F_Cu"), F.lit("F_Mask"), F.lit("B_Cu"), F.lit("B_Mask"))
+    return have.select("board_id", side[F.col("name")].alias("mask"), F.col("name").alias("copper")).where("mask IS NOT NULL").distinct()

@@ -86,3 +86,14 @@ def from_pixels(pixels: DataFrame) -> DataFrame:
 
 def to_pixels(runs: DataFrame) -> DataFrame:
     return runs.select(*ROW, F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
+
+
+def visual_drill(raw: DataFrame, via: DataFrame, names: DataFrame, manual: DataFrame, canvas: DataFrame) -> DataFrame:
+    """Holes that a viewer shows empty, for ``names(board_id, drill_name, via_name)``:
+    the connector mask, aligned already, where it is the drill mask too, else
+    the drill mask moved by ``manual(board_id, dy, dx)`` alone."""
+    same = names.where("drill_name = via_name").select("board_id")
+    other = names.where("drill_name <> via_name").select("board_id")
+    by = other.join(manual, "board_id", "left").fillna(0, ["dy", "dx"])
+    kept = via.join(same, "board_id", "left_semi").select(*ROW, "x0", "x1")
+    return kept.unionByName(shift(raw, by, canvas)).withColumn("layer", F.lit("holes"))

@@ -106,6 +106,20 @@ def identify_drills(e: Extraction, out: str, choices: DataFrame | None = None) -
     d.write.mode("overwrite").partitionBy("board_id").json(f"{out}/decisions")
 
 
+def plated_counts(decisions: DataFrame, canvas: DataFrame) -> DataFrame:
+    """(board_id, plated, unplated) of every board."""
+    n = decisions.groupBy("board_id").agg(F.count_if("plated").alias("plated"), F.count_if(~F.col("plated")).alias("unplated"))
+    return canvas.select("board_id").join(n, "board_id", "left").fillna(0, ["plated", "unplated"])
+
+
+def check_drawable(corrections: DataFrame) -> None:
+    """An error where ``corrections(board_id, layer, invert, dy, dx)`` moves a layer,
+    which drawings can't follow; they can follow an inversion."""
+    bad = corrections.where("dy <> 0 OR dx <> 0").select("board_id", "layer", F.coalesce("dy", F.lit(0)).alias("dy"), F.coalesce("dx", F.lit(0)).alias("dx")).limit(20).collect()
+    if bad:
+        raise ValueError("drawings of moved layers: " + "; ".join(f"board {r.board_id} {r.layer}: dy={r.dy} dx={r.dx}" for r in bad))
+
+
 def split_objects(objects: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plated, unplated) objects of a drill file by (board_id, object_index, plated)."""
     rows = objects.join(decided, ["board_id", "object_index"])
