@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import catalog
-from netloom.operators import audit, components, drills, export, masks, nets, vector
-from netloom.plans import sql
+from netloom.operators import artwork, audit, components, drills, export, masks, nets, vector
+from netloom.plans import jobs, sql
 from netloom.plans.extract import Extraction
 from netloom.sources import boards, files
 from netloom.sources.boards import COPPER, PLANE, SIDE, STACK
+from netloom.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -370,6 +371,83 @@ def svg_path_flatten(spark, sf_dir):
     return vector.flatten(paths).select("board_id", "path_id", "part", "closed", *digits("length"))
 
 
+# drawings
+
+_W, _H = "(4 + k % 13)", "(4 + k % 7)"
+_DRAWN = f"""(SELECT board_id, row_number() OVER (PARTITION BY board_id ORDER BY hole, k)::INT AS el, hole, k % 4 AS shape, x, y, {_W} AS w, {_H} AS h, r FROM
+ (SELECT c_nationkey::INT AS board_id, 0 AS hole, c_custkey::INT AS k, (c_custkey * 37 % 240)::INT AS x, (c_custkey * 53 % 240)::INT AS y, 0 AS r FROM customer UNION ALL
+  SELECT s_nationkey::INT, 1, s_suppkey::INT, (20 + s_suppkey * 41 % 216)::INT, (20 + s_suppkey * 59 % 216)::INT, (3 + s_suppkey % 4)::INT FROM supplier))"""
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawing of every board over a dark background: customers as rectangles,
+    strokes, paths or areas of an unknown colour, then suppliers' holes."""
+    read = lambda name, key: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(f"{key[0]}_nationkey").cast("int").alias("board_id"), F.col(key).cast("int").alias("k"))
+    k = F.col("k")
+    x, y, w, h = k * 37 % 240, k * 53 % 240, 4 + k % 13, 4 + k % 7
+    rect = F.format_string('<rect x="%d" y="%d" width="%d" height="%d" fill="#ffffff"/>', x, y, w, h)
+    line = F.format_string('<line x1="%d" y1="%d" x2="%d" y2="%d" stroke="white" stroke-width="%d"/>', x, y, x + w, y, h)
+    path = F.format_string('<path d="m%d,%dh%dv%dh-%dz" fill="#fefefe"/>', x, y, w, h, w)
+    other = F.format_string('<rect x="%d" y="%d" width="%d" height="%d" fill="teal"/>', x, y, w, h)
+    shape = F.when(k % 4 == 0, rect).when(k % 4 == 1, line).when(k % 4 == 2, path).otherwise(other)
+    hole = F.format_string('<circle cx="%d" cy="%d" r="%d" fill="#010101"/>', 20 + k * 41 % 216, 20 + k * 59 % 216, 3 + k % 4)
+    one = read("customer", "c_custkey").select("board_id", F.struct(F.lit(0), k, shape.alias("t")).alias("e")).unionByName(read("supplier", "s_suppkey").select("board_id", F.struct(F.lit(0) + 1, k, hole.alias("t")).alias("e")))
+    body = one.groupBy("board_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["t"]), "").alias("body"))
+    head = f'<svg viewBox="0 0 {SIDE} {SIDE}"><mask><rect x="0" y="0" width="{SIDE}" height="{SIDE}" fill="#000000"/>'
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("board_id"))
+    return nation.join(body, "board_id", "left").select("board_id", F.lit("F_Cu").alias("layer"), F.concat(F.lit(head), F.coalesce("body", F.lit("")), F.lit("</mask></svg>")).alias("svg"))
+
+
+def _subpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(artwork.subpaths(artwork.elements(artwork.documents(drawings(spark, sf_dir)))), "subpaths")
+
+
+@registered(f"""SELECT board_id, el, CASE WHEN hole = 1 THEN 'dot' WHEN shape = 1 THEN 'seg' ELSE 'tri' END AS kind, CASE WHEN hole = 1 THEN -1 ELSE 1 END AS polarity, CASE WHEN hole = 1 OR shape = 1 THEN 1 ELSE 4 END::BIGINT AS n,
+ CASE WHEN hole = 1 THEN x - r WHEN shape = 1 THEN x - h / 2::DOUBLE ELSE x END::DOUBLE AS x0, CASE WHEN hole = 1 THEN y - r WHEN shape = 1 THEN y - h / 2::DOUBLE ELSE y END::DOUBLE AS y0,
+ CASE WHEN hole = 1 THEN x + r WHEN shape = 1 THEN x + w + h / 2::DOUBLE ELSE x + w END::DOUBLE AS x1, CASE WHEN hole = 1 THEN y + r WHEN shape = 1 THEN y + h / 2::DOUBLE ELSE y + h END::DOUBLE AS y1,
+ CASE WHEN hole = 0 AND shape <> 1 THEN w * h ELSE 0 END::DOUBLE AS area FROM {_DRAWN} WHERE hole = 1 OR shape <> 3""")
+def artwork_primitives(spark, sf_dir):
+    """Every element's primitives: how many, their bounds, and the triangles' area."""
+    p = artwork.bounds(artwork.primitives(_subpaths(spark, sf_dir)))
+    c = lambda i: F.get("coords", F.lit(i))
+    cross = (c(2) - c(0)) * (c(5) - c(1)) - (c(4) - c(0)) * (c(3) - c(1))
+    g = p.groupBy("board_id", F.floor(F.col("ord") / 2).cast("int").alias("el"), "kind", "polarity").agg(
+        F.count("*").alias("n"), *(f(F.round(x, 6)).alias(x) for f, x in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))),
+        F.round(F.sum(F.when(F.col("kind") == "tri", cross / 2).otherwise(0.0)), 6).alias("area"),
+    )
+    return g
+
+
+@registered(f"""SELECT board_id, run::INT AS run, min(polarity) AS polarity, count(*) FILTER (hole = 1 OR shape = 1) AS caps, (4 * count(*) FILTER (hole = 0 AND shape <> 1))::BIGINT AS tris FROM
+ (SELECT *, hole + 1 - min(hole) OVER (PARTITION BY board_id) AS run, CASE WHEN hole = 1 THEN -1 ELSE 1 END AS polarity FROM {_DRAWN} WHERE hole = 1 OR shape <> 3) GROUP BY board_id, run""")
+def artwork_runs(spark, sf_dir):
+    """Consecutive primitives of one polarity: copper, then holes."""
+    return artwork.polarity_runs(artwork.primitives(_subpaths(spark, sf_dir))).select("board_id", "run", "polarity", "caps", "tris")
+
+
+@registered(f"""SELECT board_id, (1 + coalesce(n, 0))::BIGINT AS elements, 1::BIGINT AS backgrounds, coalesce(u, 0)::BIGINT AS unknown, coalesce(s, 0)::BIGINT AS segs, coalesce(d, 0)::BIGINT AS dots, coalesce(4 * t, 0)::BIGINT AS tris FROM canvas LEFT JOIN
+ (SELECT board_id, count(*) AS n, count(*) FILTER (hole = 0 AND shape = 3) AS u, count(*) FILTER (hole = 0 AND shape = 1) AS s, count(*) FILTER (hole = 1) AS d, count(*) FILTER (hole = 0 AND shape IN (0, 2)) AS t FROM {_DRAWN} GROUP BY board_id) USING (board_id)""")
+def artwork_stats(spark, sf_dir):
+    docs = stored(artwork.documents(drawings(spark, sf_dir)), "documents")
+    els = stored(artwork.elements(docs), "elements")
+    return artwork.stats(docs, els, artwork.primitives(artwork.subpaths(els))).drop("layer")
+
+
+@registered("SELECT c.board_id, coalesce(p, 0)::BIGINT AS plated, coalesce(u, 0)::BIGINT AS unplated FROM canvas c LEFT JOIN (SELECT board_id, count(*) FILTER (plated) AS p, count(*) FILTER (NOT plated) AS u FROM decision_infer GROUP BY board_id) USING (board_id)")
+def plated_counts(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    return jobs.plated_counts(e.decisions, e.canvas)
+
+
+@registered("SELECT board_id, 'holes' AS layer, y, x0, x1 FROM drill WHERE board_id % 2 = 0 UNION ALL SELECT board_id, 'holes', y, x0, x1 FROM shifted WHERE board_id % 2 = 1")
+def visual_drill(spark, sf_dir):
+    """Holes to show: even boards have one mask for both uses, odd ones two."""
+    b = boards.derive(spark, sf_dir)
+    names = b.canvas.select("board_id", F.lit("drill").alias("drill_name"), F.when(F.col("board_id") % 2 == 0, "drill").otherwise("via").alias("via_name"))
+    still = b.canvas.select("board_id", F.lit(0).alias("dy"), F.lit(0).alias("dx"))
+    return masks.visual_drill(b.shifted, b.drill, names, still, b.canvas)
+
+
 # names and files
 
 #: File names of four families of tools, by board.
@@ -438,6 +516,12 @@ def drill_aliases(spark, sf_dir):
     return catalog.with_aliases(got.where("name IN ('via', 'PTH', 'drill', 'NPTH')"))
 
 
+@registered(f"SELECT board_id, CASE canonical WHEN 'F_Cu' THEN 'F_Mask' ELSE 'B_Mask' END AS mask, canonical AS copper FROM {_DETECT} WHERE canonical IN ('F_Cu', 'B_Cu')", **_FILES)
+def mask_pairs(spark, sf_dir):
+    got = catalog.detect_layers(board_files(spark, sf_dir)).select("board_id", F.col("canonical").alias("name"))
+    return catalog.mask_pairs(got)
+
+
 @registered("SELECT board_id, (drill - 1)::INT AS object_index, 1 AS tool, 0.8::DOUBLE AS diameter, x0::DOUBLE AS x, y0::DOUBLE AS y FROM blob")
 def excellon_read(spark, sf_dir):
     """A drill file of every board's holes, written as text and read."""
