@@ -1,4 +1,4 @@
-"""Command line: python -m netloom {nets,audit,explain,drill-identify,render,index} ..."""
+"""Command line: python -m netloom {nets,audit,align,explain,drill-identify,render,index} ..."""
 
 from __future__ import annotations
 
@@ -6,22 +6,43 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from netloom.operators import masks
 from netloom.plans import jobs
 from netloom.plans.extract import Extraction
-from netloom.sources import boards
+from netloom.sources import boards, files
+
+
+def offset(spec: str) -> tuple[str, int, int]:
+    """LAYER=DY,DX, or DY,DX for the drill mask."""
+    layer, _, pair = spec.rpartition("=")
+    try:
+        dy, dx = map(int, pair.split(","))
+    except ValueError:
+        raise argparse.ArgumentTypeError(f"an offset is [LAYER=]DY,DX in whole pixels, not {spec!r}") from None
+    return layer or "drill", dy, dx
+
+
+def names(text: str) -> tuple[str, ...]:
+    return tuple(n.strip() for n in text.split(",") if n.strip())
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="netloom", description="Board connectivity on Spark")
     sub = p.add_subparsers(dest="job", required=True)
-    for name in ("nets", "audit", "drill-identify", "render"):
+    for name in ("nets", "audit", "align", "drill-identify", "render"):
         s = sub.add_parser(name)
         s.add_argument("source", help="folder of canvas, runs and drill tables, or of star-schema tables with --derive")
         s.add_argument("--derive", action="store_true")
-        s.add_argument("--layers", default=",".join(boards.COPPER))
+        s.add_argument("--layers", type=names, default=boards.COPPER)
         s.add_argument("--mode", choices=("infer", "explicit", "never"), default="infer")
         s.add_argument("--auto-align", action="store_true")
+        s.add_argument("--invert", type=names, default=(), help="layers to invert whatever the audit says")
+        s.add_argument("--no-invert", type=names, default=(), help="layers never to invert")
+        s.add_argument("--no-auto-invert", action="store_true")
+        s.add_argument("--offset", type=offset, action="append", default=[], metavar="[LAYER=]DY,DX", help="move a mask on every board, as --offset=-1,2 where DY is negative")
+        s.add_argument("--choices", help="folder of JSON documents board_id=N/*.json with decisions by drill")
         s.add_argument("--out")
     s = sub.add_parser("explain")
     s.add_argument("out")
@@ -36,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
         jobs.gallery(spark, a.out).orderBy("board_id").show(1000, False)
         return 0
     if a.job == "explain":
-        labels = spark.read.parquet(f"{a.out}/labels")
+        labels = jobs.table(spark, a.out, "labels")
         got = jobs.resolve_spec(labels, spark.createDataFrame([(a.board, x) for x in (a.start, a.end)], "board_id int, spec string")).collect()
         bad = [r for r in got if r.error]
         if bad:
@@ -48,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         print(*(r.text for r in steps) if steps else ("not connected",), sep="\n")
         return 0 if steps else 1
 
-    layers = tuple(a.layers.split(","))
+    layers = a.layers
     if a.derive:
         b = boards.derive(spark, a.source)
         canvas, runs, drill = b.canvas, b.runs, b.drill
@@ -59,11 +80,22 @@ def main(argv: list[str] | None = None) -> int:
         report = jobs.audit_report(chosen, drill, canvas, layers, a.auto_align)
         report.orderBy("board_id", "check", "layer").show(10_000, False)
         return int(report.where("warns").limit(1).count() > 0)
-    copper, holes = jobs.prepared(chosen, drill, canvas, layers, a.auto_align)
-    e = Extraction(copper, holes, canvas, layers, a.mode)
     if not a.out:
         p.error("--out is needed")
-    {"nets": jobs.write_extraction, "drill-identify": jobs.identify_drills, "render": jobs.render}[a.job](e, a.out)
+    moves = F.array(*(F.struct(*map(F.lit, o)) for o in a.offset)).cast("array<struct<layer:string,dy:int,dx:int>>")
+    manual = canvas.select("board_id", F.explode(moves).alias("o")).select("board_id", "o.*")
+    if a.job == "align":
+        jobs.write_aligned(chosen, drill, canvas, a.out, manual)
+        return 0
+    chosen = masks.shift(chosen, manual, canvas, "left")
+    own = manual.where("layer = 'drill'") if any(n == "drill" for n, _, _ in a.offset) else None
+    copper, holes = jobs.prepared(chosen, drill, canvas, layers, a.auto_align, own, auto=not a.no_auto_invert, force=a.invert, forbid=a.no_invert)
+    e = Extraction(copper, holes, canvas, layers, a.mode)
+    if a.job == "drill-identify":
+        texts = spark.read.text(a.choices, wholetext=True).select("board_id", F.col("value").alias("json")) if a.choices else None
+        jobs.identify_drills(e, a.out, files.read_choices(texts) if a.choices else None)
+    else:
+        {"nets": jobs.write_extraction, "render": jobs.render}[a.job](e, a.out)
     return 0
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Fixed value: how a viewer shows nets, and the one that is selected.
+NETMAP_STYLE = "<style>.net-shape{fill:transparent;stroke:transparent;pointer-events:all}.net-shape.selected{fill:rgba(255,80,80,.75);stroke:rgba(255,80,80,.75);pointer-events:all}</style>"
+
 
 def encode_rgb(net: Column) -> Column:
     """A 24-bit id as struct<r, g, b>."""
@@ -50,18 +53,21 @@ def rectangles(runs: DataFrame) -> DataFrame:
     return g.select("board_id", "layer", "net", "x0", "y0", "x1", "y1")
 
 
-def netmap(rects: DataFrame, canvas: DataFrame) -> DataFrame:
-    """(board_id, svg): one path a net and layer, rectangles from the top."""
+def netmap(rects: DataFrame, canvas: DataFrame, layers: tuple[str, ...]) -> DataFrame:
+    """(board_id, svg): a group for every layer in the order given, one path a
+    net and layer, rectangles from the top."""
     cmd = F.format_string("M%d %dH%dV%dH%dZ", "x0", "y0", "x1", "y1", "x0")
     paths = rects.groupBy("board_id", "layer", "net").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", cmd.alias("c")))), lambda s: s["c"]), "").alias("d"))
-    name = F.replace(F.replace(F.replace(F.replace(F.col("layer"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    path = F.format_string('<path class="net" data-net-id="%d" d="%s"/>', "net", "d")
-    group = paths.groupBy("board_id", "layer").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("net", path.alias("p")))), lambda s: s["p"]), "\n").alias("body"))
-    group = group.withColumn("g", F.concat(F.lit('<g data-layer="'), name, F.lit('">\n'), F.col("body"), F.lit("\n</g>")))
-    doc = group.groupBy("board_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("layer", "g"))), lambda s: s["g"]), "\n").alias("all"))
-    rows = canvas.join(doc, "board_id", "left")
-    head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 %d %d">\n', "w", "h")
-    return rows.select("board_id", F.concat(head, F.coalesce("all", F.lit("")), F.lit("\n</svg>")).alias("svg"))
+    name = F.col("layer")
+    for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        name = F.replace(name, F.lit(sign), F.lit(code))
+    path = F.concat(F.lit('\n<path class="net-shape" data-net-id="'), "net", F.lit('" data-layer="'), name, F.lit('" d="'), "d", F.lit('"/>'))
+    body = paths.groupBy("board_id", "layer").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("net", path.alias("p")))), lambda s: s["p"]), "").alias("body"))
+    every = canvas.select("board_id", F.posexplode(F.array(*map(F.lit, layers))).alias("at", "layer"))
+    group = every.join(body, ["board_id", "layer"], "left").withColumn("g", F.concat(F.lit('<g data-layer="'), name, F.lit('">'), F.coalesce("body", F.lit("")), F.lit("\n</g>")))
+    doc = group.groupBy("board_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "g"))), lambda s: s["g"]), "\n").alias("all"))
+    head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 %d %d" preserveAspectRatio="none">\n', "w", "h")
+    return canvas.join(doc, "board_id").select("board_id", F.concat(head, F.lit(NETMAP_STYLE + "\n"), F.col("all"), F.lit("\n</svg>")).alias("svg"))
 
 
 def resize_nearest(runs: DataFrame, canvas: DataFrame, width: int, height: int) -> DataFrame:

@@ -31,9 +31,11 @@ def complement(runs: DataFrame, layers: DataFrame) -> DataFrame:
     return rows.select(*ROW, F.col("x1").alias("x0"), F.coalesce(ahead, F.col("w")).alias("x1")).where("x0 < x1")
 
 
-def shift(runs: DataFrame, offsets: DataFrame, canvas: DataFrame) -> DataFrame:
-    """Runs moved by ``offsets(board_id, dy, dx)`` and clipped to the canvas."""
-    rows = runs.join(offsets, "board_id").join(canvas, "board_id")
+def shift(runs: DataFrame, offsets: DataFrame, canvas: DataFrame, how: str = "inner") -> DataFrame:
+    """Runs moved by ``offsets(board_id, [layer,] dy, dx)`` and clipped to the
+    canvas.  With ``how`` left, runs without an offset stay where they are."""
+    key = [c for c in ("board_id", "layer") if c in offsets.columns]
+    rows = runs.join(offsets.select(*key, "dy", "dx"), key, how).fillna(0, ["dy", "dx"]).join(canvas, "board_id")
     moved = rows.select(
         "board_id", "layer", (F.col("y") + F.col("dy")).alias("y"), F.greatest(F.lit(0), F.col("x0") + F.col("dx")).alias("x0"),
         F.least(F.col("w"), F.col("x1") + F.col("dx")).alias("x1"), "h",

@@ -11,14 +11,28 @@ from pyspark.sql import functions as F
 
 from netloom.operators import audit, drills, export, masks, nets
 from netloom.plans.extract import Extraction
+from netloom.storage import stored
 
-TABLES = ("labels", "nets", "components", "drills", "contacts", "members")
+BOX = "area_px bigint, x0 int, y0 int, x1 int, y1 int, cx double, cy double"
+TABLES = {
+    "labels": "board_id int, layer string, y int, x0 int, x1 int, component int",
+    "nets": "board_id int, layer string, component int, net int",
+    "components": f"board_id int, layer string, component int, {BOX}",
+    "drills": f"board_id int, drill int, radius_px double, plated boolean, classification string, rule int, {BOX}",
+    "contacts": "board_id int, drill int, layer string, component_ids array<int>, copper_fraction double, pad_ring_fraction double, pad_ring_angular_coverage double, pad_ring_contact boolean, contact string",
+    "members": "board_id int, drill int, layer string, component int",
+}
 
 
 def by_board(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("board_id").parquet(path)
 
 
+def table(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table of a run; its schema is named, as an empty one has no file to tell it."""
+    return spark.read.schema(TABLES[name]).parquet(f"{out}/{name}")
+
+
 def write_extraction(e: Extraction, out: str) -> None:
     """Tables of an extraction and nets.json documents."""
     made = dict(labels=e.labelled, nets=e.nets, components=e.components, drills=e.decisions.join(e.blobs.drop("radius_px"), ["board_id", "drill"]), contacts=e.contacts, members=e.members)
@@ -29,7 +43,7 @@ def write_extraction(e: Extraction, out: str) -> None:
 
 def debug_json(spark: SparkSession, out: str) -> DataFrame:
     """(board_id, value): components, drills with members, and merged groups."""
-    read = lambda n: spark.read.parquet(f"{out}/{n}")
+    read = lambda n: table(spark, out, n)
     rows = lambda df, name, *order: df.groupBy("board_id").agg(F.sort_array(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in (*order, "board_id"))))).alias(name))
     net = read("nets")
     comp = rows(read("components").join(net, ["board_id", "layer", "component"]), "components", "layer", "component")
@@ -43,12 +57,12 @@ def debug_json(spark: SparkSession, out: str) -> DataFrame:
 def load_labels(spark: SparkSession, out: str, layers: tuple[str, ...]) -> DataFrame:
     """Net runs of an earlier run in the requested layer order; an error if its
     layers aren't the requested ones."""
-    net = spark.read.parquet(f"{out}/nets")
+    net = table(spark, out, "nets")
     found = {r.layer for r in net.select("layer").distinct().collect()}
     if found != set(layers):
         raise ValueError(f"expected layers {sorted(layers)}, found {sorted(found)}")
     ord_ = F.array_position(F.array(*map(F.lit, layers)), F.col("layer")) - 1
-    return export.net_runs(spark.read.parquet(f"{out}/labels"), net).withColumn("layer_ord", ord_.cast("int"))
+    return export.net_runs(table(spark, out, "labels"), net).withColumn("layer_ord", ord_.cast("int"))
 
 
 def resolve_spec(labelled: DataFrame, specs: DataFrame) -> DataFrame:
@@ -68,8 +82,8 @@ def resolve_spec(labelled: DataFrame, specs: DataFrame) -> DataFrame:
 def explained(spark: SparkSession, out: str, specs: DataFrame) -> DataFrame:
     """Text of the path between ``specs(board_id, start, end)`` from files of a
     run, one row a step, places by box middle and hole centre."""
-    members, comp = spark.read.parquet(f"{out}/members"), spark.read.parquet(f"{out}/components")
-    hole = spark.read.parquet(f"{out}/drills").select("board_id", "drill", F.round("cx", 1).alias("hx"), F.round("cy", 1).alias("hy"))
+    members, comp = table(spark, out, "members"), table(spark, out, "components")
+    hole = table(spark, out, "drills").select("board_id", "drill", F.round("cx", 1).alias("hx"), F.round("cy", 1).alias("hy"))
     mid = lambda side: comp.select("board_id", F.concat_ws(":", "layer", "component").alias(f"{side}_node"), F.format_string("~(%d,%d)", F.floor((F.col("x0") + F.col("x1") - 1) / 2), F.floor((F.col("y0") + F.col("y1") - 1) / 2)).alias(f"{side}_at"))
     steps = nets.explain(members, specs).join(mid("from"), ["board_id", "from_node"]).join(mid("to"), ["board_id", "to_node"]).join(hole, ["board_id", "drill"])
     return steps.select("board_id", "start", "end", "step", F.format_string("%s %s - drill %d (%.1f,%.1f) - %s %s", "from_node", "from_at", "drill", "hx", "hy", "to_node", "to_at").alias("text"))
@@ -85,12 +99,12 @@ def audit_report(runs: DataFrame, drill: DataFrame, canvas: DataFrame, layers: t
     return a.unionByName(b)
 
 
-def prepared(runs: DataFrame, drill: DataFrame, canvas: DataFrame, layers: tuple[str, ...], auto_align: bool = False, manual: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def prepared(runs: DataFrame, drill: DataFrame, canvas: DataFrame, layers: tuple[str, ...], auto_align: bool = False, manual: DataFrame | None = None, **invert) -> tuple[DataFrame, DataFrame]:
     """(copper, drill) with planes inverted and the drill mask aligned: polarity
     first, alignment against the inverted layers; ``manual(board_id, dy, dx)``
-    skips the audit for its boards."""
+    skips the audit for its boards; ``invert`` goes to ``audit.resolve_invert``."""
     size = masks.layer_canvas(canvas, layers)
-    copper = audit.prepare(runs, size, audit.resolve_invert(audit.polarity(masks.fill(runs, size))))
+    copper = audit.prepare(runs, size, audit.resolve_invert(audit.polarity(masks.fill(runs, size)), **invert))
     found = audit.audit_alignment(drill, copper, canvas, auto_align).select("board_id", "dy", "dx")
     if manual is not None:
         found = found.join(manual, "board_id", "left_anti").unionByName(manual.select("board_id", "dy", "dx"))
@@ -130,15 +144,23 @@ def align_layers(runs: DataFrame, canvas: DataFrame, shifts: DataFrame) -> tuple
     """(moved runs, manifest) for ``shifts(board_id, layer, dy, dx, source)``;
     where a layer has several, manual comes before auto."""
     first = shifts.groupBy("board_id", "layer").agg(F.max_by(F.struct("dy", "dx", "source"), F.col("source") == "manual").alias("s")).select("board_id", "layer", "s.*")
-    rows = runs.join(first, ["board_id", "layer"], "left").fillna(0, ["dy", "dx"]).join(canvas, "board_id")
-    moved = rows.select("board_id", "layer", (F.col("y") + F.col("dy")).alias("y"), F.greatest(F.lit(0), F.col("x0") + F.col("dx")).alias("x0"), F.least(F.col("w"), F.col("x1") + F.col("dx")).alias("x1"), "h")
-    return moved.where("y >= 0 AND y < h AND x0 < x1").drop("h"), first
+    return masks.shift(runs, first, canvas, "left"), first
+
+
+def write_aligned(runs: DataFrame, drill: DataFrame, canvas: DataFrame, out: str, manual: DataFrame) -> None:
+    """Masks with drills moved onto copper, and alignment as JSON: the audit's
+    shifts of the drill mask, under ``manual(board_id, layer, dy, dx)``."""
+    auto = audit.audit_alignment(drill, runs, canvas).where("verdict = 'shift'").select("board_id", F.lit("drill").alias("layer"), "dy", "dx", F.lit("auto").alias("source"))
+    moved, manifest = align_layers(runs.unionByName(drill.select(*runs.columns)), canvas, auto.unionByName(manual.withColumn("source", F.lit("manual"))))
+    manifest = stored(manifest, "alignment")
+    by_board(moved, f"{out}/masks")
+    manifest.write.mode("overwrite").json(f"{out}/alignment")
 
 
 def render(e: Extraction, out: str, scale: int = 1) -> None:
     """Netmap text and metadata of every board."""
     rects = export.rectangles(e.net_runs)
-    export.netmap(rects, e.canvas).select("board_id", F.col("svg").alias("value")).write.mode("overwrite").partitionBy("board_id").text(f"{out}/netmap")
+    export.netmap(rects, e.canvas, e.layers).select("board_id", F.col("svg").alias("value")).write.mode("overwrite").partitionBy("board_id").text(f"{out}/netmap")
     size = e.canvas.select("board_id", (F.col("w") / scale).cast("int").alias("width"), (F.col("h") / scale).cast("int").alias("height"))
     e.check.join(size, "board_id").write.mode("overwrite").json(f"{out}/meta")
 

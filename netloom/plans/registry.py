@@ -303,19 +303,19 @@ def netmap_rects(spark, sf_dir):
     return export.rectangles(extraction(spark, sf_dir).net_runs)
 
 
-@registered(f"""SELECT board_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {SIDE} {SIDE}">' || chr(10) || coalesce(body, '') || chr(10) || '</svg>' AS svg FROM canvas LEFT JOIN
- (SELECT board_id, string_agg('<g data-layer="' || layer || '">' || chr(10) || p || chr(10) || '</g>', chr(10) ORDER BY layer) AS body FROM (SELECT board_id, layer, string_agg('<path class="net" data-net-id="' || net || '" d="' || d || '"/>', chr(10) ORDER BY net) AS p FROM
- (SELECT board_id, layer, net, string_agg('M' || x0 || ' ' || y0 || 'H' || x1 || 'V' || y1 || 'H' || x0 || 'Z', '' ORDER BY y0, x0, 'M' || x0 || ' ' || y0 || 'H' || x1) AS d FROM {_RECTS} GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) USING (board_id)""")
+@registered(f"""SELECT board_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {SIDE} {SIDE}" preserveAspectRatio="none">' || chr(10) || '{export.NETMAP_STYLE}' || chr(10) || string_agg('<g data-layer="' || layer || '">' || coalesce(p, '') || chr(10) || '</g>', chr(10) ORDER BY list_position({list(COPPER)}, layer)) || chr(10) || '</svg>' AS svg
+ FROM canvas CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in COPPER)}) v(layer) LEFT JOIN (SELECT board_id, layer, string_agg(chr(10) || '<path class="net-shape" data-net-id="' || net || '" data-layer="' || layer || '" d="' || d || '"/>', '' ORDER BY net) AS p FROM
+ (SELECT board_id, layer, net, string_agg('M' || x0 || ' ' || y0 || 'H' || x1 || 'V' || y1 || 'H' || x0 || 'Z', '' ORDER BY y0, x0, 'M' || x0 || ' ' || y0 || 'H' || x1) AS d FROM {_RECTS} GROUP BY ALL) GROUP BY ALL) USING (board_id, layer) GROUP BY board_id""")
 def netmap_svg(spark, sf_dir):
     e = extraction(spark, sf_dir)
-    return export.netmap(export.rectangles(e.net_runs), e.canvas)
+    return export.netmap(export.rectangles(e.net_runs), e.canvas, e.layers)
 
 
 @registered(f"SELECT board_id, layer, net, x0 >> 1 AS x0, y0 >> 1 AS y0, least({SIDE // 2}, greatest((x0 >> 1) + 1, x1 >> 1)) AS x1, least({SIDE // 2}, greatest((y0 >> 1) + 1, y1 >> 1)) AS y1 FROM {_RECTS}")
 def netmap_parse(spark, sf_dir):
     """The exported text, read again at half size."""
     e = extraction(spark, sf_dir)
-    return vector.parse_netmap(export.netmap(export.rectangles(e.net_runs), e.canvas), shift=1).drop("ord")
+    return vector.parse_netmap(export.netmap(export.rectangles(e.net_runs), e.canvas, e.layers), shift=1).drop("ord")
 
 
 _SMALL = 96

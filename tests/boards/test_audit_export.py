@@ -98,7 +98,7 @@ def test_rectangles_cover_and_netmap_round_trip(spark):
     rects = export.rectangles(e.net_runs)
     area = rects.select(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))).first()[0]
     assert area == e.components.agg(F.sum("area_px")).first()[0]
-    svg = export.netmap(rects, e.canvas)
+    svg = export.netmap(rects, e.canvas, e.layers)
     back = vector.parse_netmap(svg)
     key = lambda df: sorted(map(tuple, df.select("layer", "net", "x0", "y0", "x1", "y1").collect()))
     assert key(back) == key(rects)

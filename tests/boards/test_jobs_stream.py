@@ -1,6 +1,9 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from test_connectivity import ellipse, extract, rect
 
+from netloom.__main__ import main
 from netloom.plans import jobs
 from netloom.sources import files
 from netloom.streaming import boards as stream
@@ -42,6 +45,29 @@ def test_render_identify_and_report(spark, tmp_path):
     assert manifest.first().source == "manual" and moved.agg({"y": "min"}).first()[0] == 47
 
 
+def test_command_line(spark, tmp_path):
+    e, src, out = board(spark), tmp_path / "in", str(tmp_path / "out")
+    for name, df in (("canvas", e.canvas), ("runs", e.copper), ("drill", e.drill)):
+        df.write.parquet(str(src / name))
+    run = lambda job, *more: main([job, str(src), "--layers", "F_Cu,B_Cu", "--mode", "explicit", "--out", out, *more])
+    assert run("align", "--offset", "F_Cu=3,-2", "--offset", "1,0") == 0
+    moved = spark.read.parquet(f"{out}/masks")
+    top = {r.layer: (r.y, r.x) for r in moved.groupBy("layer").agg(F.min("y").alias("y"), F.min("x0").alias("x")).collect()}
+    first = {r.layer: (r.y, r.x) for r in e.copper.groupBy("layer").agg(F.min("y").alias("y"), F.min("x0").alias("x")).collect()}
+    assert top["B_Cu"] == first["B_Cu"] and top["F_Cu"] == (first["F_Cu"][0] + 3, first["F_Cu"][1] - 2)
+    assert {(r.layer, r.dy, r.dx, r.source) for r in spark.read.json(f"{out}/alignment").collect()} == {("F_Cu", 3, -2, "manual"), ("drill", 1, 0, "manual")}
+    (tmp_path / "c/board_id=1").mkdir(parents=True)
+    (tmp_path / "c/board_id=1/c.json").write_text('{"decisions": [{"drill": 1, "plated": false}]}')
+    assert run("drill-identify", "--choices", str(tmp_path / "c")) == 0
+    assert {r.layer for r in spark.read.parquet(f"{out}/masks").select("layer").distinct().collect()} == {"NPTH", "drill"}
+    assert run("nets", "--offset=-40,0") == 0  # the drill leaves the copper, so nothing merges
+    assert spark.read.parquet(f"{out}/nets").select("net").distinct().count() == 3
+    assert run("nets", "--invert", "B_Cu", "--no-auto-invert") == 0
+    assert spark.read.parquet(f"{out}/labels").where("layer = 'B_Cu' AND y = 0").count() == 1
+    with pytest.raises(SystemExit):
+        run("nets", "--offset", "one,two")
+
+
 def test_png_masks(spark, tmp_path):
     import struct
     import zlib
