@@ -43,6 +43,7 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--no-auto-invert", action="store_true")
         s.add_argument("--offset", type=offset, action="append", default=[], metavar="[LAYER=]DY,DX", help="move a mask on every board, as --offset=-1,2 where DY is negative")
         s.add_argument("--choices", help="folder of JSON documents board_id=N/*.json with decisions by drill")
+        s.add_argument("--drill-files", help="folder of drill files board_id=N/*, split by --choices by object, or by what the masks say")
         s.add_argument("--out")
     s = sub.add_parser("explain")
     s.add_argument("out")
@@ -85,7 +86,8 @@ def main(argv: list[str] | None = None) -> int:
     moves = F.array(*(F.struct(*map(F.lit, o)) for o in a.offset)).cast("array<struct<layer:string,dy:int,dx:int>>")
     manual = canvas.select("board_id", F.explode(moves).alias("o")).select("board_id", "o.*")
     if a.job == "align":
-        jobs.write_aligned(chosen, drill, canvas, a.out, manual)
+        moved = runs.where(runs.layer.isin(*layers, "via", "F_Mask", "B_Mask"))
+        jobs.write_aligned(moved, drill, canvas, a.out, manual)
         return 0
     chosen = masks.shift(chosen, manual, canvas, "left")
     own = manual.where("layer = 'drill'") if any(n == "drill" for n, _, _ in a.offset) else None
@@ -94,6 +96,10 @@ def main(argv: list[str] | None = None) -> int:
     if a.job == "drill-identify":
         texts = spark.read.text(a.choices, wholetext=True).select("board_id", F.col("value").alias("json")) if a.choices else None
         jobs.identify_drills(e, a.out, files.read_choices(texts) if a.choices else None)
+        if a.drill_files:
+            whole = spark.read.text(a.drill_files, wholetext=True).select("board_id", F.col("value").alias("text"))
+            decided = files.read_object_choices(texts) if a.choices else files.object_decisions(files.match_objects(e.blobs, files.read_excellon(whole)), e.decisions)
+            jobs.write_drill_files(whole, decided, a.out)
     else:
         {"nets": jobs.write_extraction, "render": jobs.render}[a.job](e, a.out)
     return 0

@@ -103,12 +103,13 @@ def detect_offset(drill_runs: DataFrame, copper: DataFrame, canvas: DataFrame, m
 
     def run(d: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(c):
-            return pd.DataFrame({"board_id": [], "dy": [], "dx": []}).astype("int32")
+            return pd.DataFrame({"board_id": [], "dy": [], "dx": []}).astype({"board_id": "int64", "dy": "int32", "dx": "int32"})
         dy, dx = best_offset(d, c, most)
         return pd.DataFrame({"board_id": [d["board_id"].iloc[0]], "dy": [dy], "dx": [dx]})
 
     runs = lambda df: df.select("board_id", "y", "x0", "x1").groupBy("board_id")
-    best = runs(drill_runs).cogroup(runs(copper)).applyInPandas(run, "board_id int, dy int, dx int")
+    best = runs(drill_runs).cogroup(runs(copper)).applyInPandas(run, "board_id long, dy int, dx int")
+    best = best.withColumn("board_id", F.col("board_id").cast(canvas.schema["board_id"].dataType))
     return canvas.select("board_id").join(best, "board_id", "left").select("board_id", F.coalesce("dy", F.lit(0)).alias("dy"), F.coalesce("dx", F.lit(0)).alias("dx"))
 
 
@@ -135,6 +136,23 @@ def audit_alignment(drill_runs: DataFrame, runs: DataFrame, canvas: DataFrame, a
     return rows.select("board_id", "n_drills", "touches", "score", v.alias("verdict"), F.when(v == "shift", dy).otherwise(0).alias("dy"), F.when(v == "shift", dx).otherwise(0).alias("dx"))
 
 
+def mask_alignment(openings: DataFrame, copper: DataFrame, canvas: DataFrame, pairs: DataFrame, most: int = 500) -> DataFrame:
+    """(board_id, layer, reference, dy, dx, before, after, gain, accepted) of
+    every opening that ``pairs(board_id, mask, copper)`` compares with a copper
+    layer.  Each is a board of its own to ``detect_offset``: its key is a row of
+    the pairs."""
+    has = lambda df, name: df.select("board_id", F.col("layer").alias(name)).distinct()
+    both = pairs.join(has(openings, "mask"), ["board_id", "mask"]).join(has(copper, "copper"), ["board_id", "copper"])
+    both = stored(both.select(F.xxhash64("board_id", "mask").alias("key"), "board_id", "mask", "copper"), "pairs")
+    runs = lambda df, side: df.withColumnRenamed("layer", side).join(both, ["board_id", side]).select(F.col("key").alias("board_id"), F.lit("m").alias("layer"), "y", "x0", "x1")
+    mask, pads = runs(openings, "mask"), runs(copper, "copper")
+    size = canvas.join(both, "board_id").select(F.col("key").alias("board_id"), "w", "h")
+    off = stored(detect_offset(mask, pads, size, most), "offsets")
+    found = mask_gain(mask, pads, masks.shift(mask, off, size), size).join(off, "board_id").withColumnRenamed("board_id", "key")
+    moves = (F.col("dy") != 0) | (F.col("dx") != 0)
+    return both.join(found, "key").select("board_id", F.col("mask").alias("layer"), F.col("copper").alias("reference"), "dy", "dx", "before", "after", "gain", (F.col("accepted") & moves).alias("accepted"))
+
+
 def mask_gain(mask: DataFrame, pads: DataFrame, moved: DataFrame, canvas: DataFrame) -> DataFrame:
     """Overlap of a solder mask with pads before and after a displacement; it is
     accepted if it gains a tenth."""

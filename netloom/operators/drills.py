@@ -15,6 +15,21 @@ LEAST_COPPER, ALL_AROUND = 0.10, 0.85
 PAD_COPPER, PAD_ANGLES, BINS = 0.80, 0.75, 32
 LEAST_SMALL, LEAST_LARGE = 8.0, 20.0
 
+#: What each rule of ``classify`` says, by (rule, class); %.1f is the radius.
+REASONS = {
+    (1, "explicit_npth"): "a mask of unplated holes was chosen, which never connect",
+    (2, "explicit_pth"): "a mask of plated holes was chosen, and copper touches this one",
+    (2, "explicit_pth_no_copper"): "a mask of plated holes was chosen, but no copper touches this one",
+    (3, "likely_npth"): "no substantial pad ring on any layer",
+    (4, "likely_npth"): "large hole (radius %.1f px) with copper on one layer at most",
+    (5, "ambiguous_likely_npth"): "copper on one outer side only",
+    (6, "likely_pth"): "pad rings on both outer layers",
+    (7, "likely_pth"): "small hole (radius %.1f px) with partial copper around it",
+    (8, "likely_pth"): "partial copper around it on several layers",
+    (9, "likely_npth"): "nothing but copper all around, as in a clearance that was not drawn",
+    (10, "ambiguous_likely_npth"): "partial copper on too few layers to tell",
+}
+
 
 def blobs(drill_labelled: DataFrame) -> DataFrame:
     """Drilled areas as (board_id, drill, area_px, radius_px, bbox, cx, cy)."""
@@ -107,6 +122,15 @@ def classify(drills: DataFrame, met: DataFrame, limits: DataFrame, layers: tuple
     return rows.withColumn("d", pick).select("board_id", "drill", "radius_px", "d.plated", "d.classification", "d.rule")
 
 
+def reason() -> Column:
+    """Why a hole is what it is, from the columns that ``classify`` returns."""
+    text = F.lit(None).cast("string")
+    for (rule, name), words in REASONS.items():
+        said = F.format_string(words, "radius_px") if "%" in words else F.lit(words)
+        text = F.when((F.col("rule") == rule) & (F.col("classification") == name), said).otherwise(text)
+    return text
+
+
 def override(decisions: DataFrame, choices: DataFrame) -> DataFrame:
     """Decisions with ``choices(board_id, drill, plated)`` taking precedence."""
     c = choices.select("board_id", "drill", F.col("plated").alias("chosen"))

@@ -45,6 +45,28 @@ def downsample(runs: DataFrame, canvas: DataFrame, scale: float) -> DataFrame:
     return cells.where("by < nh AND bx < nw").groupBy("board_id", "layer", "by", "bx").agg(F.max("net").alias("net"))
 
 
+def placements(canvas: DataFrame, layers: tuple[str, ...], cols: int = 2, scale: float = 1.0) -> DataFrame:
+    """(board_id, layer, col, row, x, y, w, h, grid_w, grid_h): the tiles of a
+    grid with ``cols`` columns, filled row by row in the order given."""
+    if not layers:
+        raise ValueError("a grid needs a layer")
+    rows = -(-len(layers) // cols)
+    whole = lambda n: F.floor(n * F.lit(float(scale))).cast("int")
+    tile = canvas.select("board_id", "w", "h", F.posexplode(F.array(*map(F.lit, layers))).alias("at", "layer"))
+    tile = tile.withColumn("col", F.col("at") % cols).withColumn("row", F.floor(F.col("at") / cols).cast("int"))
+    side = lambda n, k: F.greatest(F.lit(1), whole(F.col(n) * k))
+    return tile.select("board_id", "layer", "col", "row", whole(F.col("col") * F.col("w")).alias("x"), whole(F.col("row") * F.col("h")).alias("y"), whole(F.col("w")).alias("w"), whole(F.col("h")).alias("h"), side("w", cols).alias("grid_w"), side("h", rows).alias("grid_h"))
+
+
+def id_map(runs: DataFrame, canvas: DataFrame, layers: tuple[str, ...], cols: int = 2, scale: float = 1.0) -> DataFrame:
+    """(board_id, y, x, net): the nets of all layers as cells of one grid of that
+    scale; of the nets in a cell the largest, so that traces stay visible."""
+    tile = placements(canvas, layers, cols).select("board_id", "layer", "x", "y", "grid_w", "grid_h")
+    moved = runs.join(tile.withColumnRenamed("y", "ty"), ["board_id", "layer"]).select("board_id", F.lit("grid").alias("layer"), (F.col("y") + F.col("ty")).alias("y"), (F.col("x0") + F.col("x")).alias("x0"), (F.col("x1") + F.col("x")).alias("x1"), "net")
+    grid = tile.select("board_id", F.col("grid_w").alias("w"), F.col("grid_h").alias("h")).distinct()
+    return downsample(moved, grid, scale).select("board_id", F.col("by").alias("y"), F.col("bx").alias("x"), "net")
+
+
 def rectangles(runs: DataFrame) -> DataFrame:
     """Equal runs on consecutive rows as one rectangle (half-open)."""
     order = W.partitionBy("board_id", "layer", "net", "x0", "x1").orderBy("y")

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.functions import catalog
 from netloom.operators import audit, drills, export, masks, nets
 from netloom.plans.extract import Extraction
+from netloom.sources import files
 from netloom.storage import stored
 
 BOX = "area_px bigint, x0 int, y0 int, x1 int, y1 int, cx double, cy double"
@@ -117,7 +119,13 @@ def identify_drills(e: Extraction, out: str, choices: DataFrame | None = None) -
     split = drills.split_masks(e.drill_labelled, d)
     via = split.where("layer = 'PTH'").withColumn("layer", F.lit("via"))
     by_board(split.unionByName(via).unionByName(e.drill.select("board_id", "layer", "y", "x0", "x1")), f"{out}/masks")
-    d.write.mode("overwrite").partitionBy("board_id").json(f"{out}/decisions")
+    d.withColumn("reason", drills.reason()).write.mode("overwrite").partitionBy("board_id").json(f"{out}/decisions")
+
+
+def write_drill_files(texts: DataFrame, decided: DataFrame, out: str) -> None:
+    """Every board's drill file as <out>/drills/board_id=N/layer=PTH and NPTH."""
+    line = F.expr("left(text, length(text) - 1)").alias("value")  # the writer ends it
+    files.split_excellon(texts, decided).select("board_id", "layer", line).write.mode("overwrite").partitionBy("board_id", "layer").text(f"{out}/drills")
 
 
 def plated_counts(decisions: DataFrame, canvas: DataFrame) -> DataFrame:
@@ -147,10 +155,23 @@ def align_layers(runs: DataFrame, canvas: DataFrame, shifts: DataFrame) -> tuple
     return masks.shift(runs, first, canvas, "left"), first
 
 
+def detected_shifts(runs: DataFrame, drill: DataFrame, canvas: DataFrame) -> DataFrame:
+    """(board_id, layer, dy, dx, source): useful displacements of the drill mask
+    and of the layers via, F_Mask and B_Mask among ``runs``; the rest is copper."""
+    kind = F.col("layer")
+    masked = kind.isin("F_Mask", "B_Mask")
+    copper = stored(runs.where(~masked & (kind != "via")), "copper")
+    move = lambda name, df: df.select("board_id", name, "dy", "dx", F.lit("auto").alias("source"))
+    holes = [move(F.lit(name).alias("layer"), audit.audit_alignment(df, copper, canvas).where("verdict = 'shift'")) for name, df in (("drill", drill), ("via", runs.where(kind == "via")))]
+    pairs = catalog.mask_pairs(copper.select("board_id", F.col("layer").alias("name")))
+    openings = move("layer", audit.mask_alignment(runs.where(masked), copper, canvas, pairs).where("accepted"))
+    return holes[0].unionByName(holes[1]).unionByName(openings)
+
+
 def write_aligned(runs: DataFrame, drill: DataFrame, canvas: DataFrame, out: str, manual: DataFrame) -> None:
-    """Masks with drills moved onto copper, and alignment as JSON: the audit's
-    shifts of the drill mask, under ``manual(board_id, layer, dy, dx)``."""
-    auto = audit.audit_alignment(drill, runs, canvas).where("verdict = 'shift'").select("board_id", F.lit("drill").alias("layer"), "dy", "dx", F.lit("auto").alias("source"))
+    """Masks moved onto copper, and alignment as JSON: detected shifts, under
+    ``manual(board_id, layer, dy, dx)``."""
+    auto = detected_shifts(runs, drill, canvas)
     moved, manifest = align_layers(runs.unionByName(drill.select(*runs.columns)), canvas, auto.unionByName(manual.withColumn("source", F.lit("manual"))))
     manifest = stored(manifest, "alignment")
     by_board(moved, f"{out}/masks")

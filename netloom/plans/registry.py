@@ -212,6 +212,17 @@ for _mode in ("infer", "explicit", "never"):
     _decisions(_mode)
 
 
+_SAID = " ".join(f"WHEN rule = {r} AND classification = '{c}' THEN " + (f"printf('{t}', radius_px)" if "%" in t else f"'{t}'") for (r, c), t in drills.REASONS.items())
+
+
+@registered(f"SELECT board_id, drill, mode, CASE {_SAID} END AS reason FROM ({' UNION ALL '.join(f"SELECT *, '{m}' AS mode FROM decision_{m}" for m in ('infer', 'explicit', 'never'))})")
+def drill_reasons(spark, sf_dir):
+    """Why each hole is what it is, in every mode of reading the mask."""
+    e = extraction(spark, sf_dir)
+    said = [drills.classify(e.blobs, e.contacts, e.limits, e.layers, m).select("board_id", "drill", F.lit(m).alias("mode"), drills.reason().alias("reason")) for m in ("infer", "explicit", "never")]
+    return said[0].unionByName(said[1]).unionByName(said[2])
+
+
 @registered("SELECT l.board_id, CASE WHEN plated THEN 'PTH' ELSE 'NPTH' END AS layer, y, x0, x1 FROM dlab l JOIN decision_infer d ON l.board_id = d.board_id AND component = drill")
 def drill_split_masks(spark, sf_dir):
     e = extraction(spark, sf_dir)
@@ -295,6 +306,21 @@ def downsample_block_max(spark, sf_dir):
     return export.downsample(e.net_runs, e.canvas, 0.25)
 
 
+_TILE = f"(SELECT unnest({list(COPPER)}) AS layer, unnest(range({len(COPPER)}))::INT % 2 AS col, unnest(range({len(COPPER)}))::INT // 2 AS \"row\")"
+
+
+@registered(f'SELECT board_id, layer, col, "row", col * {SIDE // 2} AS x, "row" * {SIDE // 2} AS y, {SIDE // 2} AS w, {SIDE // 2} AS h, {SIDE} AS grid_w, {SIDE // 2 * -(-len(COPPER) // 2)} AS grid_h FROM canvas CROSS JOIN {_TILE}')
+def grid_placements(spark, sf_dir):
+    """Where each layer lies in a grid of two columns at half size."""
+    return export.placements(boards.derive(spark, sf_dir).canvas, COPPER, scale=0.5)
+
+
+@registered(f'SELECT board_id, (y + "row" * {SIDE}) // 2 AS y, (x + col * {SIDE}) // 2 AS x, max(net) AS net FROM (SELECT board_id, layer, y, unnest(range(x0, x1))::INT AS x, net FROM nrun) JOIN {_TILE} USING (layer) GROUP BY ALL')
+def grid_id_map(spark, sf_dir):
+    e = extraction(spark, sf_dir)
+    return export.id_map(e.net_runs, e.canvas, COPPER, scale=0.5)
+
+
 _RECTS = "(SELECT board_id, layer, net, x0, min(y)::INT AS y0, x1, (max(y) + 1)::INT AS y1 FROM (SELECT *, y - row_number() OVER (PARTITION BY board_id, layer, net, x0, x1 ORDER BY y) AS i FROM nrun) GROUP BY board_id, layer, net, x0, x1, i)"
 
 
@@ -522,13 +548,18 @@ def mask_pairs(spark, sf_dir):
     return catalog.mask_pairs(got)
 
 
+def drill_files(holes: DataFrame) -> DataFrame:
+    """(board_id, text): a drill file with a hit for every hole, in their order."""
+    line = F.struct("drill", F.format_string("X%dY%d", "x0", "y0").alias("hit"))
+    hits = holes.groupBy("board_id").agg(F.sort_array(F.collect_list(line)).alias("hits"))
+    return hits.select("board_id", F.concat(F.lit("M48\nT01C0.800\n%\nT01\n"), F.array_join(F.transform("hits", lambda h: h["hit"]), "\n"), F.lit("\nM30\n")).alias("text"))
+
+
 @registered("SELECT board_id, (drill - 1)::INT AS object_index, 1 AS tool, 0.8::DOUBLE AS diameter, x0::DOUBLE AS x, y0::DOUBLE AS y FROM blob")
 def excellon_read(spark, sf_dir):
     """A drill file of every board's holes, written as text and read."""
     d = drills.blobs(components.label(boards.derive(spark, sf_dir).drill))
-    line = F.struct("drill", F.format_string("X%dY%d", "x0", "y0").alias("hit"))
-    hits = d.groupBy("board_id").agg(F.sort_array(F.collect_list(line)).alias("hits"))
-    return files.read_excellon(hits.select("board_id", F.concat(F.lit("M48\nT01C0.800\n%\nT01\n"), F.array_join(F.transform("hits", lambda h: h["hit"]), "\n"), F.lit("\nM30\n")).alias("text")))
+    return files.read_excellon(drill_files(d))
 
 
 @registered("SELECT board_id, (10000 - drill)::INT AS object_index, plated FROM decision_infer")
@@ -547,6 +578,30 @@ def solder_mask_gain(spark, sf_dir):
     return audit.mask_gain(b.shifted, b.drill, b.drill, b.canvas)
 
 
+_OVER = "(SELECT m.board_id, sum(least(m.x1, o.x1) - greatest(m.x0, o.x0)) AS px FROM {} m JOIN outer_run o ON m.board_id = o.board_id AND m.y = o.y AND m.x0 < o.x1 AND o.x0 < m.x1 GROUP BY m.board_id)"
+
+
+@registered(f"""SELECT board_id, 'F_Mask' AS layer, 'F_Cu' AS reference, dy, dx, b AS before, a AS after, gain, gain >= 0.1 AND (dy <> 0 OR dx <> 0) AS accepted FROM (SELECT board_id, dy, dx, coalesce(b.px, 0)::BIGINT AS b, coalesce(a.px, 0)::BIGINT AS a,
+ (coalesce(a.px, 0) - coalesce(b.px, 0)) / greatest(coalesce(b.px, 0), 1)::DOUBLE AS gain FROM offs LEFT JOIN {_OVER.format("shifted")} b USING (board_id) LEFT JOIN {_OVER.format("moved")} a USING (board_id))""")
+def mask_displacements(spark, sf_dir):
+    """Openings of the boards whose holes miss their copper, laid over it again."""
+    b = boards.derive(spark, sf_dir)
+    copper = audit.outer_copper(b.runs)
+    poor = audit.alignment_score(b.shifted, copper, b.canvas).where("score < 0.9 AND n_drills > 0").select("board_id")
+    openings = b.shifted.join(poor, "board_id", "left_semi").withColumn("layer", F.lit("F_Mask"))
+    pairs = b.canvas.select("board_id", F.lit("F_Mask").alias("mask"), F.lit("F_Cu").alias("copper"))
+    return audit.mask_alignment(openings, copper.withColumn("layer", F.lit("F_Cu")), b.canvas, pairs)
+
+
+@registered("""SELECT board_id, layer, 'M48' || chr(10) || 'T01C0.800' || chr(10) || '%' || chr(10) || 'T01' || chr(10) || coalesce(hits, '') || 'M30' || chr(10) AS text FROM (SELECT DISTINCT board_id FROM blob) CROSS JOIN (VALUES ('PTH', true), ('NPTH', false)) v(layer, plated)
+ LEFT JOIN (SELECT board_id, plated, string_agg('X' || x0 || 'Y' || y0 || chr(10), '' ORDER BY drill) AS hits FROM blob JOIN (SELECT board_id, drill, plated FROM decision_infer) USING (board_id, drill) GROUP BY ALL) USING (board_id, plated)""")
+def excellon_split(spark, sf_dir):
+    """Every board's drill file, split by what its masks say."""
+    e = extraction(spark, sf_dir)
+    decided = e.decisions.select("board_id", (F.col("drill") - 1).alias("object_index"), "plated")
+    return files.split_excellon(drill_files(e.blobs), decided)
+
+
 @registered("SELECT board_id, drill, (10000 - drill)::INT AS object_index FROM blob")
 def excellon_assignment(spark, sf_dir):
     """Drilled areas against the holes they came from, y upwards, shuffled."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,37 +91,67 @@ def read_object_choices(texts: DataFrame) -> DataFrame:
     return rows.where("object_index IS NOT NULL AND plated IS NOT NULL")
 
 
+def excellon_lines(text: str | None) -> Iterator[tuple[str, tuple | None]]:
+    """The lines of a drill file in order; a hit or slot has both coordinates of
+    each end spelled out and comes with its (tool, diameter, x, y)."""
+    tools, tool, at = {}, None, {"X": "0", "Y": "0"}
+    for raw in (text or "").splitlines():
+        line = raw.strip().split(";")[0]
+        made = re.match(r"T(\d+).*?C([\d.]+)", line)
+        if made:
+            tools[int(made[1])] = float(made[2])
+        elif re.fullmatch(r"T\d+", line):
+            tool = int(line[1:])
+        elif line[:1] in "XY" and line:
+            ends = []
+            for part in line.split("G85"):
+                at |= dict(re.findall(r"([XY])(-?[\d.]+)", part))
+                ends.append((at["X"], at["Y"]))
+            x, y = (sum(float(e[i]) for e in ends) / len(ends) for i in (0, 1))
+            yield "G85".join(f"X{a}Y{b}" for a, b in ends), (tool, tools.get(tool), x, y)
+            continue
+        yield raw, None
+
+
 def read_excellon(texts: DataFrame) -> DataFrame:
     """(board_id, object_index, tool, diameter, x, y) of ``texts(board_id, text)``:
     drill hits with decimal coordinates, and slots (G85) by their middle."""
 
     def run(batches):
-        import re
-
         for pdf in batches:
             rows = []
             for board, text in zip(pdf["board_id"], pdf["text"], strict=True):
-                tools, tool, x, y, n = {}, None, 0.0, 0.0, 0
-                for line in (text or "").splitlines():
-                    line = line.strip().split(";")[0]
-                    d = re.match(r"T(\d+).*?C([\d.]+)", line)
-                    if d:
-                        tools[int(d[1])] = float(d[2])
-                    elif re.fullmatch(r"T\d+", line):
-                        tool = int(line[1:])
-                    elif line[:1] in "XY" and line:
-                        xy = []
-                        for part in line.split("G85"):
-                            mx, my = re.search(r"X(-?[\d.]+)", part), re.search(r"Y(-?[\d.]+)", part)
-                            x, y = float(mx[1]) if mx else x, float(my[1]) if my else y
-                            xy.append((x, y))
-                        rows.append((board, n, tool, tools.get(tool), sum(p[0] for p in xy) / len(xy), sum(p[1] for p in xy) / len(xy)))
-                        n += 1
+                hits = (hit for _, hit in excellon_lines(text) if hit)
+                rows += [(board, n, *hit) for n, hit in enumerate(hits)]
             yield pd.DataFrame(rows, columns=["board_id", "object_index", "tool", "diameter", "x", "y"])
 
     return texts.mapInPandas(run, "board_id int, object_index int, tool int, diameter double, x double, y double")
 
 
+def split_excellon(texts: DataFrame, decided: DataFrame) -> DataFrame:
+    """(board_id, layer, text): each board's drill file twice, as PTH with its
+    plated objects and as NPTH with the others of ``decided(board_id,
+    object_index, plated)``.  Undecided objects are in neither; all other lines
+    are kept."""
+    chosen = decided.groupBy("board_id").agg(*(F.collect_set(F.when(rule, F.col("object_index"))).alias(n) for n, rule in (("PTH", F.col("plated")), ("NPTH", ~F.col("plated")))))
+    rows = texts.select("board_id", "text").join(chosen, "board_id", "left")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for board, text, *sides in pdf[["board_id", "text", "PTH", "NPTH"]].itertuples(index=False):
+                for layer, keep in zip(("PTH", "NPTH"), sides, strict=True):
+                    keep, n, lines = set() if keep is None else set(keep), -1, []
+                    for line, hit in excellon_lines(text):
+                        n += hit is not None
+                        if hit is None or n in keep:
+                            lines.append(line)
+                    out.append((board, layer, "\n".join(lines) + "\n"))
+            yield pd.DataFrame(out, columns=["board_id", "layer", "text"])
+
+    return rows.mapInPandas(run, "board_id int, layer string, text string")
+
+
 def _assign(cost: np.ndarray) -> list[int]:
     """Column of each row in a cheapest one-to-one assignment (rows <= columns):
     shortest augmenting paths with potentials."""

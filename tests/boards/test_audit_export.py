@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_connectivity import RUN, ellipse, extract, rect
 
-from netloom.operators import audit, export, masks
+from netloom.operators import audit, drills, export, masks
+from netloom.plans import jobs
 
 
 def table(spark, rows):
@@ -147,3 +148,41 @@ def test_best_offset_against_brute_force():
         best = max(hits.values())
         want = min(k for k, v in hits.items() if v == best) if best else (0, 0)
         assert audit.best_offset(d, c, most) == want, case
+
+
+def test_openings_move_onto_their_copper(spark):
+    canvas = spark.createDataFrame([(1, 60, 40), (2, 60, 40)], "board_id int, w int, h int")
+    box = lambda board, layer, x, y, n=6: [(board, layer, y + i, x, x + n) for i in range(n)]
+    schema = "board_id int, layer string, y int, x0 int, x1 int"
+    copper = spark.createDataFrame([*box(1, "F_Cu", 10, 10), *box(1, "F_Cu", 40, 20), *box(1, "B_Cu", 5, 5), *box(2, "F_Cu", 10, 10)], schema)
+    openings = spark.createDataFrame([*box(1, "F_Mask", 13, 8), *box(1, "F_Mask", 43, 18), *box(1, "B_Mask", 5, 5)], schema)
+    pairs = spark.createDataFrame([(b, f"{s}_Mask", f"{s}_Cu") for b in (1, 2) for s in "FB"], "board_id int, mask string, copper string")
+    got = {(r.board_id, r.layer): r for r in audit.mask_alignment(openings, copper, canvas, pairs).collect()}
+    assert set(got) == {(1, "F_Mask"), (1, "B_Mask")}  # board 2 has no openings
+    moved, still = got[1, "F_Mask"], got[1, "B_Mask"]
+    assert (moved.reference, moved.dy, moved.dx, moved.before, moved.after, moved.accepted) == ("F_Cu", 2, -3, 24, 72, True)
+    assert (still.dy, still.dx, still.accepted) == (0, 0, False)
+    none = spark.createDataFrame([], schema)
+    assert audit.mask_alignment(none, copper, canvas, pairs).count() == 0
+    holes = spark.createDataFrame([*box(1, "drill", 10, 10), *box(1, "drill", 40, 20)], schema)
+    via = copper.where("board_id = 1 AND layer = 'F_Cu'").selectExpr("board_id", "'via' AS layer", "y + 9 AS y", "x0 + 8 AS x0", "x1 + 8 AS x1")
+    shifts = jobs.detected_shifts(copper.unionByName(openings).unionByName(via), holes, canvas).collect()
+    assert {(r.layer, r.dy, r.dx, r.source) for r in shifts} == {("F_Mask", 2, -3, "auto"), ("via", -9, -8, "auto")}
+
+
+def test_grid_of_layers(spark):
+    canvas = spark.createDataFrame([(1, 5, 3)], "board_id int, w int, h int")
+    got = {r.layer: (r.col, r.row, r.x, r.y, r.w, r.h, r.grid_w, r.grid_h) for r in export.placements(canvas, ("a", "b", "c"), 2, 0.5).collect()}
+    assert got == {"a": (0, 0, 0, 0, 2, 1, 5, 3), "b": (1, 0, 2, 0, 2, 1, 5, 3), "c": (0, 1, 0, 1, 2, 1, 5, 3)}
+    runs = spark.createDataFrame([(1, "a", 0, 0, 2, 7), (1, "b", 2, 4, 5, 300), (1, "c", 0, 0, 1, 9), (1, "other", 0, 0, 1, 1)], "board_id int, layer string, y int, x0 int, x1 int, net int")
+    cells = {(r.y, r.x): r.net for r in export.id_map(runs, canvas, ("a", "b", "c"), 2).collect()}
+    assert cells == {(0, 0): 7, (0, 1): 7, (2, 9): 300, (3, 0): 9}
+    with pytest.raises(ValueError):
+        export.placements(canvas, ())
+
+
+def test_every_rule_has_its_reason(spark):
+    rows = spark.createDataFrame([(rule, name, 4.26) for rule, name in drills.REASONS] + [(99, "x", 1.0)], "rule int, classification string, radius_px double")
+    said = {(r.rule, r.classification): r.reason for r in rows.withColumn("reason", drills.reason()).collect()}
+    assert len({*said.values()}) == 12 and said[99, "x"] is None
+    assert "substantial pad ring" in said[3, "likely_npth"] and "4.3 px" in said[7, "likely_pth"]

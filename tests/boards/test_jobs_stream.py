@@ -60,6 +60,12 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "c/board_id=1/c.json").write_text('{"decisions": [{"drill": 1, "plated": false}]}')
     assert run("drill-identify", "--choices", str(tmp_path / "c")) == 0
     assert {r.layer for r in spark.read.parquet(f"{out}/masks").select("layer").distinct().collect()} == {"NPTH", "drill"}
+    (tmp_path / "d/board_id=1").mkdir(parents=True)
+    (tmp_path / "d/board_id=1/all.drl").write_text("M48\nT1C0.5\n%\nT1\nX75Y55\nM30\n")
+    assert run("drill-identify", "--drill-files", str(tmp_path / "d")) == 0
+    text = {n: "".join(f.read_text() for f in (tmp_path / f"out/drills/board_id=1/layer={n}").glob("*.txt")) for n in ("PTH", "NPTH")}
+    assert text == {"PTH": "M48\nT1C0.5\n%\nT1\nX75Y55\nM30\n", "NPTH": "M48\nT1C0.5\n%\nT1\nM30\n"}
+    assert "copper touches" in spark.read.json(f"{out}/decisions").first().reason
     assert run("nets", "--offset=-40,0") == 0  # the drill leaves the copper, so nothing merges
     assert spark.read.parquet(f"{out}/nets").select("net").distinct().count() == 3
     assert run("nets", "--invert", "B_Cu", "--no-auto-invert") == 0

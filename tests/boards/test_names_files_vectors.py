@@ -139,3 +139,18 @@ def test_primitives(spark):
     assert [r.ord for r in vector.net_geometry(p, 7).orderBy("ord").collect()] == [0, 1]
     inv = vector.invert_primitives(p.drop("net").where("layer = 'a'"), spark.createDataFrame([(1, "a", 9, 8)], "board_id int, layer string, w int, h int"))
     assert [(r.ord, r.polarity) for r in inv.orderBy("ord").collect()] == [(-1, 1), (0, -1), (1, 1), (2, -1)]
+
+
+def test_drill_files_are_split_line_by_line(spark):
+    text = "M48\nT1C0.8\nT2C1.2\n%\nT1\nX1.0Y2.0\nY3.0\nT2\nX5Y5G85X7Y5\nX9\nM30"
+    texts = spark.createDataFrame([(1, text), (2, None), (3, "X1Y1")], "board_id int, text string")
+    decided = spark.createDataFrame([(1, 0, True), (1, 1, False), (1, 3, False), (2, 0, True)], "board_id int, object_index int, plated boolean")
+    got = {(r.board_id, r.layer): r.text for r in files.split_excellon(texts, decided).collect()}
+    head = "M48\nT1C0.8\nT2C1.2\n%\nT1\n"
+    assert got[1, "PTH"] == head + "X1.0Y2.0\nT2\nM30\n"
+    assert got[1, "NPTH"] == head + "X1.0Y3.0\nT2\nX9Y5\nM30\n"  # the slot is undecided
+    assert got[2, "PTH"] == got[2, "NPTH"] == got[3, "PTH"] == got[3, "NPTH"] == "\n"
+    again = files.read_excellon(spark.createDataFrame([(1, got[1, "NPTH"])], "board_id int, text string")).collect()
+    assert [(r.tool, r.x, r.y) for r in again] == [(1, 1.0, 3.0), (2, 9.0, 5.0)]
+    whole = files.read_excellon(texts.where("board_id = 1")).collect()
+    assert [(r.object_index, r.tool, r.diameter, r.x, r.y) for r in whole] == [(0, 1, 0.8, 1.0, 2.0), (1, 1, 0.8, 1.0, 3.0), (2, 2, 1.2, 6.0, 5.0), (3, 2, 1.2, 9.0, 5.0)]
