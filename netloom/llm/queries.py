@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from netloom.llm import html_extract, langid, lm_scoring, mixing, ngram_join, packing, quality, token_counts, topk, warc
+from netloom.llm import alignment, filter_audit, html_extract, langid, lm_scoring, mixing, ngram_join, packing, quality, sharding, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -70,6 +82,9 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_ngram_join": op10_ngram_join,
+        "op11_sharding": op11_sharding,
+        "op12_alignment": op12_alignment,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -81,4 +96,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.oracle(),
         "op8_quality_rules": quality.oracle(),
         "op10_ngram_join": ngram_join.oracle(),
+        "op11_sharding": sharding.oracle(),
+        "op13_filter_audit": filter_audit.oracle(),
     }
