@@ -130,12 +130,12 @@ def splitters(rows: DataFrame, shards: int, tolerance: float, bucket_rows: int)
     return [ends[k] for k in range(1, shards)] if total else [], leaves
 
 
-def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, bucket_rows: int = 100_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, bucket_rows: int = 1_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     ``tolerance`` is the part of a shard's bytes by which an end may be off
     before copies are parted for it; ``bucket_rows`` bounds the rows that a
-    task ranks (a thousandth of all rows, if that is more).
+    task ranks (a 1024th of all rows, if that is more).
     """
     rows = keyed(docs)
     ends, leaves = splitters(rows, shards, tolerance, bucket_rows)
