@@ -45,6 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.text import as_longs, as_text
 from netloom.storage import stored
 
 #: Element names of HTML, by the role they play here.
@@ -542,7 +543,7 @@ def with_layout(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(layout=pd.Series([layout_of(Page(s)) if s else None for s in pdf["html"]], dtype="Int64", index=pdf.index))
 
-    return pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).mapInPandas(run, "page_id long, url string, html string, host string, layout long")
+    return pages.select(*as_text("page_id"), "url", "html", host_of(F.col("url")).alias("host")).mapInPandas(run, "page_id string, url string, html string, host string, layout long")
 
 
 def references(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -613,8 +614,6 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
         read = Wrappers()
         for pdf in batches:
             texts = [extract(source, read[w] if isinstance(w, str) else None) for source, w in zip(pdf["html"], pdf["wrapper"], strict=True)]
-            out = pdf[["page_id", "url"]].assign(text=pd.Series(texts, dtype=object, index=pdf.index), n_chars=[len(t) for t in texts])
-            out["page_id"] = out["page_id"].astype("Int64")
-            yield out
+            yield pdf[["page_id", "url"]].assign(text=pd.Series(texts, dtype=object, index=pdf.index), n_chars=[len(t) for t in texts])
 
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return as_longs(rows.mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")

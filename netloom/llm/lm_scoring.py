@@ -47,6 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.text import as_text
 from netloom.storage import stored
 
 
@@ -238,7 +239,7 @@ def packed(rows: DataFrame, counts: Counts, buckets: int, cfg: Models) -> DataFr
         made, part, number = Hashes(), TaskContext.get().partitionId(), 0
         held, n_items = [], 0
         for pdf in batches:
-            for doc, text, target in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["target"], strict=True):
+            for doc, text, target in zip(pdf["doc_id"], pdf["text"], pdf["target"], strict=True):
                 ws = made.of(text)
                 key, n = items(ws) if len(ws) else (ws, ws.astype(np.int64))
                 held.append((doc, bool(target), len(ws) and len(ws) + 1, key, n))
@@ -260,7 +261,7 @@ def packed(rows: DataFrame, counts: Counts, buckets: int, cfg: Models) -> DataFr
         h, k = at[there], n[there]
         b, d = losses(key[there], k, np.where(doc[there] < targets, k, 0), counts.background[h], counts.target[h], counts.scale, cfg.smooth, counts.words)
         sums = [np.bincount(doc[there], weights=x, minlength=len(held)) for x in (b, d)]
-        ids = np.array([(0, 1) if x[0] is pd.NA else (x[0], 0) for x in held], np.int64)
+        ids = np.array([(0, 1) if x[0] is None else (int(x[0]), 0) for x in held], np.int64)
         words = np.array([x[2] for x in held], np.int64)
         rows = [(-1 - name % buckets, name, b"", b"", b"", b"", targets, ids.tobytes(), sums[0].tobytes(), sums[1].tobytes(), words.tobytes())]
         key, n, doc = key[~there], n[~there], doc[~there]
@@ -279,7 +280,7 @@ def packed(rows: DataFrame, counts: Counts, buckets: int, cfg: Models) -> DataFr
             rows.append((int(bucket[s]), name, low[s:e].tobytes(), high[s:e].tobytes(), doc[s:e].tobytes(), n[s:e].tobytes(), targets, None, None, None, None))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
 
-    return rows.mapInPandas(run, PACKED)
+    return rows.select(*as_text("doc_id"), "text", "target").mapInPandas(run, PACKED)
 
 
 def scored_buckets(pieces: DataFrame, counts: Counts, cfg: Models) -> DataFrame:

@@ -6,8 +6,8 @@ open window whose remaining capacity fits it most tightly.  A segment tree
 over remaining capacities finds that window in O(log window) steps.
 
 Pieces, not texts, are shuffled: the tokenising pass emits a few numbers a
-piece.  Pieces are dealt by a hash of (doc_id, start) to shards of a fixed
-expected size, each packed on its own, so no task grows with the corpus and
+piece.  Pieces are dealt by a hash of the whole row and its number to shards of a fixed
+size, each packed on its own, so no task grows with the corpus and
 only the last windows of a shard stay partly empty.
 
 Defined cases: a null or empty text is one piece that holds the end id alone;
@@ -28,7 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+from netloom.llm.text import as_longs, as_text
+
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 #: The code points of Unicode's White_Space property.
@@ -175,11 +177,9 @@ def pieces(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: str
             for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
                 ids = (of(text) if isinstance(text, str) else b"") + end
                 rows += [(doc, s, n, crc, len(ids) // 4) for s, n, crc in cut(ids, window)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, PIECES)
+    return as_longs(docs.select(*as_text("doc_id"), F.col("text").cast("string")).mapInPandas(run, PIECES), "doc_id")
 
 
 def pack(cut_pieces: DataFrame, n_docs: int, window: int = 2048, shard_docs: int = 20_000) -> DataFrame:
@@ -189,9 +189,10 @@ def pack(cut_pieces: DataFrame, n_docs: int, window: int = 2048, shard_docs: int
     bounds a task's memory and decides how many windows stay partly empty.
     """
     shards = max(1, -(-n_docs // shard_docs))
-    dealt = cut_pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("long"))
+    # the row's number deals out pieces that are alike in everything else
+    dealt = cut_pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
     # A shard's rows must meet in one task; several shards may share one.
-    ordered = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "start", "ids_crc32")
+    ordered = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "start", "ids_crc32").withColumns({"doc_id": as_text("doc_id")[0]})
 
     def flush(parts, shard):
         pdf = pd.concat(parts, ignore_index=True)
@@ -203,7 +204,6 @@ def pack(cut_pieces: DataFrame, n_docs: int, window: int = 2048, shard_docs: int
     def run(batches):
         held, at = [], None
         for pdf in batches:
-            pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             for shard, part in pdf.groupby("shard", sort=False):
                 if held and shard != at:
                     yield flush(held, at)
@@ -213,7 +213,7 @@ def pack(cut_pieces: DataFrame, n_docs: int, window: int = 2048, shard_docs: int
         if held:
             yield flush(held, at)
 
-    return ordered.mapInPandas(run, PACKED)
+    return as_longs(ordered.mapInPandas(run, PACKED), "doc_id")
 
 
 def pack_documents(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: str | None = None, shard_docs: int = 20_000) -> DataFrame:

@@ -25,6 +25,17 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(col(c).alias(c) for c in df.columns))
 
 
+def as_text(*names: str) -> list[Column]:
+    """Longs on their way into pandas, where a null beside them would make them
+    doubles, which hold no more than 53 bits."""
+    return [col(n).cast("long").cast("string").alias(n) for n in names]
+
+
+def as_longs(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the columns that as_text() made back as longs."""
+    return df.withColumns({n: col(n).cast("long") for n in names})
+
+
 def columns_of(row: str, names: list[str]) -> list[Column]:
     """The columns that whole_row() put into the struct ``row``."""
     return [F.col(row)[c].alias(c) for c in names]

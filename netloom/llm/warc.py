@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.text import as_longs, as_text
 from netloom.storage import new_path, stored
 
 #: The field names of both ARC versions, in order.
@@ -42,7 +43,7 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 END = "\r\n\r\n"
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 @dataclass(frozen=True)
@@ -210,20 +211,19 @@ def archives(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 16 <<
     repeats = stored(first_pages(pages, least_bytes), "revisits")
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha"))
-    rows = keyed.join(repeats, ["page_id", "sha"], "left").select("page_id", "url", "html", "first", "first_url")
+    rows = keyed.join(repeats, ["page_id", "sha"], "left").select(*as_text("page_id", "first"), "url", "html", "first_url")
 
     def run(batches):
         out, size, n = [], 0, 0
         for pdf in batches:
             for page, url, text, first, first_url in zip(*(pdf[c].tolist() for c in ("page_id", "url", "html", "first", "first_url")), strict=True):
-                page, first = (None if x is None or x != x else int(x) for x in (page, first))
                 uri = page_uri(page, url)
                 version = 1 + n % 2  # both versions of the legacy format
                 n += 1
                 legacy = arc_start(version, "pages.arc", date) + arc_record(version, uri, date, page_block(page, text))
                 parsed = list(parse_arc(legacy))
                 # the same payload, so the first page's block differs in its id only
-                of = None if first is None else (record_id(arc_url(page_uri(first, first_url)), date, page_block(first, text)), str(first))
+                of = None if first is None else (record_id(arc_url(page_uri(first, first_url)), date, page_block(first, text)), first)
                 if not out:
                     out.append(convert(parsed[0]))
                 out.append(convert(parsed[1], of))
@@ -259,12 +259,11 @@ def read(spark, path: str) -> DataFrame:
                         if (len(payload), sha1_32(payload)) != (n, digest):
                             raise ValueError(f"payload of {h['WARC-Record-ID']} isn't what its digest says")
                     page, first = h.get("X-Page-Id"), h.get("X-Refers-To-Page-Id")
-                    rows.append((page and int(page), n, digest, kind, first and int(first)))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    rows.append((page, n, digest, kind, first))
+                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInPandas(run, READ)
+    return as_longs(files.select("content").mapInPandas(run, READ), "page_id", "refers_to")
 
 
 def round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFrame:

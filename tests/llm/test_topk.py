@@ -9,11 +9,11 @@ from netloom.llm import topk
 
 
 def brute(rows, k, every):
-    ok = {(i, tuple(floor(1024 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and abs(x) < float("inf") for x in v)}
+    ok = [(i, [floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and abs(x) < float("inf") for x in v)]
     out = []
-    for q, v in ok:
+    for n, (q, v) in enumerate(ok):
         if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q and len(w) == len(v))
+            s = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(ok) if m != n and len(w) == len(v))
             out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
     return sorted(out)
 
@@ -33,7 +33,7 @@ def test_search(spark):
     random.seed(5)
     rows = [(i, [random.choice([-0.5, 0.25, 0.1, 0.0, 1.5]) for _ in range(6)]) for i in range(300)]
     rows += [(300, None), (301, []), (302, [None] * 6), (303, [float("nan")] * 6), (304, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (400, [0.0] * 6), (500, [1.0, 2.0]), (501, [0.3, 0.2])]
-    rows += [rows[3], rows[0]]
+    rows += [rows[3], rows[0], (50, [1.5] * 6), (2**60, [0.25] * 6), (2**60 + 50, [0.25] * 6)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     import struct
 
