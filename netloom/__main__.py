@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from netloom.operators import masks
 from netloom.plans import jobs
 from netloom.plans.extract import Extraction
+from netloom.plans.store import NetCache
 from netloom.sources import boards, files
+from netloom.storage import stored
 
 
 def offset(spec: str) -> tuple[str, int, int]:
@@ -44,6 +46,7 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--offset", type=offset, action="append", default=[], metavar="[LAYER=]DY,DX", help="move a mask on every board, as --offset=-1,2 where DY is negative")
         s.add_argument("--choices", help="folder of JSON documents board_id=N/*.json with decisions by drill")
         s.add_argument("--drill-files", help="folder of drill files board_id=N/*, split by --choices by object, or by what the masks say")
+        s.add_argument("--cache", help="folder of nets by mask contents: only boards that are new there are labelled")
         s.add_argument("--out")
     s = sub.add_parser("explain")
     s.add_argument("out")
@@ -92,7 +95,11 @@ def main(argv: list[str] | None = None) -> int:
     chosen = masks.shift(chosen, manual, canvas, "left")
     own = manual.where("layer = 'drill'") if any(n == "drill" for n, _, _ in a.offset) else None
     copper, holes = jobs.prepared(chosen, drill, canvas, layers, a.auto_align, own, auto=not a.no_auto_invert, force=a.invert, forbid=a.no_invert)
-    e = Extraction(copper, holes, canvas, layers, a.mode)
+    if a.cache:
+        e, n = NetCache(spark, a.cache).extract(stored(copper, "copper"), stored(holes, "drill"), canvas, layers, a.mode)
+        print(f"{n} boards labelled", file=sys.stderr)
+    else:
+        e = Extraction(copper, holes, canvas, layers, a.mode)
     if a.job == "drill-identify":
         texts = spark.read.text(a.choices, wholetext=True).select("board_id", F.col("value").alias("json")) if a.choices else None
         jobs.identify_drills(e, a.out, files.read_choices(texts) if a.choices else None)

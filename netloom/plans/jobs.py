@@ -1,7 +1,8 @@
 """Whole jobs over a folder of boards, with their files.
 
-Layout of a run: <out>/{labels,nets,components,drills,contacts,members} as
-Parquet partitioned by board, and <out>/json with one document a board.
+Layout of a folder: <out>/{labels,nets,components,drills,contacts,members,canvas}
+as Parquet by board, <out>/json with one document a board, and a manifest.  A
+run replaces its own boards (``netloom.plans.store``).
 """
 
 from __future__ import annotations
@@ -12,35 +13,14 @@ from pyspark.sql import functions as F
 from netloom.functions import catalog
 from netloom.operators import audit, drills, export, masks, nets
 from netloom.plans.extract import Extraction
+from netloom.plans.store import by_board, publish, table, tables_of
 from netloom.sources import files
 from netloom.storage import stored
 
-BOX = "area_px bigint, x0 int, y0 int, x1 int, y1 int, cx double, cy double"
-TABLES = {
-    "labels": "board_id int, layer string, y int, x0 int, x1 int, component int",
-    "nets": "board_id int, layer string, component int, net int",
-    "components": f"board_id int, layer string, component int, {BOX}",
-    "drills": f"board_id int, drill int, radius_px double, plated boolean, classification string, rule int, {BOX}",
-    "contacts": "board_id int, drill int, layer string, component_ids array<int>, copper_fraction double, pad_ring_fraction double, pad_ring_angular_coverage double, pad_ring_contact boolean, contact string",
-    "members": "board_id int, drill int, layer string, component int",
-}
-
-
-def by_board(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("board_id").parquet(path)
-
-
-def table(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """A table of a run; its schema is named, as an empty one has no file to tell it."""
-    return spark.read.schema(TABLES[name]).parquet(f"{out}/{name}")
-
-
 def write_extraction(e: Extraction, out: str) -> None:
-    """Tables of an extraction and nets.json documents."""
-    made = dict(labels=e.labelled, nets=e.nets, components=e.components, drills=e.decisions.join(e.blobs.drop("radius_px"), ["board_id", "drill"]), contacts=e.contacts, members=e.members)
-    for name in TABLES:
-        by_board(made[name], f"{out}/{name}")
-    debug_json(e.copper.sparkSession, out).write.mode("overwrite").partitionBy("board_id").text(f"{out}/json")
+    """Tables of an extraction and nets.json documents, for its boards."""
+    publish(out, "nets", tables_of(e), e.canvas)
+    by_board(debug_json(e.copper.sparkSession, out).join(e.canvas.select("board_id"), "board_id", "left_semi"), f"{out}/json", "text")
 
 
 def debug_json(spark: SparkSession, out: str) -> DataFrame:
@@ -56,9 +36,14 @@ def debug_json(spark: SparkSession, out: str) -> DataFrame:
     return doc.select("board_id", F.to_json(F.struct("components", "drills", "groups")).alias("value"))
 
 
-def load_labels(spark: SparkSession, out: str, layers: tuple[str, ...]) -> DataFrame:
+def load_labels(spark: SparkSession, out: str, layers: tuple[str, ...], canvas: DataFrame | None = None) -> DataFrame:
     """Net runs of an earlier run in the requested layer order; an error if its
-    layers aren't the requested ones."""
+    layers aren't the requested ones, or its boards not of the size in ``canvas``."""
+    if canvas is not None:
+        size = table(spark, out, "canvas").select("board_id", F.col("w").alias("had_w"), F.col("h").alias("had_h"))
+        bad = canvas.join(size, "board_id").where("w <> had_w OR h <> had_h").limit(1).collect()
+        if bad:
+            raise ValueError(f"board {bad[0].board_id}: expected {bad[0].w} x {bad[0].h}, found {bad[0].had_w} x {bad[0].had_h}")
     net = table(spark, out, "nets")
     found = {r.layer for r in net.select("layer").distinct().collect()}
     if found != set(layers):
@@ -118,14 +103,14 @@ def identify_drills(e: Extraction, out: str, choices: DataFrame | None = None) -
     d = e.decisions if choices is None else drills.override(e.decisions, choices)
     split = drills.split_masks(e.drill_labelled, d)
     via = split.where("layer = 'PTH'").withColumn("layer", F.lit("via"))
-    by_board(split.unionByName(via).unionByName(e.drill.select("board_id", "layer", "y", "x0", "x1")), f"{out}/masks")
-    d.withColumn("reason", drills.reason()).write.mode("overwrite").partitionBy("board_id").json(f"{out}/decisions")
+    publish(out, "masks", {"masks": split.unionByName(via).unionByName(e.drill.select("board_id", "layer", "y", "x0", "x1"))}, e.canvas)
+    by_board(d.withColumn("reason", drills.reason()), f"{out}/decisions", "json")
 
 
 def write_drill_files(texts: DataFrame, decided: DataFrame, out: str) -> None:
     """Every board's drill file as <out>/drills/board_id=N/layer=PTH and NPTH."""
     line = F.expr("left(text, length(text) - 1)").alias("value")  # the writer ends it
-    files.split_excellon(texts, decided).select("board_id", "layer", line).write.mode("overwrite").partitionBy("board_id", "layer").text(f"{out}/drills")
+    by_board(files.split_excellon(texts, decided).select("board_id", "layer", line), f"{out}/drills", "text", "layer")
 
 
 def plated_counts(decisions: DataFrame, canvas: DataFrame) -> DataFrame:
@@ -174,16 +159,16 @@ def write_aligned(runs: DataFrame, drill: DataFrame, canvas: DataFrame, out: str
     auto = detected_shifts(runs, drill, canvas)
     moved, manifest = align_layers(runs.unionByName(drill.select(*runs.columns)), canvas, auto.unionByName(manual.withColumn("source", F.lit("manual"))))
     manifest = stored(manifest, "alignment")
-    by_board(moved, f"{out}/masks")
-    manifest.write.mode("overwrite").json(f"{out}/alignment")
+    publish(out, "masks", {"masks": moved}, canvas)
+    by_board(manifest, f"{out}/alignment", "json")
 
 
 def render(e: Extraction, out: str, scale: int = 1) -> None:
     """Netmap text and metadata of every board."""
     rects = export.rectangles(e.net_runs)
-    export.netmap(rects, e.canvas, e.layers).select("board_id", F.col("svg").alias("value")).write.mode("overwrite").partitionBy("board_id").text(f"{out}/netmap")
+    by_board(export.netmap(rects, e.canvas, e.layers).select("board_id", F.col("svg").alias("value")), f"{out}/netmap", "text")
     size = e.canvas.select("board_id", (F.col("w") / scale).cast("int").alias("width"), (F.col("h") / scale).cast("int").alias("height"))
-    e.check.join(size, "board_id").write.mode("overwrite").json(f"{out}/meta")
+    by_board(e.check.join(size, "board_id"), f"{out}/meta", "json")
 
 
 def gallery(spark: SparkSession, out: str) -> DataFrame:

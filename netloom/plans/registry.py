@@ -13,7 +13,8 @@ from netloom.plans import jobs, sql
 from netloom.plans.extract import Extraction
 from netloom.sources import boards, files
 from netloom.sources.boards import COPPER, PLANE, SIDE, STACK
-from netloom.storage import stored
+from netloom.plans.store import NetCache, board_digests, digest_sql, settings
+from netloom.storage import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -619,3 +620,23 @@ def gallery_index(spark, sf_dir):
     meta = e.canvas.join(n, "board_id", "left").select("board_id", F.to_json(F.struct(F.format_string("board %d", "board_id").alias("title"), F.struct(F.coalesce("n", F.lit(0)).alias("nets"), F.coalesce("k", F.lit(0)).alias("components")).alias("counts"))).alias("json"))
     m = F.from_json("json", "title string, counts struct<nets:int,components:bigint>")
     return meta.select("board_id", m["title"].alias("title"), m["counts"]["nets"].alias("n_nets"), m["counts"]["components"].alias("n_components"))
+
+
+# kept results
+
+
+@registered(digest_sql(settings(COPPER, "infer"), "SELECT * FROM copper UNION ALL SELECT * FROM drill").replace("WITH spans", ", spans", 1))
+def mask_content_digests(spark, sf_dir):
+    b = boards.derive(spark, sf_dir)
+    cols = ["board_id", "layer", "y", "x0", "x1"]
+    return board_digests(b.copper.select(*cols).unionByName(b.drill.select(*cols)), b.canvas, settings(COPPER, "infer"))
+
+
+@registered("SELECT board_id, layer, component, net FROM net")
+def nets_incremental(spark, sf_dir):
+    """An earlier run kept the first boards; a run over all of them labels the rest."""
+    b = boards.derive(spark, sf_dir)
+    kept = NetCache(spark, new_path(spark, "cache"))
+    first = "board_id < 12"
+    kept.extract(b.copper.where(first), b.drill.where(first), b.canvas.where(first), COPPER)
+    return kept.extract(b.copper, b.drill, b.canvas, COPPER)[0].nets
