@@ -5,14 +5,14 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import masks
 from netloom.plans import jobs
 from netloom.plans.extract import Extraction
-from netloom.plans.store import NetCache
-from netloom.sources import boards, files
+from netloom.plans.store import NetCache, by_board, mask_digests
+from netloom.sources import boards, files, png
 from netloom.storage import stored
 
 
@@ -30,6 +30,13 @@ def names(text: str) -> tuple[str, ...]:
     return tuple(n.strip() for n in text.split(",") if n.strip())
 
 
+def shown(rows: DataFrame) -> None:
+    """Prints all rows, as tab-separated lines, one partition at a time."""
+    print(*rows.columns, sep="\t")
+    for r in rows.toLocalIterator():
+        print(*r, sep="\t")
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="netloom", description="Board connectivity on Spark")
     sub = p.add_subparsers(dest="job", required=True)
@@ -37,8 +44,10 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         s.add_argument("source", help="folder of canvas, runs and drill tables, or of star-schema tables with --derive")
         s.add_argument("--derive", action="store_true")
-        s.add_argument("--layers", type=names, default=boards.COPPER)
-        s.add_argument("--mode", choices=("infer", "explicit", "never"), default="infer")
+        s.add_argument("--masks", action="store_true", help="the source is a folder of board_id=N/<layer>.png; layers and mode are each board's own unless named")
+        s.add_argument("--threshold", type=int, default=0, help="brightness above which a pixel of a PNG is set")
+        s.add_argument("--layers", type=names)
+        s.add_argument("--mode", choices=("infer", "explicit", "never"))
         s.add_argument("--auto-align", action="store_true")
         s.add_argument("--invert", type=names, default=(), help="layers to invert whatever the audit says")
         s.add_argument("--no-invert", type=names, default=(), help="layers never to invert")
@@ -58,7 +67,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("netloom").getOrCreate()
 
     if a.job == "index":
-        jobs.gallery(spark, a.out).orderBy("board_id").show(1000, False)
+        rows = jobs.gallery(spark, a.out).orderBy("board_id")
+        rows.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{a.out}/gallery")
+        shown(rows)
         return 0
     if a.job == "explain":
         labels = jobs.table(spark, a.out, "labels")
@@ -73,16 +84,41 @@ def main(argv: list[str] | None = None) -> int:
         print(*(r.text for r in steps) if steps else ("not connected",), sep="\n")
         return 0 if steps else 1
 
-    layers = a.layers
-    if a.derive:
+    if a.masks:
+        canvas, every = png.load(spark, a.source, threshold=a.threshold)
+        every = stored(every, "masks")
+        if a.layers is None and a.job != "align":
+            return by_own_stack(spark, a, p, canvas, every)
+        runs, drill = every.where("layer <> 'drill'"), every.where("layer = 'drill'")
+    elif a.derive:
         b = boards.derive(spark, a.source)
         canvas, runs, drill = b.canvas, b.runs, b.drill
     else:
         canvas, runs, drill = (spark.read.parquet(f"{a.source}/{n}") for n in ("canvas", "runs", "drill"))
+    return run(spark, a, p, canvas, runs, drill, a.layers or boards.COPPER, a.mode or "infer")
+
+
+def by_own_stack(spark: SparkSession, a: argparse.Namespace, p: argparse.ArgumentParser, canvas: DataFrame, every: DataFrame) -> int:
+    """The job for every kind of board: one run for each stack, connecting mask
+    and mode among them, over all boards of that kind."""
+    plans = stored(jobs.board_plans(mask_digests(every)), "plans")
+    kinds = plans.select("layers", "via", "mode").distinct().orderBy("layers", "via", "mode").collect()  # as many as there are kinds
+    worst = 0
+    for kind in kinds:
+        mine = plans.where((F.col("layers") == F.array(*map(F.lit, kind.layers))) & (F.col("via") == kind.via) & (F.col("mode") == kind.mode)).select("board_id")
+        own = every.join(mine, "board_id", "left_semi")
+        drill = own.where(F.col("layer") == kind.via).withColumn("layer", F.lit("drill"))
+        worst = max(worst, run(spark, a, p, canvas.join(mine, "board_id", "left_semi"), own, drill, tuple(kind.layers), a.mode or kind.mode))
+    return worst
+
+
+def run(spark: SparkSession, a: argparse.Namespace, p: argparse.ArgumentParser, canvas: DataFrame, runs: DataFrame, drill: DataFrame, layers: tuple[str, ...], mode: str) -> int:
     chosen = runs.where(runs.layer.isin(*layers))
     if a.job == "audit":
         report = jobs.audit_report(chosen, drill, canvas, layers, a.auto_align)
-        report.orderBy("board_id", "check", "layer").show(10_000, False)
+        if a.out:
+            by_board(report, f"{a.out}/audit", "json")
+        shown(report.orderBy("board_id", "check", "layer"))
         return int(report.where("warns").limit(1).count() > 0)
     if not a.out:
         p.error("--out is needed")
@@ -96,10 +132,10 @@ def main(argv: list[str] | None = None) -> int:
     own = manual.where("layer = 'drill'") if any(n == "drill" for n, _, _ in a.offset) else None
     copper, holes = jobs.prepared(chosen, drill, canvas, layers, a.auto_align, own, auto=not a.no_auto_invert, force=a.invert, forbid=a.no_invert)
     if a.cache:
-        e, n = NetCache(spark, a.cache).extract(stored(copper, "copper"), stored(holes, "drill"), canvas, layers, a.mode)
+        e, n = NetCache(spark, a.cache).extract(stored(copper, "copper"), stored(holes, "drill"), canvas, layers, mode)
         print(f"{n} boards labelled", file=sys.stderr)
     else:
-        e = Extraction(copper, holes, canvas, layers, a.mode)
+        e = Extraction(copper, holes, canvas, layers, mode)
     if a.job == "drill-identify":
         texts = spark.read.text(a.choices, wholetext=True).select("board_id", F.col("value").alias("json")) if a.choices else None
         jobs.identify_drills(e, a.out, files.read_choices(texts) if a.choices else None)

@@ -76,6 +76,16 @@ def explained(spark: SparkSession, out: str, specs: DataFrame) -> DataFrame:
     return steps.select("board_id", "start", "end", "step", F.format_string("%s %s - drill %d (%.1f,%.1f) - %s %s", "from_node", "from_at", "drill", "hx", "hy", "to_node", "to_at").alias("text"))
 
 
+def board_plans(digests: DataFrame) -> DataFrame:
+    """(board_id, layers, via, mode) from ``digests(board_id, layer, digest)`` of
+    a board's own masks: its stack in order, the mask that connects, and how."""
+    have = digests.select("board_id", F.col("layer").alias("name"), F.col("digest").alias("sha"))
+    stack = catalog.resolve_layers(have.select("board_id", "name")).groupBy("board_id")
+    stack = stack.agg(F.transform(F.sort_array(F.collect_list(F.struct("layer_ord", "layer"))), lambda s: s["layer"]).alias("layers"))
+    modes = catalog.connector_mode(have, catalog.via_name(have.select("board_id", "name")))
+    return stack.join(modes, "board_id").select("board_id", "layers", F.col("name").alias("via"), "mode")
+
+
 def audit_report(runs: DataFrame, drill: DataFrame, canvas: DataFrame, layers: tuple[str, ...], auto_align: bool = True) -> DataFrame:
     """One row for each layer's polarity and each board's alignment; ``warns``
     says what would make an audit fail."""

@@ -150,6 +150,16 @@ def detect_offset(spark, sf_dir):
     return audit.detect_offset(mine(b.shifted), mine(copper), mine(b.canvas))
 
 
+_EVERY = "SELECT board_id, dy, unnest(range(x0 - x, x1 - x)) AS dx FROM (SELECT d.board_id, o.y - d.y AS dy, o.x0, o.x1, d.x FROM (SELECT board_id, y, unnest(range(x0, x1)) AS x FROM shifted) d JOIN outer_run o ON d.board_id = o.board_id)"
+
+
+@registered(f"SELECT board_id, coalesce(dy, 0)::INT AS dy, coalesce(dx, 0)::INT AS dx FROM canvas LEFT JOIN (SELECT board_id, dy, dx FROM (SELECT board_id, dy, dx, count(*) AS n FROM ({_EVERY}) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY board_id ORDER BY n DESC, dy, dx) = 1) USING (board_id)")
+def detect_offset_all(spark, sf_dir):
+    """Every board's displacement, in tiles smaller than a board."""
+    b = boards.derive(spark, sf_dir)
+    return audit.detect_offset(b.shifted, audit.outer_copper(b.runs), b.canvas, tile=100)
+
+
 _ALIGN = """(SELECT s.board_id, s.n_drills, s.touches, s.score, coalesce(dy, 0) AS dy, coalesce(dx, 0) AS dx, coalesce(m.score, 0) AS score2 FROM score_shifted s LEFT JOIN offs USING (board_id) LEFT JOIN (SELECT * FROM score_moved WHERE board_id IN (FROM poor)) m ON m.board_id = s.board_id)"""
 _AV = f"(SELECT *, CASE WHEN n_drills = 0 OR score >= 0.9 THEN 'none' WHEN (dy <> 0 OR dx <> 0) AND score2 >= 0.9 AND score2 > score + 0.1 THEN 'shift' WHEN score >= 0.6 THEN 'none' ELSE 'fail' END AS verdict FROM {_ALIGN})"
 
@@ -622,6 +632,11 @@ def gallery_index(spark, sf_dir):
     return meta.select("board_id", m["title"].alias("title"), m["counts"]["nets"].alias("n_nets"), m["counts"]["components"].alias("n_components"))
 
 
+@registered("SELECT board_id, layer, y, x0, x1, component FROM lab")
+def labelled_by_strips(spark, sf_dir):
+    return components.label_distributed(boards.derive(spark, sf_dir).copper, strip=40)
+
+
 # kept results
 
 

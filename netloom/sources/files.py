@@ -12,29 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import masks
+from netloom.sources import png
 
 
 def read_masks(spark: SparkSession, path: str, threshold: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(sizes, runs) of PNG masks laid out as board_id=N/<layer>.png.
-
-    Grey pixels brighter than the threshold are set.  Spark decodes a 1-bit PNG
-    to three channels and an 8-bit grey one to one; the first channel serves.
-    """
-    image = spark.read.format("image").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("image.origin", r"([^/]+)\.png$", 1)
-    board = F.regexp_extract("image.origin", r"board_id=(\d+)/", 1).cast("int")
-    rows = image.select(board.alias("board_id"), name.alias("layer"), "image.width", "image.height", "image.nChannels", "image.data")
-    sizes = rows.select("board_id", "layer", F.col("width").alias("w"), F.col("height").alias("h"))
-
-    def run(batches):
-        for pdf in batches:
-            for board_id, layer, w, h, n, data in zip(*(pdf[c] for c in ("board_id", "layer", "width", "height", "nChannels", "data")), strict=True):
-                on = np.frombuffer(data, np.uint8).reshape(h, w, n)[:, :, 0] > threshold
-                edge = np.diff(np.pad(on.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-                (y, x0), x1 = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
-                yield pd.DataFrame({"board_id": board_id, "layer": layer, "y": y.astype("int32"), "x0": x0.astype("int32"), "x1": x1.astype("int32")})
-
-    return sizes, rows.mapInPandas(run, "board_id int, layer string, y int, x0 int, x1 int")
+    """(sizes, runs) of PNG masks laid out as board_id=N/<layer>.png; pixels
+    brighter than the threshold are set."""
+    pictures = png.files(spark, path)
+    return png.sizes(pictures), png.runs(pictures, threshold)
 
 
 def checked(sizes: DataFrame) -> DataFrame:
