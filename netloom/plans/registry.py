@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import catalog
-from netloom.operators import artwork, audit, components, drills, export, masks, nets, vector
+from netloom.operators import artwork, audit, components, drills, export, masks, nets, paint, vector
 from netloom.plans import jobs, sql
 from netloom.plans.extract import Extraction
 from netloom.sources import boards, files
@@ -470,6 +470,18 @@ def artwork_stats(spark, sf_dir):
     return artwork.stats(docs, els, artwork.primitives(artwork.subpaths(els))).drop("layer")
 
 
+_PX = f"""(SELECT board_id, px, py, arg_max(hole, el) AS top FROM (SELECT *, unnest(range(greatest(0, y - greatest(h, r) - 1), least({SIDE}, y + greatest(h, r) + 2)))::INT AS py FROM
+ (SELECT *, unnest(range(greatest(0, x - h - r - 1), least({SIDE}, x + w + h + r + 2)))::INT AS px FROM {_DRAWN} WHERE hole = 1 OR shape <> 3)) WHERE CASE
+ WHEN hole = 1 THEN (px + 0.5::DOUBLE - x) ** 2 + (py + 0.5::DOUBLE - y) ** 2 <= r * r WHEN shape = 1 THEN greatest(0, x - px - 0.5::DOUBLE, px + 0.5::DOUBLE - x - w) ** 2 + (py + 0.5::DOUBLE - y) ** 2 <= h * h / 4::DOUBLE
+ ELSE px >= x AND px < x + w AND py >= y AND py < y + h END GROUP BY ALL)"""
+
+
+@registered(boards.merge_sql(f"(SELECT board_id, 'F_Cu' AS layer, py AS y, px AS x0, px + 1 AS x1 FROM {_PX} WHERE top = 0)"))
+def artwork_mask(spark, sf_dir):
+    """The drawings' pixels as runs."""
+    return paint.rasterise(drawings(spark, sf_dir))
+
+
 @registered("SELECT c.board_id, coalesce(p, 0)::BIGINT AS plated, coalesce(u, 0)::BIGINT AS unplated FROM canvas c LEFT JOIN (SELECT board_id, count(*) FILTER (plated) AS p, count(*) FILTER (NOT plated) AS u FROM decision_infer GROUP BY board_id) USING (board_id)")
 def plated_counts(spark, sf_dir):
     e = extraction(spark, sf_dir)
