@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import catalog
-from netloom.operators import artwork, audit, components, drills, export, masks, nets, paint, vector
+from netloom.operators import artwork, audit, components, drills, export, masks, netmap, nets, paint, vector
 from netloom.plans import jobs, sql
 from netloom.plans.extract import Extraction
 from netloom.sources import boards, files
@@ -649,6 +649,14 @@ def labelled_by_strips(spark, sf_dir):
     return components.label_distributed(boards.derive(spark, sf_dir).copper, strip=40)
 
 
+@registered("SELECT board_id, count(*) AS rects, count(DISTINCT (layer, net)) AS paths, 0::BIGINT AS odd_paths, max(net) AS max_net FROM (SELECT *, x0 - lag(x1) OVER w AS gap, y FROM nrun WINDOW w AS (PARTITION BY board_id, layer, y ORDER BY x0)) r WHERE NOT EXISTS (SELECT 1 FROM nrun q WHERE q.board_id = r.board_id AND q.layer = r.layer AND q.net = r.net AND q.x0 = r.x0 AND q.x1 = r.x1 AND q.y = r.y - 1) GROUP BY board_id")
+def netmap_stats(spark, sf_dir):
+    """What reading the netmaps back finds: a path a net and layer, a rectangle
+    for runs alike on consecutive rows."""
+    e = extraction(spark, sf_dir)
+    return netmap.netmap_stats(export.netmap(export.rectangles(e.net_runs), e.canvas, e.layers)).where("paths > 0")
+
+
 # kept results
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import masks
+from netloom.operators.assignment import Assignment
 from netloom.sources import png
 
 
@@ -138,35 +139,8 @@ def split_excellon(texts: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def _assign(cost: np.ndarray) -> list[int]:
-    """Column of each row in a cheapest one-to-one assignment (rows <= columns):
-    shortest augmenting paths with potentials."""
-    n, m = cost.shape
-    u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        row_of[0], j = i, 0
-        least, back, used = np.full(m + 1, math.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while True:
-            used[j] = True
-            free = ~used[1:]
-            step = cost[row_of[j] - 1] - u[row_of[j]] - v[1:]
-            better = free & (step < least[1:])
-            least[1:][better], back[1:][better] = step[better], j
-            to = int(np.argmin(np.where(free, least[1:], math.inf))) + 1
-            delta = least[to]
-            u[row_of[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j = to
-            if not row_of[j]:
-                break
-        while j:
-            row_of[j] = row_of[back[j]]
-            j = back[j]
-    out = [0] * n
-    for j in range(1, m + 1):
-        if row_of[j]:
-            out[row_of[j] - 1] = j - 1
-    return out
+    """Partner of each row in a cheapest one-to-one assignment of a square matrix."""
+    return Assignment(len(cost), lambda rows: cost[rows]).of
 
 
 def match_objects(drills: DataFrame, objects: DataFrame) -> DataFrame:
@@ -185,7 +159,7 @@ def match_objects(drills: DataFrame, objects: DataFrame) -> DataFrame:
         order = list(range(len(a)))
         if len(a) and b[["x", "y"]].notna().all(axis=None):
             p, q = unit(a[["cx", "cy"]].to_numpy(float)), unit(b[["x", "y"]].to_numpy(float) * [1, -1])
-            order = _assign(np.hypot(*(p[:, None, :] - q[None, :, :]).transpose(2, 0, 1)))
+            order = Assignment.of_points(p, q).of
         return pd.DataFrame({"board_id": a["board_id"], "drill": a["drill"], "object_index": b["object_index"].iloc[order].to_numpy()})
 
     return drills.groupBy("board_id").cogroup(objects.groupBy("board_id")).applyInPandas(run, "board_id int, drill int, object_index int")
