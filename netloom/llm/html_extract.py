@@ -73,6 +73,9 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 #: Different pages that a wrapper needs.
 LEAST_PAGES = 3
+#: Pages of a layout from which on a text that most have is template even among
+#: the articles.
+SIZEABLE = 5
 
 
 class Names(dict):
@@ -434,12 +437,13 @@ class Wrapper:
     """What a layout's pages have in common.
 
     slots, fixed: characters of varying and of constant texts, summed over the
-    layout's pages by reference node; template: (node, mark) of constant texts.
+    layout's pages by reference node; template: (node, mark, sure) of constant
+    texts.  Within the content only sure ones count as template: what two of three
+    articles share may be a quotation, what most of many share is a notice.
     """
 
-    def __init__(self, lines: str, slots: dict[int, int], fixed: dict[int, int], template: Iterable[tuple[int, int]]):
+    def __init__(self, lines: str, slots: dict[int, int], fixed: dict[int, int], template: Iterable[tuple[int, int, bool]]):
         self.reference = unfold(lines)
-        self.template = frozenset(template)
         held = [slots.get(i, 0) for i in range(len(self.reference))]
         size = [1] * len(held)
         for t in reversed(self.reference):
@@ -454,6 +458,7 @@ class Wrapper:
             at = best
         self.content, self.usable = at.id, held[at.id] > 0
         inside = range(at.id, at.id + size[at.id])
+        self.template = frozenset((ref, m) for ref, m, certain in template if certain or ref not in inside)
         if sum(fixed.get(i, 0) for i in inside) > held[at.id]:  # more constant than varying text in the articles: they are copies
             self.template = frozenset(x for x in self.template if x[0] not in inside)
 
@@ -461,7 +466,7 @@ class Wrapper:
     def of(cls, packed: str) -> Wrapper:
         got = json.loads(packed)
         pairs = lambda k: {x["ref"]: x["chars"] for x in got.get(k) or ()}
-        return cls(got["reference"], pairs("slots"), pairs("fixed"), ((x["ref"], x["mark"]) for x in got.get("template") or ()))
+        return cls(got["reference"], pairs("slots"), pairs("fixed"), ((x["ref"], x["mark"], x["sure"]) for x in got.get("template") or ()))
 
 
 def induce(sources: list[str], least_pages: int = LEAST_PAGES) -> Wrapper | None:
@@ -484,7 +489,7 @@ def induce(sources: list[str], least_pages: int = LEAST_PAGES) -> Wrapper | None
         for (ref, m), (chars, furniture) in found.items():
             constant = 2 * on[ref, m] > len(first)
             if constant:
-                template.append((ref, m))
+                template.append((ref, m, len(first) >= SIZEABLE))
             if not furniture:
                 (fixed if constant else slots)[ref] += chars
     return Wrapper(lines, slots, fixed, template)
@@ -594,13 +599,13 @@ def wrappers(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     weight = lambda c: F.sum(F.when(F.col("furniture"), F.lit(0)).otherwise(F.col(c))).alias("chars")
     every = one.groupBy(*on, "ref").agg(weight("chars"))
     n = one.groupBy(*on, "ref", "mark").agg(F.count("*").alias("n"), F.max("chars").alias("each"), F.max("furniture").alias("furniture"))
-    template = stored(n.where("n > 1").join(sizes, on).where("2 * n > pages").withColumn("all_chars", F.col("n") * F.col("each")), "template")
+    template = stored(n.where("n > 1").join(sizes, on).where("2 * n > pages").withColumn("sure", F.col("pages") >= SIZEABLE).withColumn("all_chars", F.col("n") * F.col("each")), "template")
     fixed = template.groupBy(*on, "ref").agg(weight("all_chars"))
     slots = every.join(fixed.withColumnRenamed("chars", "fixed"), [*on, "ref"], "left").select(*on, F.struct("ref", (F.coalesce("chars", F.lit(0)) - F.coalesce("fixed", F.lit(0))).alias("chars")).alias("x"))
     gather = lambda df, name: df.groupBy(on).agg(F.sort_array(F.collect_list("x")).alias(name))
     out = known.join(sizes, on)
     out = out.join(gather(slots, "slots"), on, "left").join(gather(fixed.select(*on, F.struct("ref", "chars").alias("x")), "fixed"), on, "left")
-    out = out.join(gather(template.select(*on, F.struct("ref", "mark").alias("x")), "template"), on, "left")
+    out = out.join(gather(template.select(*on, F.struct("ref", "mark", "sure").alias("x")), "template"), on, "left")
     return out.select(*on, F.to_json(F.struct("reference", "slots", "fixed", "template")).alias("wrapper"))
 
 

@@ -173,3 +173,27 @@ def test_wrappers_count_all_pages_of_every_layout(spark):
         want = (["Notes from the harbour"] if i % 5 == 0 else []) + [f"Story {i} {'abc ' * (40 + i % 30)}".strip(), f"More {i} {'xyz ' * 30}".strip()]
         assert got[i].split("\n") == want, i
     assert got[n] == got[3]
+
+
+def test_sentences_that_articles_share_stay(spark):
+    """Three pages, and sixty: a quoted sentence in some articles is no template,
+    a notice among all of them is."""
+    say = lambda i, n: " ".join(f"word{i}x{j}" for j in range(n))
+    def page(i, quote, notice):
+        body = f"<h1>{say(i, 4)}</h1><p>{say(i + 100, 30)}</p>" + (f"<p>{quote}</p>" if quote else "") + (f"<p>{notice}</p>" if notice else "") + f"<p>{say(i + 200, 30)}</p>"
+        return f"<html><body><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><article>{body}</article><footer>All rights reserved</footer></body></html>"
+
+    quote, notice = "As the saying goes, every cloud has a silver lining", "Support the paper with a small sum"
+    few = [(i, "http://few.org/", page(i, quote if i < 2 else None, None)) for i in range(3)]
+    many = [(100 + i, "http://many.org/", page(100 + i, None if i % 3 else quote, notice)) for i in range(60)]
+    rows = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(few + many, "page_id long, url string, html string")).collect()}
+    assert [quote in rows[i] for i in range(3)] == [True, True, False]
+    assert all((quote in rows[100 + i]) == (i % 3 == 0) and notice not in rows[100 + i] for i in range(60))
+    assert all(say(i, 4) in rows[i] and "rights" not in rows[i] and "Home" not in rows[i] for i in rows)
+
+
+def test_pages_of_the_given_table_keep_their_lines(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    alone = {r.page_id: H.extract(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in H.main_text(pages).collect()}
+    assert got == alone
