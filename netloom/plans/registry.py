@@ -13,7 +13,7 @@ from netloom.plans import jobs, sql
 from netloom.plans.extract import Extraction
 from netloom.sources import boards, files
 from netloom.sources.boards import COPPER, PLANE, SIDE, STACK
-from netloom.plans.store import NetCache, board_digests, digest_sql, settings
+from netloom.plans.store import NetCache, board_digests, digest_sql, mask_digests, settings
 from netloom.storage import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,6 +301,22 @@ def explain_paths(spark, sf_dir):
     return steps.groupBy("board_id", "start", "end").agg(F.count("*").alias("n_steps"))
 
 
+@registered(f"""SELECT w.board_id, a.layer || ':' || a.component AS start, b.layer || ':' || b.component AS "end", i::INT AS step, f.layer || ':' || f.component AS from_node, path[2 * i - 1]::INT AS drill, g.layer || ':' || g.component AS to_node FROM
+ (WITH RECURSIVE pair AS (SELECT x.id AS u, y.id AS v, x.drill FROM (SELECT * FROM member JOIN node_n USING (board_id, layer, component)) x JOIN (SELECT * FROM member JOIN node_n USING (board_id, layer, component)) y ON x.board_id = y.board_id AND x.drill = y.drill AND x.id <> y.id),
+  want AS (SELECT * FROM {_WANT}),
+  walk(s, id, path) USING KEY (s, id) AS (SELECT s, s, []::BIGINT[] FROM want UNION SELECT w.s, p.v, min(list_concat(w.path, [p.drill::BIGINT, p.v])) FROM walk w JOIN pair p ON w.id = p.u LEFT JOIN recurring.walk r ON r.s = w.s AND r.id = p.v WHERE r.id IS NULL GROUP BY w.s, p.v)
+  SELECT want.board_id, want.s, want.t, path, unnest(range(1, len(path) // 2 + 1)) AS i FROM want JOIN walk ON walk.s = want.s AND walk.id = want.t) w
+ JOIN node_n a ON a.id = w.s JOIN node_n b ON b.id = w.t JOIN node_n f ON f.id = CASE WHEN i = 1 THEN w.s ELSE path[2 * i - 2] END JOIN node_n g ON g.id = path[2 * i]""")
+def explain_steps(spark, sf_dir):
+    """Every step of those paths: of the shortest ones, the first by holes and
+    pieces, which is what a search in order of discovery finds."""
+    e = extraction(spark, sf_dir)
+    node = F.struct("layer", "component")
+    name = lambda c: F.concat_ws(":", F.col(f"{c}.layer"), F.col(f"{c}.component"))
+    ends = e.nets.groupBy("board_id", "net").agg(F.min(node).alias("a"), F.max(node).alias("b"), F.count("*").alias("n")).where("n > 1")
+    return nets.explain(e.members, ends.select("board_id", name("a").alias("start"), name("b").alias("end")))
+
+
 # export
 
 
@@ -657,6 +673,24 @@ def netmap_stats(spark, sf_dir):
     return netmap.netmap_stats(export.netmap(export.rectangles(e.net_runs), e.canvas, e.layers)).where("paths > 0")
 
 
+_HELD = """(SELECT board_id, layer, y, x0, x1 FROM run UNION ALL SELECT board_id, 'drill', y, x0, x1 FROM drill UNION ALL SELECT board_id, 'via', y, x0, x1 FROM drill WHERE board_id % 3 = 0
+ UNION ALL SELECT board_id, 'via', y, x0, x1 FROM shifted WHERE board_id % 3 = 1 UNION ALL SELECT board_id, 'PTH', y, x0, x1 FROM drill WHERE board_id % 4 = 0)"""
+
+
+@registered(f"""SELECT board_id, layers, CASE WHEN via IS NOT NULL THEN 'via' WHEN pth IS NOT NULL THEN 'PTH' ELSE 'drill' END AS via,
+ CASE WHEN via IS NOT NULL AND via = drill AND pth IS NULL THEN 'infer' WHEN via IS NOT NULL OR pth IS NOT NULL THEN 'explicit' ELSE 'infer' END AS mode FROM (SELECT board_id,
+ string_agg(layer, ',' ORDER BY CASE layer WHEN 'F_Cu' THEN 0 WHEN 'B_Cu' THEN 9 ELSE TRY_CAST(substr(layer, 3, 1) AS INT) END) FILTER (layer LIKE '%Cu') AS layers, count(*) FILTER (layer IN ('F_Cu', 'B_Cu')) AS outer_layers,
+ max(held) FILTER (layer = 'via') AS via, max(held) FILTER (layer = 'drill') AS drill, max(held) FILTER (layer = 'PTH') AS pth
+ FROM (SELECT board_id, layer, string_agg(y || ':' || x0 || '-' || x1, ';' ORDER BY y, x0) AS held FROM {_HELD} GROUP BY ALL) GROUP BY board_id) WHERE outer_layers = 2 AND coalesce(via, pth, drill) IS NOT NULL""")
+def board_plans(spark, sf_dir):
+    """Stack, connecting mask and mode from boards' masks: a third have a via mask
+    like the drill mask, a third another one, a quarter a PTH mask."""
+    b = boards.derive(spark, sf_dir)
+    named = lambda df, name, rule="true": df.where(rule).withColumn("layer", F.lit(name)).select(*b.runs.columns)
+    every = b.runs.unionByName(named(b.drill, "drill")).unionByName(named(b.drill, "via", "board_id % 3 = 0")).unionByName(named(b.shifted, "via", "board_id % 3 = 1")).unionByName(named(b.drill, "PTH", "board_id % 4 = 0"))
+    return jobs.board_plans(stored(mask_digests(every), "digests")).withColumn("layers", F.array_join("layers", ","))
+
+
 # kept results
 
 
