@@ -34,11 +34,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: a short
     lineage whose data survives the loss of any executor."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
