@@ -541,35 +541,33 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def with_layout(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, host and layout; layout is null without a html."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id (as text), url, html, host, layout and folded tree, stored: pages
+    are parsed once for all that depends on a page alone.  layout and tree are
+    null without a html."""
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(layout=pd.Series([layout_of(Page(s)) if s else None for s in pdf["html"]], dtype="Int64", index=pdf.index))
+            found = []
+            for source in pdf["html"]:
+                page = Page(source) if source else None
+                found.append((layout_of(page), skeleton(fold(page.root))) if page else (None, None))
+            layout = pd.Series([f[0] for f in found], dtype="Int64", index=pdf.index)
+            yield pdf.assign(layout=layout, tree=pd.Series([f[1] for f in found], dtype=object, index=pdf.index))
 
-    return pages.select(*as_text("page_id"), "url", "html", host_of(F.col("url")).alias("host")).mapInPandas(run, "page_id string, url string, html string, host string, layout long")
+    rows = pages.select(*as_text("page_id"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url").cast("string")).alias("host"))
+    return stored(rows.mapInPandas(run, "page_id string, url string, html string, host string, layout long, tree string"), "parsed", compression="zstd")
 
 
-def references(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+def references(rows: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host, layout, reference: the commonest folded tree of every layout with
-    enough pages, ties to the shortest."""
-
-    def run(batches):
-        for pdf in batches:
-            n = Counter()
-            for host, source in zip(pdf["host"], pdf["html"], strict=True):
-                page = Page(source)
-                n[host, layout_of(page), skeleton(fold(page.root))] += 1
-            yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["host", "layout", "tree", "n"])
-
-    found = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, layout long, tree string, n long")
-    n = found.groupBy("host", "layout", "tree").agg(F.sum("n").alias("n"))
+    enough pages among the parsed ``rows``, ties to the shortest."""
+    n = rows.where("layout IS NOT NULL").groupBy("host", "layout", "tree").agg(F.count("*").alias("n"))
     best = n.groupBy("host", "layout").agg(F.max(F.struct("n", (-F.length("tree")).alias("shorter"), "tree")).alias("best"), F.sum("n").alias("pages"))
     return best.where(F.col("pages") >= least_pages).select("host", "layout", F.col("best.tree").alias("reference"))
 
 
-def aligned(pages: DataFrame, known: DataFrame) -> DataFrame:
+def aligned(parsed_rows: DataFrame, known: DataFrame) -> DataFrame:
     """host, layout, texts(ref, mark, chars, furniture): one page for each
     longest text of a layout."""
 
@@ -584,15 +582,15 @@ def aligned(pages: DataFrame, known: DataFrame) -> DataFrame:
                 rows.append((host, layout, lead, hashed(source), [(ref, m, chars, f) for (ref, m), (chars, f) in found.items()]))
             yield pd.DataFrame(rows, columns=["host", "layout", "lead", "page", "texts"])
 
-    rows = with_layout(pages.where("html <> ''")).join(known, ["host", "layout"]).select("host", "layout", "html", "reference")
+    rows = parsed_rows.select("host", "layout", "html").join(known, ["host", "layout"]).select("host", "layout", "html", "reference")
     read = rows.mapInPandas(run, "host string, layout long, lead long, page long, texts array<struct<ref:int,mark:long,chars:int,furniture:boolean>>")
     return read.groupBy("host", "layout", "lead").agg(F.min(F.struct("page", "texts")).alias("first")).select("host", "layout", "first.texts")
 
 
-def wrappers(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, layout, wrapper: from all pages of each layout."""
-    known = stored(references(pages, least_pages), "references")
-    read = stored(aligned(pages, known), "aligned")
+def wrappers(rows: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, layout, wrapper: from all pages of each layout of the parsed ``rows``."""
+    known = stored(references(rows, least_pages), "references")
+    read = stored(aligned(rows, known), "aligned")
     on = ["host", "layout"]
     sizes = stored(read.groupBy(on).agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "layouts")
     one = read.select(*on, F.explode("texts").alias("t")).select(*on, "t.*")
@@ -611,9 +609,9 @@ def wrappers(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    pages = parsed(pages)
     known = stored(wrappers(pages, least_pages), "wrappers")
-    rows = with_layout(pages).join(known, ["host", "layout"], "left").select("page_id", "url", "html", "wrapper")
+    rows = pages.join(known, ["host", "layout"], "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches):
         read = Wrappers()
