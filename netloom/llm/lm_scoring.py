@@ -24,8 +24,9 @@ so an item's losses can be made wherever all of its counts meet:
 
 Words are told apart by 64-bit hashes and items within a bucket by 40 bits:
 with 10^8 items in 100 buckets one in a million shares its counts with another.
-V, the size of the open vocabulary, is estimated from all words to within two
-per cent and is the same in both models.
+V, the size of the open vocabulary, is the exact number of distinct hashes and
+one, and is the same in both models.  Texts meet the labels by one shuffle of
+both, however many labels there are.
 
 Defined cases: null texts and texts without words score null and count 0
 tokens; labels without document or quality are ignored; without a good label
@@ -36,7 +37,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -56,28 +56,26 @@ class Models:
     """smooth: what every pair counts beyond its occurrences. most_hot: items
     counted apart from buckets. sample_docs: documents, about, that show which.
     bucket_words: words behind a bucket. chunk: items of a chunk of documents.
-    small: good labels up to this number are broadcast; beyond, texts move."""
+    held_words: distinct words that a task keeps before it hands them on."""
 
     smooth: float = 0.01
     most_hot: int = 100_000
     sample_docs: int = 10_000
     bucket_words: int = 1_500_000
     chunk: int = 600_000
-    small: int = 2_000_000
+    held_words: int = 1_000_000
 
 
 def tokens(text) -> list[str]:
     return text.lower().split() if isinstance(text, str) else []
 
 
-def marked(docs: DataFrame, labels: DataFrame, cfg: Models) -> DataFrame:
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, target (whether the document is labelled good)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    good = stored(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("good_id")).distinct(), "good")
-    if good.count() <= cfg.small:
-        return rows.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
-    # rows without an id have no label and need not meet in one task
-    named = rows.where("doc_id IS NOT NULL").join(good, F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
+    # only ids are hashed in a task, texts stream by; rows without an id have no label and stay where they are
+    named = rows.where("doc_id IS NOT NULL").join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
     return stored(named.unionByName(rows.where("doc_id IS NULL").withColumn("target", F.lit(False))), "marked")
 
 
@@ -123,27 +121,6 @@ def losses(keys: np.ndarray, n: np.ndarray, own: np.ndarray, background: np.ndar
     return b, sign * np.log(target - own + base) - b
 
 
-REGISTERS = 12
-
-
-def ranks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(register, rank) by which distinct words are estimated."""
-    h = np.unique(words) * MIX
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    rest = (h << np.uint64(REGISTERS)) >> np.uint64(REGISTERS)
-    leading = 64 - REGISTERS - np.floor(np.log2(np.maximum(rest, 1).astype(np.float64))).astype(np.int64)
-    return (h >> np.uint64(64 - REGISTERS)).astype(np.int64), leading
-
-
-def distinct(registers: np.ndarray) -> float:
-    """Number of distinct words behind the largest ranks of all registers."""
-    m = len(registers)
-    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.sum(2.0 ** -registers.astype(float))
-    empty = int((registers == 0).sum())
-    return m * math.log(m / empty) if raw <= 2.5 * m and empty else float(raw)
-
-
 def frequent(rows: DataFrame, cfg: Models) -> np.ndarray:
     """Items that a sample of the documents holds most often, ascending."""
     n = rows.count()
@@ -187,13 +164,14 @@ def find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, sorted_[at] == keys
 
 
-def counted(rows: DataFrame, hot: np.ndarray) -> Counts:
-    """Exact counts of ``hot`` and sums over all documents."""
+def counted(rows: DataFrame, hot: np.ndarray, cfg: Models) -> Counts:
+    """Exact counts of ``hot``, sums over all documents and the number of
+    distinct words, in one pass over the texts."""
 
     def run(batches):
         made, size = Hashes(), len(hot)
         sums = np.zeros((2, size), np.int64)
-        most, n = np.zeros(1 << REGISTERS, np.int64), [0, 0]
+        n, held, n_held = [0, 0], [], 0
         for pdf in batches:
             for text, target in zip(pdf["text"], pdf["target"], strict=True):
                 ws = made.of(text)
@@ -202,28 +180,33 @@ def counted(rows: DataFrame, hot: np.ndarray) -> Counts:
                 key, c = items(ws)
                 at, there = find(hot, key)
                 sums[0][at[there]] += c[there]
-                np.maximum.at(most, *ranks(ws))
                 n[0] += len(ws) + 1
                 if target:
                     sums[1][at[there]] += c[there]
                     n[1] += len(ws) + 1
+                held.append(np.unique(ws))
+                n_held += len(held[-1])
+                if n_held > 2 * cfg.held_words:
+                    held = [np.unique(np.concatenate(held))]
+                    n_held = len(held[0])
+                    if n_held > cfg.held_words:
+                        yield words(held[0])
+                        held, n_held = [], 0
+        if held:
+            yield words(np.unique(np.concatenate(held)))
         seen = np.flatnonzero(sums[0])
         yield pd.DataFrame({"kind": 0, "at": seen, "background": sums[0][seen], "target": sums[1][seen]})
-        some = np.flatnonzero(most)
-        yield pd.DataFrame({"kind": 1, "at": some, "background": most[some], "target": 0})
         yield pd.DataFrame({"kind": 2, "at": [0], "background": [n[0]], "target": [n[1]]})
 
-    found = rows.select("text", "target").mapInPandas(run, "kind int, at long, background long, target long")
-    both = found.groupBy("kind", "at").agg(F.when(F.col("kind") == 1, F.max("background")).otherwise(F.sum("background")).alias("background"), F.sum("target").alias("target"))
-    got = both.toArrow().to_pandas()  # at most ``most_hot`` rows, the registers and one
+    words = lambda found: pd.DataFrame({"kind": 1, "at": found.view(np.int64), "background": 0, "target": 0})
+    found = stored(rows.select("text", "target").mapInPandas(run, "kind int, at long, background long, target long"), "counted")
+    distinct = found.where("kind = 1").select("at").distinct().count()
+    got = found.where("kind <> 1").groupBy("kind", "at").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow().to_pandas()  # at most ``most_hot`` rows and one
     out = np.zeros((2, len(hot)), np.int64)
     part = got[got["kind"] == 0]
     out[:, part["at"].to_numpy()] = part[["background", "target"]].to_numpy().T
-    registers = np.zeros(1 << REGISTERS, np.int64)
-    part = got[got["kind"] == 1]
-    registers[part["at"].to_numpy()] = part["background"].to_numpy()
     n = got[got["kind"] == 2][["background", "target"]].sum()
-    return Counts(hot, out[0], out[1], distinct(registers) + 1, int(n["background"]), int(n["target"]))
+    return Counts(hot, out[0], out[1], distinct + 1.0, int(n["background"]), int(n["target"]))
 
 
 PACKED = "bucket int, chunk long, low binary, high binary, doc binary, n binary, targets int, ids binary, b binary, d binary, words binary"
@@ -336,7 +319,7 @@ def added(parts: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, labels: DataFrame, cfg: Models = Models()) -> DataFrame:
     """doc_id, n_tokens, background_loss, score of every document, by models of
     every word and pair."""
-    rows = marked(docs, labels, cfg)
-    counts = counted(rows, frequent(rows, cfg))
+    rows = marked(docs, labels)
+    counts = counted(rows, frequent(rows, cfg), cfg)
     buckets = max(1, -(-counts.n_background // cfg.bucket_words))
     return added(scored_buckets(packed(rows, counts, buckets, cfg), counts, cfg))
