@@ -55,6 +55,7 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--offset", type=offset, action="append", default=[], metavar="[LAYER=]DY,DX", help="move a mask on every board, as --offset=-1,2 where DY is negative")
         s.add_argument("--choices", help="folder of JSON documents board_id=N/*.json with decisions by drill")
         s.add_argument("--drill-files", help="folder of drill files board_id=N/*, split by --choices by object, or by what the masks say")
+        s.add_argument("--drawings", help="folder of board_id=N/<layer>.svg: render writes them as masks, with the geometry of all nets")
         s.add_argument("--cache", help="folder of nets by mask contents: only boards that are new there are labelled")
         s.add_argument("--out")
     s = sub.add_parser("explain")
@@ -145,6 +146,10 @@ def run(spark: SparkSession, a: argparse.Namespace, p: argparse.ArgumentParser,
             jobs.write_drill_files(whole, decided, a.out)
     else:
         {"nets": jobs.write_extraction, "render": jobs.render}[a.job](e, a.out)
+        if a.job == "render" and a.drawings:
+            svgs = stored(jobs.read_drawings(spark, a.drawings).join(canvas.select("board_id"), "board_id", "left_semi"), "svgs")
+            done = jobs.corrections(chosen, drill, canvas, layers, manual, a.auto_align, auto=not a.no_auto_invert, force=a.invert, forbid=a.no_invert)
+            jobs.write_drawings(e, svgs, stored(done, "corrections"), a.out)
     return 0
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import catalog
-from netloom.operators import audit, drills, export, masks, nets
+from netloom.operators import artwork, audit, drawing, drills, export, geometry, masks, nets
 from netloom.plans.extract import Extraction
 from netloom.plans.store import by_board, publish, table, tables_of
 from netloom.sources import files
@@ -181,6 +181,41 @@ def render(e: Extraction, out: str, scale: int = 1) -> None:
     by_board(e.check.join(size, "board_id"), f"{out}/meta", "json")
 
 
+def read_drawings(spark: SparkSession, folder: str) -> DataFrame:
+    """(board_id, layer, svg) of <folder>/board_id=N/<layer>.svg."""
+    text = spark.read.option("pathGlobFilter", "*.svg").text(folder, wholetext=True)
+    return text.select(F.col("board_id").cast("int").alias("board_id"), F.regexp_extract("_metadata.file_name", r"^(.*)\.svg$", 1).alias("layer"), F.col("value").alias("svg"))
+
+
+def corrections(runs: DataFrame, drill: DataFrame, canvas: DataFrame, layers: tuple[str, ...], manual: DataFrame, auto_align: bool = False, **invert) -> DataFrame:
+    """(board_id, layer, invert, dy, dx): what ``prepared`` does to each mask,
+    under ``manual(board_id, layer, dy, dx)``; the drill mask is layer drill."""
+    size = masks.layer_canvas(canvas, layers)
+    turned = audit.resolve_invert(audit.polarity(masks.fill(runs, size)), **invert).select("board_id", "layer", "invert")
+    copper = audit.prepare(runs, size, turned)
+    own = manual.where("layer = 'drill'").select("board_id", "dy", "dx")
+    found = audit.audit_alignment(drill, copper, canvas, auto_align).select("board_id", "dy", "dx").join(own, "board_id", "left_anti").unionByName(own)
+    of_layers = turned.join(manual.where("layer <> 'drill'"), ["board_id", "layer"], "left").select("board_id", "layer", "invert", "dy", "dx")
+    return of_layers.unionByName(found.select("board_id", F.lit("drill").alias("layer"), F.lit(False).alias("invert"), "dy", "dx"))
+
+
+def write_drawings(e: Extraction, svgs: DataFrame, corrected: DataFrame, out: str) -> None:
+    """Drawings as masks under <out>/drawings/board_id=N/layer=L, and what draws
+    each net of the copper layers under <out>/geometry.  An error where a layer
+    was moved, or where a drawing isn't of its board's size."""
+    check_drawable(corrected.join(svgs, ["board_id", "layer"], "left_semi"))
+    size = drawing.size(svgs).join(e.canvas.select("board_id", F.col("w").alias("board_w"), F.col("h").alias("board_h")), "board_id")
+    bad = size.where("w IS NULL OR h IS NULL OR w <> board_w OR h <> board_h OR x <> 0 OR y <> 0").orderBy("board_id", "layer").limit(20).collect()
+    if bad:
+        raise ValueError("drawings of another size: " + "; ".join(f"board {r.board_id} {r.layer}: {r.w} x {r.h} from ({r.x}, {r.y}), expected {r.board_w} x {r.board_h}" for r in bad))
+    made = stored(drawing.luminance(svgs, corrected.where("invert")), "drawings")
+    copper = made.where(F.col("layer").isin(*e.layers))
+    subs = stored(artwork.subpaths(artwork.elements(artwork.documents(copper))), "subpaths")
+    shown = stored(geometry.by_net(stored(geometry.attributed(subs, e.net_runs, e.canvas), "primitives"), e.canvas), "geometry")
+    by_board(made.select("board_id", "layer", F.col("svg").alias("value")), f"{out}/drawings", "text", "layer")
+    by_board(shown, f"{out}/geometry")
+
+
 def gallery(spark: SparkSession, out: str) -> DataFrame:
     """A row for every rendered board."""
     return spark.read.json(f"{out}/meta").select("board_id", "n_nets", "width", "height", "largest_net_share")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import catalog
-from netloom.operators import artwork, audit, components, drills, export, masks, netmap, nets, paint, vector
+from netloom.operators import artwork, audit, components, drawing, drills, export, geometry, masks, netmap, nets, paint, vector
 from netloom.plans import jobs, sql
 from netloom.plans.extract import Extraction
 from netloom.sources import boards, files
@@ -498,6 +498,40 @@ def artwork_mask(spark, sf_dir):
     return paint.rasterise(drawings(spark, sf_dir))
 
 
+_PAINTED = boards.merge_sql(f"(SELECT board_id, 'F_Cu' AS layer, py AS y, px AS x0, px + 1 AS x1 FROM {_PX} WHERE top = 0)")
+_MID = "CASE WHEN dy = -r THEN (dx + r) * 4 END, CASE WHEN dy = r THEN (dx + r) * 4 + 1 END, CASE WHEN dx = -r THEN (dy + r) * 4 + 2 END, CASE WHEN dx = r THEN (dy + r) * 4 + 3 END"
+
+
+@registered(f""", amask AS ({_PAINTED}),
+{sql.labels("alab", "amask")},
+shown AS (SELECT * FROM {_DRAWN} WHERE hole = 1 OR shape <> 3),
+apt AS (SELECT board_id, el, j, least({SIDE - 1}, floor(px))::INT AS gx, least({SIDE - 1}, floor(py))::INT AS gy FROM (SELECT board_id, el, unnest(CASE WHEN shape = 1 THEN [0, 1, 2] ELSE [0] END) AS j,
+  unnest(CASE WHEN shape = 1 THEN [x + w / 2::DOUBLE, x, x + w] ELSE [x + w / 2::DOUBLE] END) AS px, CASE WHEN shape = 1 THEN y ELSE y + h / 2::DOUBLE END AS py FROM shown WHERE hole = 0)),
+acell AS (SELECT p.board_id, el, j, component AS net, x - gx AS dx, c.y - gy AS dy FROM apt p JOIN (SELECT board_id, y, unnest(range(x0, x1))::INT AS x, component FROM alab) c ON p.board_id = c.board_id AND abs(x - gx) <= 3 AND abs(c.y - gy) <= 3),
+ahit AS (SELECT board_id, el, j, arg_min(net, [dx * dx + dy * dy, least({_MID})]) AS net FROM (SELECT *, greatest(abs(dx), abs(dy)) AS r FROM acell) GROUP BY board_id, el, j),
+anet AS (SELECT board_id, el, arg_min(net, j) AS net FROM ahit GROUP BY board_id, el),
+abox AS (SELECT board_id, el, hole, shape, CASE WHEN hole = 1 THEN x - r WHEN shape = 1 THEN x - h / 2::DOUBLE ELSE x END AS x0, CASE WHEN hole = 1 THEN y - r WHEN shape = 1 THEN y - h / 2::DOUBLE ELSE y END AS y0,
+  CASE WHEN hole = 1 THEN x + r WHEN shape = 1 THEN x + w + h / 2::DOUBLE ELSE x + w END AS x1, CASE WHEN hole = 1 THEN y + r WHEN shape = 1 THEN y + h / 2::DOUBLE ELSE y + h END AS y1 FROM shown),
+aown AS (SELECT * FROM anet JOIN abox USING (board_id, el))
+SELECT board_id, net, el, 1 AS polarity, CASE WHEN shape = 1 THEN 1 ELSE 4 END::BIGINT AS n FROM aown UNION ALL
+SELECT DISTINCT a.board_id, a.net, e.el, -1, 1::BIGINT FROM aown a JOIN abox e ON a.board_id = e.board_id AND e.hole = 1 AND a.el < e.el AND a.x0 < e.x1 AND e.x0 < a.x1 AND a.y0 < e.y1 AND e.y0 < a.y1""")
+def net_geometry(spark, sf_dir):
+    """What draws each net of the drawings: its elements and the holes in them."""
+    subs = _subpaths(spark, sf_dir)
+    canvas = boards.derive(spark, sf_dir).canvas
+    net = components.label(paint.paint(paint.spans(subs))).withColumnRenamed("component", "net")
+    shown = geometry.by_net(stored(geometry.attributed(subs, stored(net, "nets"), canvas), "primitives"), canvas)
+    return shown.groupBy("board_id", "net", F.floor(F.col("ord") / 2).cast("int").alias("el"), "polarity").agg(F.count("*").alias("n"))
+
+
+@registered(boards.complement_sql(f"({_PAINTED})", "(SELECT *, 'F_Cu' AS layer FROM canvas)"))
+def drawing_inverted(spark, sf_dir):
+    """Pixels of the drawings rewritten as masks with all layers turned round."""
+    svgs = drawings(spark, sf_dir)
+    turned = stored(drawing.luminance(svgs, svgs.select("board_id", "layer")), "turned")
+    return paint.paint(paint.spans(stored(artwork.subpaths(artwork.elements(artwork.documents(turned))), "subpaths")))
+
+
 @registered("SELECT c.board_id, coalesce(p, 0)::BIGINT AS plated, coalesce(u, 0)::BIGINT AS unplated FROM canvas c LEFT JOIN (SELECT board_id, count(*) FILTER (plated) AS p, count(*) FILTER (NOT plated) AS u FROM decision_infer GROUP BY board_id) USING (board_id)")
 def plated_counts(spark, sf_dir):
     e = extraction(spark, sf_dir)
