@@ -145,11 +145,11 @@ def run(spark: SparkSession, a: argparse.Namespace, p: argparse.ArgumentParser,
             decided = files.read_object_choices(texts) if a.choices else files.object_decisions(files.match_objects(e.blobs, files.read_excellon(whole)), e.decisions)
             jobs.write_drill_files(whole, decided, a.out)
     else:
-        {"nets": jobs.write_extraction, "render": jobs.render}[a.job](e, a.out)
-        if a.job == "render" and a.drawings:
+        if a.job == "render" and a.drawings:  # first: it refuses what drawings can't follow
             svgs = stored(jobs.read_drawings(spark, a.drawings).join(canvas.select("board_id"), "board_id", "left_semi"), "svgs")
             done = jobs.corrections(chosen, drill, canvas, layers, manual, a.auto_align, auto=not a.no_auto_invert, force=a.invert, forbid=a.no_invert)
             jobs.write_drawings(e, svgs, stored(done, "corrections"), a.out)
+        {"nets": jobs.write_extraction, "render": jobs.render}[a.job](e, a.out)
     return 0
 
 

@@ -211,7 +211,7 @@ def write_drawings(e: Extraction, svgs: DataFrame, corrected: DataFrame, out: st
     made = stored(drawing.luminance(svgs, corrected.where("invert")), "drawings")
     copper = made.where(F.col("layer").isin(*e.layers))
     subs = stored(artwork.subpaths(artwork.elements(artwork.documents(copper))), "subpaths")
-    shown = stored(geometry.by_net(stored(geometry.attributed(subs, e.net_runs, e.canvas), "primitives"), e.canvas), "geometry")
+    shown = stored(geometry.by_net(stored(geometry.attributed(subs, stored(e.net_runs, "net_runs"), e.canvas), "primitives"), e.canvas), "geometry")
     by_board(made.select("board_id", "layer", F.col("svg").alias("value")), f"{out}/drawings", "text", "layer")
     by_board(shown, f"{out}/geometry")
 
