@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.operators.components import Forest
+from netloom.storage import stored
+
 #: Fixed value: how a viewer shows nets, and the one that is selected.
 NETMAP_STYLE = "<style>.net-shape{fill:transparent;stroke:transparent;pointer-events:all}.net-shape.selected{fill:rgba(255,80,80,.75);stroke:rgba(255,80,80,.75);pointer-events:all}</style>"
 
@@ -104,31 +107,66 @@ def resize_nearest(runs: DataFrame, canvas: DataFrame, width: int, height: int)
     return hit.select("board_id", "layer", F.col("oy").alias("y"), F.explode(F.sequence("a", "b")).alias("x"), "net")
 
 
+#: How far from its own place a net that the samples missed may be put.
+REACH = 3
+
+
+def meeting(places: pd.DataFrame) -> pd.DataFrame:
+    """``places`` (board_id, layer, oy, ox; distinct) with ``meet``, equal for the
+    places that a chain of meeting windows joins.
+
+    All places in a cell as wide as a window meet, so only neighbouring cells have
+    to be compared, at most a window's pixels with as many.
+    """
+    wide = 2 * REACH + 1
+    cells: dict[tuple[int, int], list[int]] = {}
+    oy, ox = places["oy"].to_numpy(), places["ox"].to_numpy()
+    for i, cell in enumerate(zip((oy // wide).tolist(), (ox // wide).tolist(), strict=True)):
+        cells.setdefault(cell, []).append(i)
+    forest = Forest(len(places))
+    for (cy, cx), mine in cells.items():
+        for i in mine:
+            forest.join(mine[0], i)
+        for other in ((cy, cx + 1), (cy + 1, cx - 1), (cy + 1, cx), (cy + 1, cx + 1)):
+            yours = cells.get(other)
+            if yours and ((np.abs(oy[mine][:, None] - oy[yours]) < wide) & (np.abs(ox[mine][:, None] - ox[yours]) < wide)).any():
+                forest.join(mine[0], yours[0])
+    return places.assign(meet=np.array([forest.find(i) for i in range(len(places))], np.int32))
+
+
 def rescue(small: DataFrame, runs: DataFrame, canvas: DataFrame, width: int, height: int) -> DataFrame:
     """The resized map with a pixel for every net that the samples missed: nets
-    ascending, the first free pixel in growing squares up to 3 around the net's
-    first pixel, else that pixel itself.  One task has one layer of one board."""
-    first = runs.groupBy("board_id", "layer", "net").agg(F.min(F.struct("y", "x0")).alias("p"))
-    kept = small.groupBy("board_id", "layer", "net").agg(F.count("*").alias("n"))
-    gone = first.join(kept, ["board_id", "layer", "net"], "left").where("n IS NULL").join(canvas, "board_id")
-    at = gone.select("board_id", "layer", "net", F.least(F.lit(height - 1), F.floor((F.col("p.y") + 0.5) * height / F.col("h"))).cast("int").alias("oy"), F.least(F.lit(width - 1), F.floor((F.col("p.x0") + 0.5) * width / F.col("w"))).cast("int").alias("ox"))
-
-    def run(have: pd.DataFrame, lost: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((height, width), np.int32)
-        grid[have["y"], have["x"]] = have["net"]
-        key = (have if len(have) else lost)[["board_id", "layer"]].iloc[0]
-        for net, oy, ox in sorted(zip(lost["net"], lost["oy"], lost["ox"], strict=True)):
-            spot = (oy, ox)
-            for r in range(4):
-                y0, x0 = max(0, oy - r), max(0, ox - r)
-                free = np.argwhere(grid[y0 : oy + r + 1, x0 : ox + r + 1] == 0)
-                if len(free):
-                    spot = (y0 + free[0][0], x0 + free[0][1])
-                    break
-            grid[spot] = net
-        y, x = np.nonzero(grid)
-        return pd.DataFrame({"board_id": key["board_id"], "layer": key["layer"], "y": y.astype("int32"), "x": x.astype("int32"), "net": grid[y, x]})
-
+    ascending, the first free pixel in growing squares up to REACH around the
+    net's first pixel, else that pixel itself, whatever it holds.
+
+    Free pixels come from a join of the windows with the map.  Nets whose windows
+    a chain of meeting windows joins are placed one after the other in a task, all
+    others at once; the chains of a layer are found among its distinct places,
+    never more than the small map has pixels.
+    """
     keys = ["board_id", "layer"]
-    at = at.toDF(*at.columns)  # its columns must not be taken for those of small
-    return small.groupBy(keys).cogroup(at.groupBy(keys)).applyInPandas(run, "board_id int, layer string, y int, x int, net int")
+    first = runs.groupBy(*keys, "net").agg(F.min(F.struct("y", "x0")).alias("p"))
+    gone = first.join(small.select(*keys, "net").distinct(), [*keys, "net"], "left_anti").join(canvas, "board_id")
+    nearest = lambda c, n, side: F.least(F.lit(n - 1), F.floor((F.col(c) + 0.5) * n / F.col(side))).cast("int")
+    lost = stored(gone.select(*keys, "net", nearest("p.y", height, "h").alias("oy"), nearest("p.x0", width, "w").alias("ox")), "lost")
+    chains = lost.select(*keys, "oy", "ox").distinct().groupBy(keys).applyInPandas(meeting, "board_id int, layer string, oy int, ox int, meet int")
+
+    near = lambda c, n: F.sequence(F.greatest(F.lit(0), F.col(c) - REACH), F.least(F.lit(n - 1), F.col(c) + REACH))
+    window = lost.withColumn("y", F.explode(near("oy", height))).withColumn("x", F.explode(near("ox", width)))
+    free = window.join(small.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
+    ring = F.greatest(F.abs(F.col("y") - F.col("oy")), F.abs(F.col("x") - F.col("ox")))
+    spots = free.groupBy(*keys, "net").agg(F.sort_array(F.collect_list(F.struct(ring.alias("ring"), "y", "x"))).alias("s"))
+    code = F.transform("s", lambda c: c["y"].cast("long") * width + c["x"])
+    tried = lost.join(chains, [*keys, "oy", "ox"]).join(spots.select(*keys, "net", code.alias("spots")), [*keys, "net"], "left")
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("net")
+        taken: dict[int, int] = {}
+        for net, oy, ox, spots in zip(pdf["net"], pdf["oy"], pdf["ox"], pdf["spots"], strict=True):
+            taken[next((int(c) for c in (() if spots is None else spots) if int(c) not in taken), oy * width + ox)] = net
+        at = np.fromiter(taken, np.int64, len(taken))
+        return pd.DataFrame({"board_id": pdf["board_id"].iloc[0], "layer": pdf["layer"].iloc[0], "y": at // width, "x": at % width, "net": list(taken.values())})
+
+    put = stored(tried.groupBy(*keys, "meet").applyInPandas(place, "board_id int, layer string, y int, x int, net int"), "placed")
+    kept = small.select(*keys, "y", "x", "net").join(put.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
+    return kept.select(*put.columns).unionByName(put)

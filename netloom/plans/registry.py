@@ -371,20 +371,38 @@ def netmap_parse(spark, sf_dir):
     return vector.parse_netmap(export.netmap(export.rectangles(e.net_runs), e.canvas, e.layers), shift=1).drop("ord")
 
 
-_SMALL = 96
+def _resized(n: int) -> str:
+    at = lambda c: f"floor(({c} + 0.5) * {SIDE} / {n})"
+    return f"SELECT board_id, layer, oy AS y, ox AS x, net FROM nrun JOIN (SELECT unnest(range(0, {n}))::INT AS oy) ON {at('oy')} = y JOIN (SELECT unnest(range(0, {n}))::INT AS ox) ON {at('ox')} >= x0 AND {at('ox')} < x1"
 
 
-@registered(f"SELECT board_id, layer, oy AS y, ox AS x, net FROM nrun JOIN (SELECT unnest(range(0, {_SMALL}))::INT AS oy) ON floor((oy + 0.5) * {SIDE} / {_SMALL}) = y JOIN (SELECT unnest(range(0, {_SMALL}))::INT AS ox) ON floor((ox + 0.5) * {SIDE} / {_SMALL}) >= x0 AND floor((ox + 0.5) * {SIDE} / {_SMALL}) < x1")
+_SMALL, _TINY = 96, 40
+
+
+@registered(_resized(_SMALL))
 def resize_nearest(spark, sf_dir):
     e = extraction(spark, sf_dir)
     return export.resize_nearest(e.net_runs, e.canvas, _SMALL, _SMALL)
 
 
-@registered(None)
+_AROUND = f"(SELECT unnest(range({-export.REACH}, {export.REACH + 1}))::INT AS "
+
+
+@registered(f"""FROM (WITH RECURSIVE small AS MATERIALIZED ({_resized(_TINY)}),
+lost AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY board_id, layer ORDER BY net) AS k FROM (SELECT board_id, layer, net, least({_TINY - 1}, floor((min(y) + 0.5) * {_TINY} / {SIDE}))::INT AS oy,
+  least({_TINY - 1}, floor((arg_min(x0, y * {SIDE} + x0) + 0.5) * {_TINY} / {SIDE}))::INT AS ox FROM nrun GROUP BY ALL) l WHERE NOT EXISTS (FROM small s WHERE s.board_id = l.board_id AND s.layer = l.layer AND s.net = l.net)),
+spot AS MATERIALIZED (SELECT board_id, layer, k, list(y * {_TINY} + x ORDER BY greatest(abs(y - oy), abs(x - ox)), y, x) AS free FROM
+  (SELECT board_id, layer, k, oy, ox, oy + dy AS y, ox + dx AS x FROM lost CROSS JOIN {_AROUND}dy) CROSS JOIN {_AROUND}dx)) c
+  WHERE y BETWEEN 0 AND {_TINY - 1} AND x BETWEEN 0 AND {_TINY - 1} AND NOT EXISTS (FROM small s WHERE s.board_id = c.board_id AND s.layer = c.layer AND s.y = c.y AND s.x = c.x) GROUP BY ALL),
+step AS (SELECT board_id, layer, 0::BIGINT AS k, NULL::INT AS net, NULL::INT AS code, []::INT[] AS taken FROM lost WHERE k = 1
+ UNION ALL SELECT board_id, layer, k, net, code, list_append(taken, code) FROM (SELECT l.board_id, l.layer, l.k, l.net, taken, coalesce(list_filter(free, lambda c: NOT list_contains(taken, c))[1], l.oy * {_TINY} + l.ox)::INT AS code
+  FROM step s JOIN lost l ON l.board_id = s.board_id AND l.layer = s.layer AND l.k = s.k + 1 LEFT JOIN spot f ON f.board_id = l.board_id AND f.layer = l.layer AND f.k = l.k)),
+put AS (SELECT board_id, layer, code // {_TINY} AS y, code % {_TINY} AS x, max(net) AS net FROM step WHERE k > 0 GROUP BY ALL)
+SELECT board_id, layer, y, x, net FROM put UNION ALL SELECT board_id, layer, y, x, net FROM small s WHERE NOT EXISTS (FROM put p WHERE p.board_id = s.board_id AND p.layer = s.layer AND p.y = s.y AND p.x = s.x))""")
 def resize_rescue(spark, sf_dir):
     e = extraction(spark, sf_dir)
-    small = export.resize_nearest(e.net_runs, e.canvas, 40, 40)
-    return export.rescue(small, e.net_runs, e.canvas, 40, 40)
+    small = export.resize_nearest(e.net_runs, e.canvas, _TINY, _TINY)
+    return export.rescue(small, e.net_runs, e.canvas, _TINY, _TINY)
 
 
 # vectors

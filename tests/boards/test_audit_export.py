@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_connectivity import RUN, ellipse, extract, rect
@@ -92,6 +93,40 @@ def test_downsample_resize_rescue(spark):
     assert {p.net for p in export.rescue(small, df, size, 7, 6).collect()} == {1, 2, 7, 8}
 
 
+def placed_one_by_one(small, lost, width, height):
+    """The rescue by a plain loop over a layer's whole map."""
+    grid = dict(small)
+    for net, oy, ox in sorted(lost):
+        near = [(r, y, x) for r in range(4) for y in range(max(0, oy - r), min(height, oy + r + 1)) for x in range(max(0, ox - r), min(width, ox + r + 1)) if (y, x) not in grid]
+        grid[min(near)[1:] if near else (oy, ox)] = net
+    return grid
+
+
+def test_rescue_in_chains_equals_one_loop(spark):
+    run, cell = "board_id int, layer string, y int, x0 int, x1 int, net int", "board_id int, layer string, y int, x int, net int"
+    r = np.random.default_rng(5)
+    cases = {(1, "a"): (0.02, 12), (1, "b"): (0.7, 60), (2, "a"): (1.0, 9), (2, "b"): (0.0, 40), (3, "a"): (0.3, 0)}  # share of the map that is taken, nets lost
+    width, height, small, rows, lost = 23, 31, {}, [], {}
+    for key, (share, n) in cases.items():
+        small[key] = {(y, x): 1 for y, x in np.ndindex(height, width) if r.random() < share}
+        at = [(int(r.integers(height)), int(r.integers(width))) for _ in range(n)]
+        at[: n // 3] = [at[0]] * (n // 3) if n else []  # many nets in one place
+        lost[key] = [(10 + int(i), *p) for i, p in zip(r.permutation(n), at, strict=True)]
+        rows += [(*key, y, x, x + 1, net) for net, y, x in lost[key]] + [(*key, 0, 0, 1, 1)] * bool(small[key])
+    size = spark.createDataFrame([(b, width, height) for b in (1, 2, 3)], "board_id int, w int, h int")
+    have = spark.createDataFrame([(*k, y, x, net) for k, g in small.items() for (y, x), net in g.items()], cell)
+    got = {}
+    for p in export.rescue(have, spark.createDataFrame(rows, run), size, width, height).collect():
+        assert (p.y, p.x) not in got.setdefault((p.board_id, p.layer), {})  # no pixel twice
+        got[p.board_id, p.layer][p.y, p.x] = p.net
+    assert got == {k: placed_one_by_one(small[k], lost[k], width, height) for k in cases}
+
+
+def test_windows_that_meet():
+    p = pd.DataFrame([(1, "a", 0, 0), (1, "a", 6, 6), (1, "a", 12, 9), (1, "a", 20, 9), (1, "a", 13, 30)], columns=["board_id", "layer", "oy", "ox"])
+    meet = export.meeting(p)["meet"].tolist()
+    assert meet[0] == meet[1] == meet[2] and len(set(meet)) == 3
+
 def test_rectangles_cover_and_netmap_round_trip(spark):
     from netloom.operators import vector
 
