@@ -1,21 +1,22 @@
 """Quality rules whose cutoffs come with a guarantee.
 
 Each rule is a ratio that grows with badness.  Labelled documents are the
-holdout: in every stratum (language group), the cutoffs of a rule are tried
+holdout: in every stratum (language), the cutoffs of a rule are tried
 from the loosest to the strictest, and the strictest one is kept for which an
 exact binomial test still shows that at most ``risk / number of rules`` of the
 good documents lie above it.  Testing in that fixed order needs no correction
 within a rule; over the strata and rules the level is divided by their number
 (Bonferroni).  With probability 1 - ``level`` no stratum then loses more than
-``risk`` of its good documents to the rules.  A stratum with too few labels
-certifies nothing and rejects nothing beyond the base rules.
+``risk`` of its good documents to the rules.  Strata are the languages of the
+documents; one with too few good labels to pass any test is not tested, does not
+count in the correction and rejects nothing beyond the base rules.
 
 DataFrame operations only.  Words found again are detected by 64-bit hashes
 of eight-word windows within one text; the chance of a wrong hit in a text of
 n windows is about n * n / 2**65.
 
-Defined cases: a null text has no words (so it fails the base rule); a null
-or unknown language belongs to the stratum "other"; labels without a quality
+Defined cases: a null text has no words (so it fails the base rule); documents
+without a language are the stratum "other"; labels without a quality
 or without a document are ignored; several labels of one document count once,
 as good if any says so; repeated rows are judged alike; with no labels at all
 only the base rules reject; an empty table gives an empty result; columns of
@@ -24,6 +25,7 @@ the input other than doc_id, text and lang are ignored whatever their names.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +42,8 @@ RULES: dict[str, tuple[float, ...]] = {
     "dup_lines_per_line": (0.8, 0.6, 0.4, 0.3),
     "repeat_share": (0.25, 0.2, 0.15),
 }
-STRATA = ("en", "de", "fr", "es")
+#: The stratum of documents without a language.
+OTHER = "other"
 
 
 @dataclass(frozen=True)
@@ -49,15 +52,18 @@ class Risk:
 
     risk: float = 0.05
     level: float = 0.05
-    strata: tuple[str, ...] = STRATA
 
     @property
     def rule_risk(self) -> float:
         return self.risk / len(RULES)
 
     @property
-    def test_level(self) -> float:
-        return self.level / (len(RULES) * (len(self.strata) + 1))
+    def fewest(self) -> int:
+        """Good documents below which a stratum can't pass a test, were it alone."""
+        return math.ceil(math.log(self.level / len(RULES)) / math.log1p(-self.rule_risk))
+
+    def test_level(self, strata: int) -> float:
+        return self.level / (len(RULES) * max(1, strata))
 
 
 def repeat_words(ws: Column, k: int = 8) -> Column:
@@ -78,7 +84,7 @@ def repeat_words(ws: Column, k: int = 8) -> Column:
     return F.when(F.size(ws) <= k, F.lit(0)).otherwise(let(F.transform(ws, lambda w: F.xxhash64(w)), windows))
 
 
-def features(docs: DataFrame, strata: tuple[str, ...] = STRATA) -> DataFrame:
+def features(docs: DataFrame) -> DataFrame:
     """doc_id, stratum, the base counts and the value of each rule."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CHAR))
@@ -86,7 +92,7 @@ def features(docs: DataFrame, strata: tuple[str, ...] = STRATA) -> DataFrame:
     by_lines = let(lines, lambda v: F.struct(F.size(v).alias("n"), (F.size(v) - F.size(F.array_distinct(v))).alias("dup")))
     counted = docs.select(
         F.col("doc_id"),
-        F.when(F.col("lang").isin(*strata), F.col("lang")).otherwise(F.lit("other")).alias("stratum"),
+        F.coalesce("lang", F.lit(OTHER)).alias("stratum"),
         by_words.alias("w"), by_lines.alias("l"), F.length(text).alias("chars"), n_of(text, " \t\n\x0b\f\r").alias("blanks"),
         n_of(text, SYMBOLS).alias("symbols"), n_of(text, UPPER).alias("upper"), n_of(text, "!").alias("exclaims"),
     )
@@ -102,19 +108,36 @@ def features(docs: DataFrame, strata: tuple[str, ...] = STRATA) -> DataFrame:
     )
 
 
+#: Below this many, factorials are not replaced by Stirling's series.
+FEW = 16
+
+
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X binomial(n, p), summed term by term in logarithms."""
-    import math
+    """P(X <= k) for X binomial(n, p), p at most a half, summed term by term.
 
-    start = n * math.log1p(-p)
-    zero = F.struct(start.cast("double").alias("t"), F.exp(start).cast("double").alias("s"))
+    Only terms within twelve standard deviations (and 40 more) of the mean are
+    summed, all others together stay below 1e-30; an array of them grows with the
+    square root of n.
+    """
+    mean = n * F.lit(p)
+    reach = 12 * F.sqrt(mean * (1 - p)) + 40
+    low = F.floor(mean - reach)
+    low = F.when(low < FEW, F.lit(0)).otherwise(low).cast("long")
+    high = F.least(k, n, F.ceil(mean + reach)).cast("long")
+    # the first term in Loader's form: deviances and errors of Stirling's series, no large terms that cancel
+    error = lambda x: 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    deviance = lambda x, m: x * F.log(x / m) + m - x
+    x, rest = low.cast("double"), (n - low).cast("double")
+    apart = error(n.cast("double")) - error(x) - error(rest) - deviance(x, mean) - deviance(rest, n * F.lit(1 - p)) + F.log(n / (2 * math.pi * x * rest)) / 2
+    start = F.when(low == 0, n * math.log1p(-p)).otherwise(apart).cast("double")
+    zero = F.struct(start.alias("t"), F.exp(start).alias("s"))
 
     def add(a: Column, i: Column) -> Column:
         t = a["t"] + F.log((n - i + 1) / i) + F.lit(math.log(p / (1 - p)))
         return F.struct(t.alias("t"), (a["s"] + F.exp(t)).alias("s"))
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, zero, add, lambda a: a["s"])
+    steps = F.when(high > low, F.sequence(low + 1, F.greatest(high, low + 1))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(k < low, F.lit(0.0)).otherwise(F.aggregate(steps, zero, add, lambda a: a["s"]))
 
 
 def certified(feats: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
@@ -125,13 +148,14 @@ def certified(feats: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataF
     good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
     held = feats.where(~F.col("base_failed")).join(good.select("doc_id"), "doc_id").groupBy("doc_id", "stratum").agg(*(F.max(r).alias(r) for r in RULES))
     counts = [F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cs in RULES.items() for i, c in enumerate(cs)]
-    by_stratum = held.groupBy("stratum").agg(F.count("*").alias("n_good"), *counts)
+    by_stratum = stored(held.groupBy("stratum").agg(F.count("*").alias("n_good"), *counts).where(F.col("n_good") >= risk.fewest), "strata")
     tests = F.array(*(
         F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("n_above"))
         for r, cs in RULES.items() for i, c in enumerate(cs)
     ))
     tried = by_stratum.select("stratum", "n_good", F.explode(tests).alias("t")).select("stratum", "n_good", "t.*")
-    passed = tried.withColumn("ok", binomial_cdf(F.col("n_above"), F.col("n_good"), risk.rule_risk) <= risk.test_level)
+    level = risk.test_level(by_stratum.count())
+    passed = tried.withColumn("ok", binomial_cdf(F.col("n_above"), F.col("n_good"), risk.rule_risk) <= level)
     # the strictest cutoff before the first that fails: strictness and n_above rise together
     first = passed.groupBy("stratum", "rule", "n_good").agg(
         F.coalesce(F.min(F.when(~F.col("ok"), F.col("step"))), F.lit(10**6)).alias("fails_at"),
@@ -151,7 +175,7 @@ def verdict(cutoffs: list) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """Features of every document and ``kept``."""
-    feats = stored(features(docs, risk.strata), "quality")
+    feats = stored(features(docs), "quality")
     return feats.withColumn("kept", verdict(certified(feats, labels, risk).collect()))
 
 
@@ -161,16 +185,15 @@ def keep(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     Rows are stored with their features, so texts are read once and move to no
     join; only numbers meet the labels.
     """
-    rows = stored(features(docs.select(whole_row(docs).alias("doc_id"), "text", "lang"), risk.strata).withColumnRenamed("doc_id", "row"), "quality")
+    rows = stored(features(docs.select(whole_row(docs).alias("doc_id"), "text", "lang")).withColumnRenamed("doc_id", "row"), "quality")
     cutoffs = certified(rows.withColumn("doc_id", F.col("row.doc_id")).drop("row"), labels, risk).collect()
     return rows.where(verdict(cutoffs)).select(*columns_of("row", docs.columns))
 
 
 def feature_sql(source: str = "documents") -> str:
     """DuckDB SQL for features() over the table ``source``."""
-    strata = ", ".join(f"'{s}'" for s in STRATA)
     return f"""
-q8_text AS (SELECT doc_id, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS text FROM {source}),
+q8_text AS (SELECT doc_id, coalesce(lang, '{OTHER}') AS stratum, coalesce(text, '') AS text FROM {source}),
 q8_words AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, row_number() OVER () AS rid FROM q8_text),
 q8_windows AS (SELECT rid, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS win FROM q8_words WHERE len(ws) >= 8),
 q8_twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM q8_windows) WHERE n > 1),
@@ -196,9 +219,10 @@ def verdict_sql(risk: Risk = Risk()) -> str:
 q8_good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
 q8_held AS (SELECT doc_id, stratum, {most} FROM q8_feats JOIN q8_good USING (doc_id) WHERE NOT base_failed GROUP BY doc_id, stratum),
 q8_tests(rule, step, cutoff) AS (VALUES {tests}),
-q8_tried AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k FROM q8_held, q8_tests GROUP BY ALL),
+q8_tried AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k FROM q8_held, q8_tests GROUP BY ALL HAVING count(*) >= {risk.fewest}),
+q8_level AS (SELECT {risk.level!r} / ({len(RULES)} * greatest(1, count(DISTINCT stratum))) AS level FROM q8_tried),
 q8_cdf AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) AS cdf FROM q8_tried),
-q8_cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(cdf <= {risk.test_level!r}) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM q8_cdf) WHERE ok GROUP BY stratum, rule),
+q8_cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(cdf <= level) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM q8_cdf, q8_level) WHERE ok GROUP BY stratum, rule),
 q8_bad AS (SELECT DISTINCT f.doc_id AS bad_id, f.stratum AS bad_stratum FROM q8_feats f JOIN q8_cut c ON f.stratum = c.stratum AND {value.replace("CASE rule", "CASE c.rule")} > c.cutoff)"""
 
 

@@ -40,6 +40,34 @@ def test_binomial(spark):
         assert abs(r.p - binom_cdf(r.k, r.n, 0.01)) < 1e-9
 
 
+def exact_cdf(k, n, p):
+    """By logarithms of factorials: for n beyond what floats of comb() hold."""
+    some = range(max(0, int(n * p - 60 * (n * p) ** 0.5)), k + 1)
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in some)
+
+
+def test_binomial_of_many_sums_only_terms_near_the_mean(spark):
+    cases = [(k, 200_000) for k in (0, 1500, 1850, 1900, 2000, 2100, 200_000)] + [(k, 24_000) for k in (100, 190, 240, 300)] + [(9_900_000, 10**9), (2 * 10**8, 10**9), (10**9, 10**9)]
+    got = {(r.k, r.n): r.p for r in spark.createDataFrame(cases, "k long, n long").withColumn("p", quality.binomial_cdf(F.col("k"), F.col("n"), 0.01)).collect()}
+    for k, n in cases[:6] + cases[7:11]:
+        want = exact_cdf(k, n, 0.01)
+        assert abs(got[k, n] - want) <= 1e-7 * want + 1e-25, (k, n)
+    assert got[9_900_000, 10**9] == 0  # 31 standard deviations below the mean
+    assert all(abs(got[c] - 1) < 1e-6 for c in ((200_000, 200_000), (2 * 10**8, 10**9), (10**9, 10**9)))
+
+
+def test_strata_are_the_languages_of_the_labels(spark):
+    assert quality.Risk().fewest == 459 and quality.Risk().test_level(2) == 0.005
+    rules = list(quality.RULES)
+    rows = [(i, lang, False) for i, lang in enumerate(["pt"] * 700 + ["other"] * 700 + ["cs"] * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean").selectExpr("*", *(f"0D AS {r}" for r in rules))
+    lab = spark.range(2000).selectExpr("id AS doc_id", "1 AS quality")
+    got = {(r.stratum, r.rule): r.cutoff for r in quality.certified(df, lab).collect()}
+    assert got == {(s, r): quality.RULES[r][-1] for s in ("pt", "other") for r in rules}  # cs has too few
+    docs = spark.createDataFrame([(1, "a", "pt"), (2, "a", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.stratum for r in quality.features(docs).collect()} == {1: "pt", 2: "other"}
+
+
 def test_cutoffs_follow_the_labels(spark):
     good = "word other thing " * 20
     bad = "w# o# t# " * 20
