@@ -8,6 +8,7 @@ is read in Python.  A drawing without a usable size has no elements.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,15 +44,21 @@ def _number(tag: Column, name: str, default: float | None = None) -> Column:
     return F.coalesce(F.regexp_extract(attribute(tag, name), NUMBER, 0).try_cast("double"), F.lit(default).cast("double"))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with value computed once, also where ``then`` uses it for each item of an array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
 def _pairs(flat: Column) -> Column:
     """Points of an array x, y, x, y, ..."""
-    at = lambda i: _point(F.get(flat, 2 * i), F.get(flat, 2 * i + 1))
     none = F.array().cast(POINTS)
-    return F.when(F.size(flat) >= 2, F.transform(F.sequence(F.lit(0), F.floor(F.size(flat) / 2).cast("int") - 1), at)).otherwise(none)
+    point = lambda v, i: _point(F.get(v, 2 * i), F.get(v, 2 * i + 1))
+    every = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), lambda i: point(v, i))
+    return _let(flat, lambda v: F.when(F.size(v) >= 2, every(v)).otherwise(none))
 
 
 @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
@@ -75,18 +82,21 @@ def documents(svgs: DataFrame) -> DataFrame:
 def elements(docs: DataFrame) -> DataFrame:
     """(board_id, layer, ord, w, h, tol, fill, stroke, half, subs, background):
     polarities, half a stroke's width, and subpaths (closed, points).  The first
-    element is background where it erases the whole board."""
+    element is background where it erases the whole board.  Elements are dealt
+    out: a drawing is one row, and few bytes for the work that is in it."""
     t = F.col("tag")
     coloured = lambda x: (colour_polarity(attribute(x, "fill")) != 0) | (colour_polarity(attribute(x, "stroke")) != 0)
     drawn = F.filter("tags", lambda x: ~(x.startswith("<path") & coloured(x) & attribute(x, "d").isNull()))
     e = docs.where("w > 0 AND h > 0").select("board_id", "layer", "w", "h", "tol", F.posexplode(drawn).alias("ord", "tag"))
+    e = e.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
     e = e.select("*", F.regexp_extract(t, r"^<(\w+)", 1).alias("kind"), colour_polarity(attribute(t, "fill")).alias("fill"), colour_polarity(attribute(t, "stroke")).alias("stroke"), (_number(t, "stroke-width", 1.0) / 2).alias("half"))
     n = lambda name, default=None: _number(t, name, default)
     cx, cy = n("cx", 0.0), n("cy", 0.0)
     rx, ry = F.coalesce(n("r"), n("rx")), F.coalesce(n("r"), n("ry"))
-    turn = F.acos(F.greatest(F.lit(-1.0), 1 - F.col("tol") / F.greatest(rx, ry, F.lit(1e-9))))
-    steps = F.greatest(F.lit(16), F.least(F.lit(128), F.ceil(2 * math.pi / F.greatest(F.lit(0.05), 2 * turn)).cast("int")))
-    ring = F.transform(F.sequence(F.lit(0), steps - 1), lambda i: _point(cx + rx * F.cos(2 * math.pi * i / steps), cy + ry * F.sin(2 * math.pi * i / steps)))
+    turn = lambda c: F.acos(F.greatest(F.lit(-1.0), 1 - F.col("tol") / F.greatest(c["rx"], c["ry"], F.lit(1e-9))))
+    steps = lambda c: F.greatest(F.lit(16), F.least(F.lit(128), F.ceil(2 * math.pi / F.greatest(F.lit(0.05), 2 * turn(c))).cast("int")))
+    around = lambda c, m: F.transform(F.sequence(F.lit(0), m - 1), lambda i: _point(c["cx"] + c["rx"] * F.cos(2 * math.pi * i / m), c["cy"] + c["ry"] * F.sin(2 * math.pi * i / m)))
+    ring = _let(F.struct(cx.alias("cx"), cy.alias("cy"), rx.alias("rx"), ry.alias("ry")), lambda c: _let(steps(c), lambda m: around(c, m)))
     x, y, w, h = n("x", 0.0), n("y", 0.0), n("width"), n("height")
     box = F.array(_point(x, y), _point(x + w, y), _point(x + w, y + h), _point(x, y + h))
     ends = F.array(_point(n("x1", 0.0), n("y1", 0.0)), _point(n("x2", 0.0), n("y2", 0.0)))
@@ -132,12 +142,15 @@ def filled(subs: DataFrame) -> DataFrame:
     (cx, cy, radius), and ``dot`` where it fits and no box of the same element
     meets it: there, a disc is exact whatever the other subpaths fill."""
     n = F.size("points")
-    mean = lambda f: F.aggregate("points", F.lit(0.0), lambda acc, p: acc + f(p)) / n
-    s = subs.where((F.col("fill") != 0) & (n >= 3)).withColumn("cx", mean(lambda p: p["x"])).withColumn("cy", mean(lambda p: p["y"]))
-    away = lambda p: F.hypot(p["x"] - F.col("cx"), p["y"] - F.col("cy"))
-    s = s.withColumn("radius", mean(away))
-    worst = F.array_max(F.transform("points", lambda p: F.abs(away(p) - F.col("radius"))))
-    s = s.withColumn("circle", (n >= LEAST_POINTS) & (F.col("radius") > 0) & (worst <= F.greatest(F.col("tol") * 3, ROUND * F.col("radius"))))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / n
+    along = lambda c: F.transform("points", lambda p: p[c])
+    middle = F.struct(*(total(along(c)).alias(f"c{c}") for c in "xy"))
+    away = lambda m: F.transform("points", lambda p: F.hypot(p["x"] - m["cx"], p["y"] - m["cy"]))
+    worst = lambda d, r: F.array_max(F.transform(d, lambda v: F.abs(v - r)))
+    fit = lambda m, d, r: F.struct(m["cx"].alias("cx"), m["cy"].alias("cy"), r.alias("radius"), worst(d, r).alias("worst"))
+    s = subs.where((F.col("fill") != 0) & (n >= 3)).withColumn("fit", _let(middle, lambda m: _let(away(m), lambda d: _let(total(d), lambda r: fit(m, d, r)))))
+    s = s.select(*subs.columns, "fit.cx", "fit.cy", "fit.radius", "fit.worst")
+    s = s.withColumn("circle", (n >= LEAST_POINTS) & (F.col("radius") > 0) & (F.col("worst") <= F.greatest(F.col("tol") * 3, ROUND * F.col("radius")))).drop("worst")
     cell = F.greatest("w", "h") / CELLS
     at = lambda c: F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor(F.col(c) / cell).cast("int")))
     boxes = s.where("parts > 1").select(*KEY, "part", "circle", "x0", "y0", "x1", "y1", F.explode(F.sequence(at("x0"), at("x1"))).alias("gx"), "w", "h").withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))

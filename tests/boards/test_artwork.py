@@ -1,6 +1,8 @@
 import math
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.functions import catalog
 from netloom.operators import artwork, masks, vector
@@ -115,3 +117,17 @@ def test_mask_pairs_visual_drill_and_corrections(spark):
         jobs.check_drawable(corr)
     d = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True)], "board_id int, drill int, plated boolean")
     assert [tuple(r) for r in jobs.plated_counts(d, canvas.where("board_id < 3")).orderBy("board_id").collect()] == [(1, 2, 1), (2, 0, 0)]
+
+
+def test_elements_are_dealt_out_and_circles_fitted_once(spark):
+    """One drawing's elements spread over tasks, and a fit takes time in proportion to its points."""
+    ring = " ".join(f"{50 + 40 * math.cos(2 * math.pi * i / 1500):.6f},{50 + 40 * math.sin(2 * math.pi * i / 1500):.6f}" for i in range(1500))
+    dots = "".join(f'<circle cx="{3 * i % 90}" cy="{7 * i % 90}" r="2" fill="#000"/>' for i in range(60))
+    docs = artwork.documents(spark.createDataFrame([(1, "F_Cu", f'<svg viewBox="0 0 100 100"><polygon points="{ring}" fill="white"/>{dots}</svg>')], "board_id int, layer string, svg string"))
+    els = artwork.elements(docs)
+    assert els.count() == 61 and els.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    began = time.perf_counter()
+    got = artwork.filled(artwork.subpaths(els)).where("dot").select("ord", "cx", "cy", "radius").orderBy("ord").collect()
+    assert time.perf_counter() - began < 60 and len(got) == 61
+    assert (round(got[0].cx, 4), round(got[0].cy, 4), round(got[0].radius, 4)) == (50.0, 50.0, 40.0)
+    assert (round(got[5].cx, 6), round(got[5].cy, 6), round(got[5].radius, 6)) == (12.0, 28.0, 2.0)
