@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.operators import artwork
+from netloom.storage import stored
 
 KEY = ("board_id", "layer")
 BAND = 64
@@ -90,4 +91,4 @@ def paint(spans_: DataFrame, band: int = BAND) -> DataFrame:
 
 def rasterise(svgs: DataFrame) -> DataFrame:
     """Masks (board_id, layer, y, x0, x1) of drawings (board_id, layer, svg)."""
-    return paint(spans(artwork.subpaths(artwork.elements(artwork.documents(svgs)))))
+    return paint(spans(stored(artwork.subpaths(artwork.elements(artwork.documents(svgs))), "subpaths")))
